@@ -236,7 +236,7 @@ for _role in ("batter", "pitcher"):
 
 # Python-style title case: upper after a non-letter, lower otherwise.
 _TITLE = (
-    "list_aggregate(list_transform(range(1, length({x}) + 1), i -> CASE WHEN i = 1 OR NOT"
+    "list_aggregate(list_transform(range(1, length({x}) + 1), lambda i: CASE WHEN i = 1 OR NOT"
     " regexp_matches(substr({x}, i - 1, 1), '[A-Za-z]') THEN upper(substr({x}, i, 1)) ELSE lower(substr({x}, i, 1)) END),"
     " 'string_agg', '')"
 )
