@@ -12,12 +12,17 @@ from dugout.schemas import LEAGUE_PITCH_STATE, PITCH_TRANSITIONS, PLAYER_PITCH_S
 STATE = ("game_type", "balls", "strikes", "outs_when_up", "stand", "p_throws")
 
 
-def _state_measures() -> list[Column]:
+_COUNTS = (
+    "pitches", "ball_events", "called_strikes", "whiffs", "fouls", "balls_in_play", "hit_events", "walk_events",
+    "strikeout_events", "woba_n", "xwoba_n",
+)
+
+
+def _tallies() -> list[Column]:
+    """Fixed-width measures that combine on the map side."""
     description, event = F.col("description"), F.col("events")
     return [
-        F.max("pitch_name").alias("pitch_name"),
         F.count(F.lit(1)).alias("pitches"),
-        F.count_distinct("game_pk", "at_bat_number").alias("plate_appearances"),
         F.count_if(vocab.is_ball(description)).alias("ball_events"),
         F.count_if(vocab.is_called_strike(description)).alias("called_strikes"),
         F.count_if(vocab.is_whiff_wide(description)).alias("whiffs"),
@@ -26,11 +31,37 @@ def _state_measures() -> list[Column]:
         F.count_if(vocab.is_hit(event)).alias("hit_events"),
         F.count_if(vocab.is_walk(event)).alias("walk_events"),
         F.count_if(vocab.is_strikeout(event)).alias("strikeout_events"),
-        F.avg("woba_value").alias("avg_woba_value"),
-        F.avg("estimated_woba_using_speedangle").alias("avg_xwoba"),
+        F.sum("woba_value").alias("woba_sum"),
+        F.count("woba_value").alias("woba_n"),
+        F.sum("estimated_woba_using_speedangle").alias("xwoba_sum"),
+        F.count("estimated_woba_using_speedangle").alias("xwoba_n"),
     ]
 
 
+def _state_summary(rows: DataFrame, dims: list[str], labels: list[str]) -> DataFrame:
+    """Measures, distinct appearances and labels per group.
+
+    Measures and appearances come from separate narrow aggregations that are
+    stacked and folded once more.  Done as one, the distinct count would carry every
+    measure through a shuffle of nearly all rows.  Labels ride along as grouping
+    columns, since text in an aggregation buffer would force sorting all rows.
+    """
+    measures = rows.groupBy(*dims, *labels).agg(*_tallies())
+    appearances = (
+        rows.select(*dims, "game_pk", "at_bat_number")
+        .distinct()
+        .groupBy(*dims)
+        .agg(F.count(F.lit(1)).alias("plate_appearances"))
+    )
+    stacked = measures.unionByName(appearances, allowMissingColumns=True)
+    return stacked.groupBy(*dims).agg(
+        *[F.max(label).alias(label) for label in labels],
+        *[F.sum(c).alias(c) for c in (*_COUNTS, "plate_appearances")],
+        F.try_divide(F.sum("woba_sum"), F.sum("woba_n").cast("double")).alias("avg_woba_value"),
+        F.try_divide(F.sum("xwoba_sum"), F.sum("xwoba_n").cast("double")).alias("avg_xwoba"),
+    )
+
+
 def _both_perspectives(df: DataFrame, extra: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """Each row once for its batter and once for its pitcher, from one scan."""
     extra = extra or {}
@@ -53,7 +84,7 @@ def _both_perspectives(df: DataFrame, extra: dict[str, tuple[str, str]] | None =
 def league_pitch_state(pitches: DataFrame) -> DataFrame:
     """Counts and mean values per season, game type, state, hands and pitch type."""
     dims = ["season", *STATE, "pitch_type"]
-    summary = pitches.groupBy(*dims).agg(*_state_measures())
+    summary = _state_summary(pitches, dims, ["pitch_name"])
     return conform(summary.withColumn("row_key", keys.row_key(*dims)), LEAGUE_PITCH_STATE)
 
 
@@ -65,7 +96,7 @@ def player_pitch_state(pitches: DataFrame) -> DataFrame:
         "woba_value", "estimated_woba_using_speedangle", "batter_id", "pitcher_id", "batter_team", "pitcher_team",
     )
     views = _both_perspectives(needed, {"team": ("batter_team", "pitcher_team")})
-    summary = views.groupBy(*dims).agg(F.max("team").alias("team"), *_state_measures())
+    summary = _state_summary(views, dims, ["team", "pitch_name"])
     return conform(summary.withColumn("row_key", keys.row_key(*dims)), PLAYER_PITCH_STATE)
 
 

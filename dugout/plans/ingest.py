@@ -55,16 +55,17 @@ def load(store: TableStore, raw: DataFrame) -> DataFrame:
     if batch.isEmpty():
         return batch.drop(*extra)
     games = store.stage(clean.games_dim(batch))
+    touched = store.touched(games)
+    # A game that changed its date may have rows in another partition.
     known = store.read("games").join(games.select("game_pk"), "game_pk", "left_semi")
-    moved = store.touched(known)
-    store.insert_ignore("players", clean.player_stubs(batch), ["player_id"])
-    store.upsert("games", games, ["game_pk"], moved)
+    moved = [value for value in store.touched(known) if value not in touched]
     pitches = batch.drop(*extra)
-    store.upsert("pitches", pitches, ["pitch_id"], moved)
-    seasons = store.touched(pitches) + moved
-    stored = store.read("pitches").filter(store.in_partitions(seasons))
+    store.insert_ignore("players", clean.player_stubs(batch), ["player_id"])
+    store.upsert("games", games, ["game_pk"], touched, moved)
+    store.upsert("pitches", pitches, ["pitch_id"], touched, moved)
+    stored = store.read("pitches").filter(store.in_partitions(touched + moved))
     of_games = stored.join(games.select("game_pk"), "game_pk", "left_semi")
-    store.upsert("at_bats", store.stage(rollup.at_bat_rollup(of_games)), ["at_bat_id"], moved)
+    store.upsert("at_bats", rollup.at_bat_rollup(of_games), ["at_bat_id"], touched, moved)
     return pitches
 
 

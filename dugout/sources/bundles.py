@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dugout.operators import summaries
-from dugout.schemas import CORE_TABLES, SEASON_TABLES, STAT_TABLES, SUMMARY_TABLES, TABLES, conform
+from dugout.schemas import CORE_TABLES, SEASON_TABLES, STAT_TABLES, SUMMARY_TABLES, TABLES
 from dugout.sources.store import TableStore
 
 KEYS = {
@@ -65,10 +65,10 @@ def bundle_tables(store: TableStore, folder: str) -> dict[str, DataFrame]:
     found = {}
     for name, schema in TABLES.items():
         try:
-            stored = store.spark.read.option("mergeSchema", "true").parquet(f"{folder}/{name}.parquet")
+            stored = store.spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
         except AnalysisException:
             continue
-        found[name] = conform(stored, schema)
+        found[name] = stored
     return found
 
 
@@ -101,16 +101,20 @@ def import_bundle(store: TableStore, folder: str) -> None:
     missing = [name for name in CORE_TABLES if name not in tables]
     if missing:
         raise FileNotFoundError(f"bundle {folder} is incomplete, missing: {', '.join(missing)}")
+    seasons = [r[0] for r in tables["games"].select("season").distinct().collect()]
+    touched = [{"season": s} for s in seasons] if store.partitions == ("season",) else None
     for name in CORE_TABLES:
-        store.upsert(name, tables[name], KEYS[name])
+        rows = tables[name]
+        if name == "players":
+            # A player is in the bundle of every season played: one row is kept.
+            rows = rows.groupBy("player_id").agg(*[F.max(c).alias(c) for c in rows.columns if c != "player_id"])
+        store.upsert(name, rows, KEYS[name], touched)
     absent = tuple(name for name in SUMMARY_TABLES if name not in tables)
     for name in SUMMARY_TABLES + STAT_TABLES:
         if name in tables:
-            store.upsert(name, tables[name], KEYS[name])
+            store.upsert(name, tables[name], KEYS[name], touched)
     if absent:
-        if "*" in folder:
-            seasons = [r[0] for r in tables["pitches"].select("season").distinct().collect()]
-        else:
+        if "*" not in folder:
             seasons = [s for s in [_bundle_season(store, folder, tables["pitches"])] if s is not None]
         # Both state summaries are rebuilt when either is absent.
         states = SUMMARY_TABLES[:2]

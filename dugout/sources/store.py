@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dugout.operators.clean import PITCH_KEY, insert_ignore, upsert
+from dugout.operators.clean import PITCH_KEY, upsert
 from dugout.schemas import TABLES, conform
 
 _LOCAL_ROOTS: dict[str, str] = {}
@@ -54,22 +54,29 @@ class TableStore:
     def partition_columns(self, columns: list[str]) -> list[str]:
         return [c for c in self.partitions if c in columns]
 
-    def exists(self, name: str) -> bool:
+    def _load(self, name: str) -> DataFrame | None:
+        """A stored table in its model schema, or None.
+
+        The schema is given, so no file is opened to infer it; columns a file lacks
+        read as NULL and narrower numbers widen.
+        """
+        reader = self.spark.read
+        if name in TABLES:
+            reader = reader.schema(TABLES[name])
         try:
-            self.spark.read.parquet(self.path(name)).schema
-            return True
+            return reader.parquet(self.path(name))
         except AnalysisException:
-            return False
+            return None
+
+    def exists(self, name: str) -> bool:
+        return self._load(name) is not None
 
     def read(self, name: str) -> DataFrame:
         """A table, empty when it was never written."""
-        schema = TABLES.get(name)
-        if schema is None:
-            return self.spark.read.parquet(self.path(name))
-        if not self.exists(name):
-            return self.spark.createDataFrame([], schema)
-        stored = self.spark.read.option("mergeSchema", "true").parquet(self.path(name))
-        return conform(stored, schema)
+        stored = self._load(name)
+        if stored is None:
+            return self.spark.createDataFrame([], TABLES[name])
+        return stored.select(*TABLES[name].names) if name in TABLES else stored
 
     def _write(self, df: DataFrame, path: str, mode: str) -> None:
         by = self.partition_columns(df.columns)
@@ -106,29 +113,45 @@ class TableStore:
             lambda a, b: a | b, [reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.lit(v)) for c, v in row.items()]) for row in values]
         )
 
-    def upsert(self, name: str, updates: DataFrame, keys: list[str], moved: list[dict] | None = None) -> None:
+    def upsert(
+        self,
+        name: str,
+        updates: DataFrame,
+        keys: list[str],
+        touched: list[dict] | None = None,
+        moved: list[dict] | None = None,
+    ) -> None:
         """Insert or replace rows by key, rewriting only touched partitions.
 
-        ``updates`` must be stable (read from storage).  ``moved`` names partitions
-        where rows of the same keys may be stored already.
+        ``touched`` are the partitions of ``updates``, found when not given.
+        ``moved`` names further partitions where rows of the same keys may lie.
+        Spark writes the new files aside and swaps partitions when the job commits,
+        so reading the old rows while replacing them is safe.
         """
         updates = conform(updates, TABLES[name]) if name in TABLES else updates
+        if not self.exists(name):
+            self.replace(name, updates)
+            return
         existing = self.read(name)
-        if self.partition_columns(updates.columns):
-            values = self.touched(updates) + [m for m in moved or []]
-            existing = existing.filter(self.in_partitions(values))
-            merged = self.stage(upsert(existing, updates, keys))
-            emptied = [v for v in values if v not in self.touched(merged)]
-            self.replace(name, merged)
-            for value in emptied:
-                self.drop_partition(name, value)
-        else:
+        if not self.partition_columns(updates.columns):
             self.replace(name, self.stage(upsert(existing, updates, keys)))
+            return
+        moved = moved or []
+        values = self.touched(updates) if touched is None else touched
+        emptied = []
+        if moved:
+            # A partition all of whose rows go elsewhere gets no new files.
+            stay = existing.filter(self.in_partitions(moved)).join(updates.select(*keys), keys, "left_anti")
+            kept = self.touched(stay) + self.touched(updates)
+            emptied = [value for value in moved if value not in kept]
+        self.replace(name, upsert(existing.filter(self.in_partitions(values + moved)), updates, keys))
+        for value in emptied:
+            self.drop_partition(name, value)
 
     def insert_ignore(self, name: str, updates: DataFrame, keys: list[str]) -> None:
-        """Add rows whose key is new; stored rows win."""
-        updates = conform(updates, TABLES[name])
-        self.replace(name, self.stage(insert_ignore(self.read(name), updates, keys)))
+        """Append rows whose key is new; stored rows win and stay where they are."""
+        new = updates.join(self.read(name).select(*keys), keys, "left_anti")
+        self.append(name, conform(new, TABLES[name]))
 
     def drop_partition(self, name: str, value: dict) -> None:
         """Remove the files of one partition through the cluster's file system."""
@@ -139,8 +162,7 @@ class TableStore:
 
     def delete_season(self, season: int, tables: tuple[str, ...]) -> None:
         """Remove one season from every given table."""
+        if self.partitions[:1] != ("season",):
+            raise ValueError("season is not the first partition column")
         for name in tables:
-            if not self.exists(name):
-                continue
-            if "season" in self.partitions:
-                self.drop_partition(name, {"season": season})
+            self.drop_partition(name, {"season": season})
