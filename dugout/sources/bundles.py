@@ -36,12 +36,14 @@ def season_players(players: DataFrame, pitches: DataFrame, season: int) -> DataF
 def export_season(store: TableStore, season: int, root: str) -> str:
     """Write one season of every table, its players and a manifest; returns the folder."""
     folder = bundle_path(root, season)
-    for name in SEASON_TABLES:
+    # Stat tables are optional: one that was never loaded is left out.
+    names = [t for t in SEASON_TABLES if t not in STAT_TABLES or store.exists(t)]
+    for name in names:
         rows = store.read(name).filter(F.col("season") == season)
         rows.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
     players = season_players(store.read("players"), store.read("pitches"), season)
     players.write.mode("overwrite").parquet(f"{folder}/players.parquet")
-    files = F.create_map(*[F.lit(x) for t in (*SEASON_TABLES, "players") for x in (t, f"{t}.parquet")])
+    files = F.create_map(*[F.lit(x) for t in (*names, "players") for x in (t, f"{t}.parquet")])
     manifest = store.spark.range(1).select(
         F.lit(season).alias("season"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("exported_at"),
