@@ -1,7 +1,8 @@
 """A raw pitch feed re-projected from order and line-item tables.
 
 Orders act as plate appearances and line items as pitches: an order is the
-appearance, its line items its pitches.  Games are runs of 64 order keys.  All
+appearance, its line items its pitches.  An order with more than 16 line numbers
+is cut into several appearances.  Games are runs of 64 order keys.  All
 measurements are dyadic fractions, so sums are exact in any order.
 """
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 APPEARANCES_PER_GAME = 64
+LINES_PER_APPEARANCE = 16
 FIRST_BATTER, BATTERS = 600000, 60
 FIRST_PITCHER, PITCHERS = 599965, 40
 
@@ -47,16 +49,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw feed rows.  One shuffle per input table; both windows reuse the join's."""
+    """Raw feed rows.
+
+    Rows spread by order and part of it before the windows, which then need no
+    further shuffle; the join before them stays free to split a hot order.
+    """
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("cust")
     )
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), "l_linenumber",
         "l_extendedprice", F.col("l_quantity").cast("int").alias("qty"),
+        F.expr(f"(l_linenumber - 1) div {LINES_PER_APPEARANCE}").alias("portion"),
     )
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "part", "supp", "l_extendedprice", "qty")
-    joined = lines.join(orders, "l_orderkey").withColumns(
+    order = Window.partitionBy("l_orderkey", "portion").orderBy("l_linenumber", "part", "supp", "l_extendedprice", "qty")
+    joined = lines.join(orders, "l_orderkey").repartition("l_orderkey", "portion").withColumns(
         {
             "pitch_number": F.row_number().over(order),
             "is_last": F.lead("part").over(order).isNull(),
@@ -85,7 +92,7 @@ def raw_pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
             "balls": running(COUNTED_BALLS, 3),
             "strikes": running(COUNTED_STRIKES, 2),
             "game_pk": game,
-            "at_bat_number": (key % APPEARANCES_PER_GAME + 1).cast("int"),
+            "at_bat_number": (key % APPEARANCES_PER_GAME + 1 + F.col("portion") * APPEARANCES_PER_GAME).cast("int"),
             "kind": (part * 3 + supp) % 7,
         }
     )

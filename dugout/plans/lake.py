@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from dugout.operators import clean, rollup, summaries
 from dugout.operators.filters import Window, data_context, resolve_window
 from dugout.plans import fixture
-from dugout.sources.store import TableStore, shared_folder
+from dugout.sources.store import TableStore, shared_folder, size_shuffles
 
 _OPEN: dict[tuple[str, str], Lake] = {}
 
@@ -28,6 +28,8 @@ class Lake:
         app = spark.sparkContext.applicationId
         self.spark, self.sf_dir = spark, sf_dir
         self.store = TableStore(spark, f"{shared_folder(spark)}/lake/{app}/{tag}")
+        for name in ("lineitem", "orders"):
+            size_shuffles(spark, f"{sf_dir}/{name}.parquet")
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Lake:

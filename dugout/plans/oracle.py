@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 RAW = """
-  SELECT o.*, l.l_partkey AS part, l.l_suppkey AS supp, CAST(l.l_quantity AS INT) AS qty,
+  SELECT o.*, (l.l_linenumber - 1) // 16 AS portion, l.l_partkey AS part, l.l_suppkey AS supp, CAST(l.l_quantity AS INT) AS qty,
     CAST(row_number() OVER w AS INT) AS pitch_number, lead(l.l_partkey) OVER w IS NULL AS is_last,
     row_number() OVER w AS rn
   FROM lineitem l JOIN (SELECT o_orderkey AS k, o_custkey AS cust FROM orders) o ON l.l_orderkey = o.k
-  WINDOW w AS (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice,
+  WINDOW w AS (PARTITION BY l.l_orderkey, (l.l_linenumber - 1) // 16 ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice,
     CAST(l.l_quantity AS INT))
 """
 
@@ -44,11 +44,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "ct": (
         ("ds",),
         """
-  SELECT *, k // 64 AS g, CAST(k % 64 + 1 AS INT) AS ab, (part * 3 + supp) % 7 AS kind,
+  SELECT *, k // 64 AS g, CAST(k % 64 + 1 + portion * 64 AS INT) AS ab, (part * 3 + supp) % 7 AS kind,
     CAST(least(3, coalesce(sum(CASE WHEN description IN ('ball','blocked_ball','pitchout') THEN 1 ELSE 0 END) OVER w, 0)) AS INT) AS balls,
     CAST(least(2, coalesce(sum(CASE WHEN description IN ('called_strike','swinging_strike','swinging_strike_blocked',
       'foul','foul_bunt','foul_tip','missed_bunt') THEN 1 ELSE 0 END) OVER w, 0)) AS INT) AS strikes
-  FROM ds WINDOW w AS (PARTITION BY k ORDER BY pitch_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+  FROM ds WINDOW w AS (PARTITION BY k, portion ORDER BY pitch_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     ),
     "raw_pitches": (
         ("ct",),

@@ -209,9 +209,9 @@ def replace_season_stats(lake):
     "ingest_log",
     """SELECT CAST(row_number() OVER (ORDER BY start_date) AS BIGINT) AS run_id, start_date, end_date, rows_loaded, 'success' AS status FROM (
          SELECT DATE '2019-04-01' AS start_date, DATE '2019-05-31' AS end_date, COUNT(*) AS rows_loaded FROM pitches
-         WHERE game_date BETWEEN DATE '2019-04-01' AND DATE '2019-05-31'
+         WHERE game_date BETWEEN DATE '2019-04-01' AND DATE '2019-05-31' HAVING COUNT(*) > 0
          UNION ALL
-         SELECT DATE '2019-06-01', DATE '2019-08-31', COUNT(*) FROM pitches WHERE game_date BETWEEN DATE '2019-06-01' AND DATE '2019-08-31') u""",
+         SELECT DATE '2019-06-01', DATE '2019-08-31', COUNT(*) FROM pitches WHERE game_date BETWEEN DATE '2019-06-01' AND DATE '2019-08-31' HAVING COUNT(*) > 0) u""",
     "pitches",
 )
 def ingest_log(lake):

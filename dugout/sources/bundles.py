@@ -108,8 +108,9 @@ def import_bundle(store: TableStore, folder: str) -> None:
     for name in CORE_TABLES:
         rows = tables[name]
         if name == "players":
-            # A player is in the bundle of every season played: one row is kept.
-            rows = rows.groupBy("player_id").agg(*[F.max(c).alias(c) for c in rows.columns if c != "player_id"])
+            # A player is in the bundle of every season played: the latest row is kept.
+            latest = F.max_by(F.struct(*rows.columns), F.col("_metadata.file_path"))
+            rows = rows.groupBy("player_id").agg(latest.alias("row")).select("row.*")
         store.upsert(name, rows, KEYS[name], touched)
     absent = tuple(name for name in SUMMARY_TABLES if name not in tables)
     for name in SUMMARY_TABLES + STAT_TABLES:

@@ -34,13 +34,32 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+def size_shuffles(spark: SparkSession, path: str, target_bytes: int = 128 << 20, expansion: int = 4) -> int:
+    """Raise the session's shuffle partitions to suit the bytes stored below a path.
+
+    Adaptive execution merges partitions that turn out small but cannot split an
+    aggregation's, so the number must start high enough.  It is never lowered.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stored = system.getContentSummary(folder).getLength() if system.exists(folder) else 0
+    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(current, -(-stored * expansion // target_bytes))
+    if wanted > current:
+        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return wanted
+
+
 @dataclass
 class TableStore:
     """Reads and writes the model's tables below ``root``.
 
     Tables with a season are partitioned by ``partitions``.  A write replaces only
-    the partitions it holds.  Rows are laid out by game within a file, so pitches of
-    an appearance combine before a shuffle and game lookups skip row groups.
+    the partitions it holds.  Files hold whole games in order, so pitches of an
+    appearance combine before a shuffle and game lookups skip row groups.
+
+    Where small batches arrive often, partition by ``("season", "game_date")``: an
+    upsert then rewrites only the dates it touches.
     """
 
     spark: SparkSession
@@ -79,12 +98,20 @@ class TableStore:
         return stored.select(*TABLES[name].names) if name in TABLES else stored
 
     def _write(self, df: DataFrame, path: str, mode: str) -> None:
-        by = self.partition_columns(df.columns)
-        layout = by + [c for c in PITCH_KEY if c in df.columns]
+        columns = df.columns
+        by = self.partition_columns(columns)
+        writer_of = df
         if by:
-            # Rebalancing sizes files and splits a season that outgrows one task.
-            df = df.hint("rebalance", *by).sortWithinPartitions(*layout)
-        writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+            layout = by + [c for c in PITCH_KEY if c in columns]
+            spread = list(by)
+            if "game_pk" in columns:
+                # Whole games meet in a file, and a season spreads over many tasks.
+                share = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+                df = df.withColumn("_spread", F.pmod(F.hash("game_pk"), F.lit(share)))
+                spread.append("_spread")
+            # Rebalancing merges small parts and splits one that outgrows a task.
+            writer_of = df.hint("rebalance", *spread).drop("_spread").sortWithinPartitions(*layout)
+        writer = writer_of.write.mode(mode).option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy(*by) if by else writer).parquet(path)
 
     def replace(self, name: str, df: DataFrame) -> None:
