@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dugout.functions import vocab
-from dugout.operators import clean, quality, rollup, season_stats
+from dugout.operators import clean, players, quality, rollup, season_stats
 from dugout.schemas import BACKFILL_STATUS, INGESTION_LOG, PITCHES, SEASON_TABLES, conform
 from dugout.sources import bundles
 from dugout.sources.store import TableStore
@@ -162,6 +162,30 @@ def load_season_smart(store: TableStore, season: int, root: str, raw: DataFrame,
     return "source"
 
 
+def load_season_range(
+    store: TableStore, first: int, last: int, root: str, raw: DataFrame, today: date
+) -> dict[int, str]:
+    """Load an inclusive range of seasons, each from its bundle where there is one."""
+    low, high = sorted((first, last))
+    return {season: load_season_smart(store, season, root, raw, today) for season in range(low, high + 1)}
+
+
+def load_all_history(store: TableStore, root: str, raw: DataFrame, today: date) -> dict[int, str]:
+    return load_season_range(store, vocab.FIRST_SEASON, today.year, root, raw, today)
+
+
+def enrich(store: TableStore, names: DataFrame, profiles: DataFrame) -> dict[str, int]:
+    """Fill unnamed players, then bring every player's team up to date."""
+    pitches, stored = store.read("pitches"), store.read("players")
+    filled = store.stage(players.enrich_players(stored, pitches, names, profiles))
+    refreshed = store.stage(players.refresh_player_teams(filled, pitches))
+    store.replace("players", refreshed.drop("team_changed"))
+    counted = refreshed.agg(
+        F.count_if("team_changed").alias("teams_changed"), F.count_if(F.col("full_name").isNull()).alias("unnamed")
+    ).first()
+    return counted.asDict()
+
+
 def ensure_history(store: TableStore, root: str, raw: DataFrame, today: date) -> DataFrame:
     """Load every expected season that is not complete; returns the coverage."""
     def coverage() -> DataFrame:
