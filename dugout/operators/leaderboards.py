@@ -12,7 +12,7 @@ from dugout.functions.numbers import mean
 from dugout.operators import appearances as ap
 from dugout.operators.filters import ALL_TIME, Window, filter_pitches
 from dugout.operators.pitchers import pitch_measures
-from dugout.operators.players import name_players, player_latest_team, role_columns
+from dugout.operators.players import name_players, player_appearances, role_columns
 
 
 def _ranked(lines: DataFrame, players: DataFrame, min_pa: int, limit: int) -> DataFrame:
@@ -117,17 +117,24 @@ def stuff_leaderboard_window(
 
 
 def player_activity(
-    activity_rows: DataFrame, pitches: DataFrame, games: DataFrame, players: DataFrame, role: str
+    pitches: DataFrame, at_bats: DataFrame, games: DataFrame, players: DataFrame, role: str
 ) -> DataFrame:
-    """Id, name, team and row count of every player of a role."""
+    """Id, name, team and activity of every player of a role.
+
+    Batters count plate appearances; pitchers count pitches, from the same pass
+    that finds their team.
+    """
     player, _, _ = role_columns(role)
-    activity = activity_rows.groupBy(player).agg(numbers.rows().alias("activity"))
-    teams = player_latest_team(pitches, games, role).withColumnRenamed("player_id", player)
+    seen = player_appearances(pitches, games, role).withColumnRenamed("player_id", player)
+    if role == "batter":
+        batted = at_bats.groupBy(player).agg(numbers.rows().alias("activity"))
+        activity = batted.join(seen.drop("pitches"), player, "left")
+    else:
+        activity = seen.withColumnRenamed("pitches", "activity")
     stored = players.select(F.col("player_id").alias(player), F.col("team").alias("stored_team"))
     return (
         name_players(activity, players, role, "name")
         .join(stored, player, "left")
-        .join(teams, player, "left")
         .select(
             F.col(player).alias("id"),
             "name",

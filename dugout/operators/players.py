@@ -152,8 +152,8 @@ def with_derived_teams(pitches: DataFrame, games: DataFrame) -> DataFrame:
     )
 
 
-def player_latest_team(pitches: DataFrame, games: DataFrame, role: str) -> DataFrame:
-    """Newest non-null derived team of every player in a role.
+def player_appearances(pitches: DataFrame, games: DataFrame, role: str) -> DataFrame:
+    """Pitches and newest non-null derived team of every player in a role.
 
     Pitches fold to one row per player, game, half and recorded team before the
     games are joined; position within a game packs into one long so that the fold
@@ -164,18 +164,23 @@ def player_latest_team(pitches: DataFrame, games: DataFrame, role: str) -> DataF
     folded = (
         pitches.filter(F.col(player).isNotNull())
         .groupBy(F.col(player).alias("player_id"), "game_date", "game_pk", "inning_half", team)
-        .agg(F.max(position).alias("position"))
+        .agg(F.max(position).alias("position"), F.count(F.lit(1)).alias("pitches"))
     )
     derived = F.col(f"derived_{team}")
-    both = {"batter_team", "pitcher_team"} - {team}
-    derivable = with_derived_teams(folded.withColumns({c: F.lit(None).cast("string") for c in both}), games)
-    return (
-        derivable.filter(derived.isNotNull())
-        .groupBy("player_id")
-        .agg(F.max_by(derived, F.struct("game_date", "game_pk", "position")).alias("latest_team"))
+    other = ({"batter_team", "pitcher_team"} - {team}).pop()
+    derivable = with_derived_teams(folded.withColumn(other, F.lit(None).cast("string")), games)
+    newest = F.when(derived.isNotNull(), F.struct("game_date", "game_pk", "position"))
+    return derivable.groupBy("player_id").agg(
+        F.max_by(derived, newest).alias("latest_team"), F.sum("pitches").alias("pitches")
     )
 
 
+def player_latest_team(pitches: DataFrame, games: DataFrame, role: str) -> DataFrame:
+    """Newest non-null derived team of every player in a role."""
+    seen = player_appearances(pitches, games, role)
+    return seen.filter("latest_team IS NOT NULL").select("player_id", "latest_team")
+
+
 def name_players(df: DataFrame, players: DataFrame, role: str, as_column: str | None = None) -> DataFrame:
     """Add the display name of the player in a role."""
     player, _, label = role_columns(role)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dugout.functions import numbers
+from dugout.functions import numbers, vocab
 from dugout.functions.numbers import ratio, rnd
 from dugout.operators import appearances as ap
 from dugout.operators.batters import appearances_with_team
@@ -31,25 +31,48 @@ def scoped_pitches(pitches: DataFrame, games: DataFrame, scope: Window = ALL_TIM
 
 
 def team_summary(scoped: DataFrame, at_bats: DataFrame, team: str) -> DataFrame:
-    """Batting and pitching of one team as one row; on-base counts every appearance."""
-    batting_side = F.col("derived_batter_team") == team
-    pitching_side = F.col("derived_pitcher_team") == team
-    played = scoped.filter(batting_side | pitching_side).agg(F.count_distinct("game_pk").alias("games"))
-    counts, rates = ap.event_counts(), ap.result_rates()
-    batting = appearances_with_team(scoped.filter(batting_side), at_bats).agg(
-        numbers.rows().alias("pa"),
+    """Batting and pitching of one team as one row; on-base counts every appearance.
+
+    Pitches fold to one row per appearance that knows which side the team was on,
+    so one scan and one join serve both halves of the line.
+    """
+    batting, pitching = F.col("derived_batter_team") == team, F.col("derived_pitcher_team") == team
+    on_either_side = scoped.filter(batting | pitching)
+    speed = F.when(pitching, F.col("release_speed"))
+    sides = on_either_side.groupBy(*ap.APPEARANCE).agg(
+        F.bool_or(batting).alias("batted"),
+        F.bool_or(pitching).alias("threw"),
+        F.count_if(pitching).alias("thrown"),
+        F.count_if(pitching & vocab.is_whiff(F.col("description"))).alias("whiffs"),
+        F.sum(speed).alias("speed_sum"),
+        F.count(speed).alias("speed_n"),
+    )
+    results = at_bats.select(*ap.APPEARANCE, "final_event", "xwoba", F.lit(True).alias("rolled_up"))
+    joined = sides.join(results, list(ap.APPEARANCE), "left")
+    batted, threw = F.col("batted") & F.col("rolled_up"), F.col("threw") & F.col("rolled_up")
+    lines = joined.withColumns(
+        {"bat_event": F.when(batted, F.col("final_event")), "threw_event": F.when(threw, F.col("final_event"))}
+    )
+    counts = ap.event_counts("bat_event")
+    pa, faced = F.count_if(batted), F.count_if(threw)
+    threw_event = F.col("threw_event")
+    summary = lines.agg(
+        F.count_distinct("game_pk").alias("games"),
+        pa.alias("pa"),
         *ap.named(counts, "at_bats", "hits", "hr", "walks", "strikeouts"),
         rnd(ratio(counts["hits"], counts["at_bats"])).alias("avg"),
-        rnd(ratio(counts["hits"] + counts["walks"], numbers.rows())).alias("obp"),
+        rnd(ratio(counts["hits"] + counts["walks"], pa)).alias("obp"),
         rnd(ratio(counts["total_bases"], counts["at_bats"])).alias("slg"),
-        rates["xwoba"].alias("xwoba"),
-    )
-    thrown = scoped.filter(pitching_side)
-    pitching = thrown.agg(*ap.named(pitch_measures(), "pitches", "pitchers", "avg_velo", "whiff_pct"))
-    allowed = ap.of_pitches(at_bats, thrown).agg(
-        *ap.named(rates, xwoba_allowed="xwoba", k_pct_allowed="k_pct", bb_pct_allowed="bb_pct")
+        numbers.mean(F.when(batted, F.col("xwoba"))).alias("xwoba"),
+        F.sum("thrown").alias("pitches"),
+        rnd(ratio(F.sum("speed_sum"), F.sum("speed_n")), 1).alias("avg_velo"),
+        rnd(ratio(F.sum("whiffs"), F.sum("thrown"))).alias("whiff_pct"),
+        numbers.mean(F.when(threw, F.col("xwoba"))).alias("xwoba_allowed"),
+        rnd(ratio(F.count_if(vocab.is_strikeout(threw_event)), faced)).alias("k_pct_allowed"),
+        rnd(ratio(F.count_if(vocab.is_walk(threw_event)), faced)).alias("bb_pct_allowed"),
     )
-    return ap.beside(played, batting, pitching, allowed).select(F.lit(team).alias("team"), "*")
+    staff = scoped.filter(pitching).agg(F.count_distinct("pitcher_id").alias("pitchers"))
+    return ap.beside(summary, staff).select(F.lit(team).alias("team"), "*")
 
 
 def team_batting(

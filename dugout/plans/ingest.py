@@ -153,7 +153,7 @@ def refresh_season(store: TableStore, seasons: list[int], stat_feeds: dict[int,
 def load_season_smart(store: TableStore, season: int, root: str, raw: DataFrame, today: date) -> str:
     """Import a season from its bundle, or build and export it; returns which."""
     folder = bundles.bundle_path(root, season)
-    if "pitches" in bundles.bundle_tables(store, folder):
+    if bundles.bundle_exists(store, folder):
         bundles.import_bundle(store, folder)
         return "parquet"
     backfill(store, raw, [season], today)

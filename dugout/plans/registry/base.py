@@ -15,6 +15,7 @@ from dugout.plans.lake import Lake
 class Entry:
     run: Callable[[Lake], DataFrame]
     sql: str | None
+    check: str | None = None
 
 
 ENTRIES: dict[str, Entry] = {}
@@ -26,7 +27,7 @@ def query(name: str, check: str | None = None, *needs: str):
     def register(run: Callable[[Lake], DataFrame]):
         if name in ENTRIES:
             raise ValueError(f"duplicate query {name}")
-        ENTRIES[name] = Entry(run, oracle.sql(check, *needs) if check else None)
+        ENTRIES[name] = Entry(run, oracle.sql(check, *needs) if check else None, check)
         return run
 
     return register

@@ -87,8 +87,7 @@ class Reports:
         return leaderboards.freshness(self.pitches, today.year, today)
 
     def _activity(self, role: str) -> DataFrame:
-        rows = self.at_bats if role == "batter" else self.pitches
-        return leaderboards.player_activity(rows, self.pitches, self.games, self.players, role)
+        return leaderboards.player_activity(self.pitches, self.at_bats, self.games, self.players, role)
 
     def player_search(self, role: str, term: str, limit: int = 25) -> DataFrame:
         return leaderboards.player_search(self._activity(role), term, limit)

@@ -62,16 +62,22 @@ def export_all(store: TableStore, root: str) -> list[str]:
     return [export_season(store, season, root) for season in _seasons(store)]
 
 
+def _table(store: TableStore, folder: str, name: str) -> DataFrame | None:
+    try:
+        return store.spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
+    except AnalysisException:
+        return None
+
+
+def bundle_exists(store: TableStore, folder: str) -> bool:
+    """A bundle counts as present once it holds pitches."""
+    return _table(store, folder, "pitches") is not None
+
+
 def bundle_tables(store: TableStore, folder: str) -> dict[str, DataFrame]:
     """The tables a bundle folder, or a pattern of bundle folders, holds."""
-    found = {}
-    for name, schema in TABLES.items():
-        try:
-            stored = store.spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
-        except AnalysisException:
-            continue
-        found[name] = stored
-    return found
+    found = {name: _table(store, folder, name) for name in KEYS}
+    return {name: df for name, df in found.items() if df is not None}
 
 
 def _bundle_season(store: TableStore, folder: str, pitches: DataFrame) -> int | None:
