@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from dugout.functions import vocab
 from dugout.operators import clean, players, quality, rollup, season_stats
 from dugout.schemas import BACKFILL_STATUS, INGESTION_LOG, PITCHES, SEASON_TABLES, conform
-from dugout.sources import bundles
+from dugout.sources import bundles, landing
 from dugout.sources.store import TableStore
 
 DELETED_WITH_SEASON = SEASON_TABLES + ("season_backfill_status",)
@@ -82,8 +83,7 @@ def _with_sides(cleaned: DataFrame, extra: list[str]) -> DataFrame:
 
 def load_range(store: TableStore, raw: DataFrame, start: date, end: date) -> int:
     """Load a date range and log it; returns rows loaded."""
-    in_range = raw.filter(F.to_date("game_date").between(F.lit(start), F.lit(end)))
-    loaded = load(store, in_range).count()
+    loaded = load(store, landing.in_dates(raw, start, end)).count()
     if loaded:
         run = store.spark.createDataFrame([(start, end, loaded)], "start_date date, end_date date, rows_loaded bigint")
         _log_rows(store, run)
@@ -104,10 +104,7 @@ def backfill(store: TableStore, raw: DataFrame, seasons: list[int], today: date,
     """Load whole seasons in one job; chunks of days only appear in the log."""
     spans = [(s, *season_bounds(s, today)) for s in sorted(seasons)]
     mark_backfill(store, [(s, start, end, 0, False) for s, start, end in spans])
-    in_season = F.lit(False)
-    for _, start, end in spans:
-        in_season = in_season | F.to_date("game_date").between(F.lit(start), F.lit(end))
-    loaded = load(store, raw.filter(in_season))
+    loaded = load(store, reduce(DataFrame.unionByName, [landing.in_dates(raw, start, end) for _, start, end in spans]))
     # A chunk is found by arithmetic on the date, not by comparing with every chunk.
     starts = F.create_map(*[F.lit(x) for s, start, _ in spans for x in (s, start)])
     ends = F.create_map(*[F.lit(x) for s, _, end in spans for x in (s, end)])

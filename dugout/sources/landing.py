@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,28 @@ def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType | None)
     return reader.load(path)
 
 
+def in_dates(raw: DataFrame, start: date | None = None, end: date | None = None) -> DataFrame:
+    """Rows of a date range.
+
+    Dates compare in the column's own type, so the filter reaches the scan; where
+    files lie in season folders, those outside the range are not listed.
+    """
+    as_text = isinstance(raw.schema["game_date"].dataType, T.StringType)
+
+    def value(day: date):
+        return F.lit(day.isoformat() if as_text else day)
+
+    in_folders = "season" in raw.columns
+    if start is not None:
+        raw = raw.filter(F.col("game_date") >= value(start))
+        raw = raw.filter(F.col("season") >= start.year) if in_folders else raw
+    if end is not None:
+        # Before the next day, so that a time of day on the last one is kept.
+        raw = raw.filter(F.col("game_date") < value(end + timedelta(days=1)))
+        raw = raw.filter(F.col("season") <= end.year) if in_folders else raw
+    return raw
+
+
 def read_pitches(
     spark: SparkSession,
     path: str,
@@ -35,21 +57,8 @@ def read_pitches(
     fmt: str = "parquet",
     schema: T.StructType | None = None,
 ) -> DataFrame:
-    """Raw pitch rows of a date range.
-
-    Dates compare in the column's own type, so the filter reaches the scan; where
-    files lie in season folders, those outside the range are not listed.
-    """
-    raw = _read(spark, path, fmt, schema)
-    as_text = isinstance(raw.schema["game_date"].dataType, T.StringType)
-    for bound, keep in ((start, "__ge__"), (end, "__le__")):
-        if bound is None:
-            continue
-        value = F.lit(bound.isoformat()) if as_text else F.lit(bound)
-        raw = raw.filter(getattr(F.col("game_date"), keep)(value))
-        if "season" in raw.columns:
-            raw = raw.filter(getattr(F.col("season"), keep)(F.lit(bound.year)))
-    return raw
+    """Raw pitch rows of a date range."""
+    return in_dates(_read(spark, path, fmt, schema), start, end)
 
 
 def read_game(
