@@ -11,6 +11,11 @@ from dugout.functions import vocab
 from dugout.operators.appearances import beside
 
 REFERENCE_SEASON = 2025
+# Games known for whole seasons: season, regular, postseason, then by round F, D, L, W.
+KNOWN_SEASONS = (
+    (2020, 898, None, None, None, None, None),
+    (2025, 2430, 47, 11, 18, 11, 7),
+)
 TOLERANCE = 2
 THIN_DATE_GAMES = 10
 
@@ -34,6 +39,13 @@ def season_games(pitches: DataFrame) -> DataFrame:
     )
 
 
+def known_expectations(spark) -> DataFrame:
+    """Games that known seasons should hold."""
+    names = ("regular_games", "postseason_total", "postseason_f", "postseason_d", "postseason_l", "postseason_w")
+    columns = ", ".join(f"expected_{name} int" for name in names)
+    return spark.createDataFrame(list(KNOWN_SEASONS), f"season int, {columns}")
+
+
 def season_report(pitches: DataFrame, derived: dict[str, DataFrame], expectations: DataFrame | None = None) -> DataFrame:
     """One row per season: games by type, expectations, rows of every derived table."""
     counts = [

@@ -80,7 +80,7 @@ class Reports:
         derived = {
             name.removesuffix("_summary").removesuffix("_stats"): self.table(name) for name in SUMMARY_TABLES + STAT_TABLES
         }
-        report = quality.season_report(self.pitches, derived)
+        report = quality.season_report(self.pitches, derived, quality.known_expectations(self.store.spark))
         return report if season is None else report.filter(F.col("season") == season)
 
     def freshness(self, today: date) -> DataFrame:

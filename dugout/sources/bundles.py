@@ -82,7 +82,7 @@ def bundle_tables(store: TableStore, folder: str) -> dict[str, DataFrame]:
 
 def _bundle_season(store: TableStore, folder: str, pitches: DataFrame) -> int | None:
     try:
-        manifest = store.spark.read.schema("season int").json(f"{folder}/metadata.json")
+        manifest = store.spark.read.schema("season int").json(f"{folder}/metadata.json", multiLine=True)
         row = manifest.select("season").first()
         if row is not None and row["season"] is not None:
             return row["season"]

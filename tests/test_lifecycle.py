@@ -77,6 +77,31 @@ def test_incomplete_bundle_is_refused(lake, store, tmp_path):
         bundles.import_bundle(store, str(tmp_path / "season=2019"))
 
 
+def test_bundle_written_by_another_engine_loads(lake, spark, store, tmp_path):
+    """Single Parquet files with narrower numbers, an extra column and an indented manifest."""
+    import duckdb
+
+    folder = tmp_path / "season=2019"
+    folder.mkdir()
+    con = duckdb.connect()
+    for name in ("players", "games", "pitches", "at_bats"):
+        df = getattr(lake, name)
+        if "season" in df.columns:
+            df = df.filter("season = 2019")
+        df.write.parquet(str(tmp_path / "plain" / name))
+        narrow = {"bigint": "INTEGER", "double": "FLOAT"}
+        columns = ", ".join(f'CAST("{c}" AS {narrow[t]}) AS "{c}"' if t in narrow else f'"{c}"' for c, t in df.dtypes)
+        con.execute(
+            f"COPY (SELECT {columns}, current_timestamp AS updated_at FROM '{tmp_path}/plain/{name}/*.parquet')"
+            f" TO '{folder}/{name}.parquet' (FORMAT PARQUET)"
+        )
+    (folder / "metadata.json").write_text('{\n  "season": 2019,\n  "files": {}\n}')
+    bundles.import_bundle(store, str(folder))
+    assert same(store.read("pitches"), lake.pitches.filter("season = 2019"))
+    assert same(store.read("at_bats"), lake.at_bats.filter("season = 2019"))
+    assert same(store.read("league_pitch_state_summary"), lake.league_state.filter("season = 2019"))
+
+
 def test_smart_load_uses_the_bundle(lake, spark, tmp_path):
     root = str(tmp_path / "out")
     assert ingest.load_season_smart(TableStore(spark, str(tmp_path / "a")), 2019, root, lake.raw, TODAY) == "source"
