@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dugout.llm import jaccard_join
+from dugout.llm import chat_format, jaccard_join, order_minhash, sharding, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,57 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"), width=4, threshold=jaccard_join.Threshold(85, 100))
 
 
+#: Fixed rules of the query.
+URL_RULES = [
+    url_filters.Rule("block", "net", "/"),
+    url_filters.Rule("allow", "example.net", "/en/"),
+    url_filters.Rule("block", "example.com", "/de/"),
+    url_filters.Rule("allow", "org", "/fr/"),
+]
+
+
+def op3_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judged(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    markers = "</s>[INST] ok [/INST]"
+    own = spark.sql(
+        f"select cast(-7 as bigint) conv_id, cast(turn as bigint) turn, role, '{markers}' text from values (0, 'user'), (1, 'assistant') as t(turn, role)"
+    )
+    messages = stored.unionAll(own).select("conv_id", "turn", "role", chat_format.text_part(F.col("text")).alias("parts"))
+    read = chat_format.read_back(chat_format.format_chats(messages))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.char_length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op9_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", "source", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return sharding.interleave(rows, 40).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_url_redirects": op3_url_redirects,
+    "op6_chat_parts": op6_chat_parts,
+    "op9_stratified_shards": op9_stratified_shards,
+    "op10_order_minhash": op10_order_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
