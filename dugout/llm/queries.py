@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dugout.llm import chat_format, jaccard_join, order_minhash, sharding, url_filters
+from dugout.llm import byte_bpe, chat_format, jaccard_join, order_minhash, sharding, string_kernel, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    tokens = byte_bpe.decoded(byte_bpe.encoded(_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"), width=4, threshold=jaccard_join.Threshold(85, 100))
 
@@ -31,6 +38,12 @@ def op3_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judged(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = string_kernel.learnable(_table(spark, sf_dir, "labels"))
+    scores = string_kernel.scored(_table(spark, sf_dir, "documents"), labels)
+    return scores.select("doc_id", string_kernel.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     markers = "</s>[INST] ok [/INST]"
@@ -50,6 +63,10 @@ def op6_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -64,9 +81,12 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_url_redirects": op3_url_redirects,
+    "op5_string_kernel": op5_string_kernel,
     "op6_chat_parts": op6_chat_parts,
+    "op7_token_counts": op7_token_counts,
     "op9_stratified_shards": op9_stratified_shards,
     "op10_order_minhash": op10_order_minhash,
 }
