@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dugout.llm import byte_bpe, chat_format, jaccard_join, order_minhash, sharding, string_kernel, token_counts, url_filters
+from dugout.llm import byte_bpe, chat_format, decontaminate, jaccard_join, order_minhash, sharding, string_kernel, token_counts, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,12 @@ def op3_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judged(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.new_folder(spark)
+    archives = warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = string_kernel.learnable(_table(spark, sf_dir, "labels"))
     scores = string_kernel.scored(_table(spark, sf_dir, "documents"), labels)
@@ -67,6 +73,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated_words(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("hits").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
 def op9_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -84,9 +102,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_url_redirects": op3_url_redirects,
+    "op4_warc_dictionary": op4_warc_dictionary,
     "op5_string_kernel": op5_string_kernel,
     "op6_chat_parts": op6_chat_parts,
     "op7_token_counts": op7_token_counts,
+    "op8_wu_manber": op8_wu_manber,
     "op9_stratified_shards": op9_stratified_shards,
     "op10_order_minhash": op10_order_minhash,
 }
