@@ -147,15 +147,20 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
             more = searched if more is None else more.unionAll(searched)
     if more is None:
         return found.drop("print")
-    united = more.groupBy("doc_id", "print").agg(
-        F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+    # Hits follow from a text alone, so a text's hash is key enough.
+    united = more.groupBy("print").agg(
+        F.array_distinct(F.flatten(F.collect_set("hits"))).alias("more_hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("more_items")
     )
-    both = found.alias("f").join(united.alias("u"), (F.col("f.doc_id").eqNullSafe(F.col("u.doc_id"))) & (F.col("f.print") == F.col("u.print")), "left")
-    union = lambda c: F.array_sort(F.array_union(f"f.{c}", F.coalesce(f"u.{c}", F.array().cast(found.schema[c].dataType))))
-    return both.select("f.doc_id", "n_words", union("hits").alias("hits"), union("items").alias("items"))
+    both = found.join(united, "print", "left")
+
+    def union(name: str):
+        return F.array_sort(F.array_union(name, F.coalesce(f"more_{name}", F.array().cast(found.schema[name].dataType)))).alias(name)
+
+    return both.select("doc_id", "n_words", union("hits"), union("items"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of ``docs`` in which no window of the benchmark occurs; all columns stay."""
-    hit = contaminated_words(docs, benchmark, window).filter(F.size("hits") > 0).select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    """The rows of ``docs`` in whose text no window of the benchmark occurs; all columns stay."""
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    hit = contaminated_words(texts, benchmark, window).filter(F.size("hits") > 0).select(F.col("doc_id").alias("_print")).distinct()
+    return docs.join(hit, F.xxhash64("text") == F.col("_print"), "left_anti")

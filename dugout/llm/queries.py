@@ -46,7 +46,7 @@ def op4_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = string_kernel.learnable(_table(spark, sf_dir, "labels"))
-    scores = string_kernel.scored(_table(spark, sf_dir, "documents"), labels)
+    scores = string_kernel.scored(_table(spark, sf_dir, "documents"), labels, carry=["doc_id"])
     return scores.select("doc_id", string_kernel.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

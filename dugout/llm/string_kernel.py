@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from dugout.llm.runtime import ship
 
@@ -256,14 +257,14 @@ def sampled(docs: DataFrame, labels: DataFrame, how: Fitting) -> tuple[list[byte
     return texts, np.array(toxic, dtype=bool), float(counts or 0.0)
 
 
-def _scorer(model):
+def _scorer(model, at: int, carried: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value
         for batch in batches:
-            text = batch.column(1).cast(pa.large_string()).fill_null("")
-            offsets = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset : text.offset + len(text) + 1]
+            text = batch.column(at).cast(pa.large_string()).fill_null("")
+            offsets = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
             data = np.frombuffer(text.buffers()[2], dtype=np.uint8) if text.buffers()[2] else np.empty(0, np.uint8)
-            best, start = [], 0
+            best, start = [np.empty(0, np.float32)], 0
             while start < len(text):
                 end = start + 1
                 while end < len(text) and offsets[end + 1] - offsets[start] <= _CHUNK:
@@ -271,22 +272,28 @@ def _scorer(model):
                 codes, starts = letters(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
                 best.append(strongest_windows(codes, starts, known.weights)[0])
                 start = end
-            scores = known.score(np.concatenate(best).astype(np.float64)) if best else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:], pa.array(scores, pa.float64())], names=[*batch.schema.names[:1], *batch.schema.names[2:], "score"])
+            scores = known.score(np.concatenate(best).astype(np.float64))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in carried), pa.array(scores, pa.float64())], names=[*(batch.schema.names[i] for i in carried), "score"]
+            )
 
     return run
 
 
-def scored(docs: DataFrame, labels: DataFrame, how: Fitting = Fitting()) -> DataFrame:
-    """doc_id and score, 0 to 1, of every row of ``docs`` (doc_id, text), with a machine fitted on ``labels`` (doc_id, toxic).
+def scored(docs: DataFrame, labels: DataFrame, how: Fitting = Fitting(), carry: list[str] | None = None, out: str = "score") -> DataFrame:
+    """Columns ``carry`` of ``docs`` (all by default) and ``out``, 0 to 1, of every row, by a machine fitted on ``labels`` (doc_id, toxic).
 
-    A null, empty or letterless text gets the score of no evidence.  Rows that
-    repeat are scored alike.  Without labels of both kinds all scores are near 0.
-    An empty table gives no rows.
+    ``docs`` has doc_id and text; a column of its own that is named ``out`` is
+    replaced.  A null, empty or letterless text gets the score of no evidence.
+    Rows that repeat are scored alike.  Without labels of both kinds all scores
+    are near 0.  An empty table gives no rows.
     """
     ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(*sampled(docs, labels, how), how))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scorer(model), "doc_id long, score double")
+    carry = [c for c in (docs.columns if carry is None else carry) if c != out]
+    rows = docs.select(*dict.fromkeys([*carry, "text"])).withColumn("text", F.col("text").cast("string"))
+    schema = StructType([*(rows.schema[c] for c in carry), StructField(out, DoubleType())])
+    return rows.mapInArrow(_scorer(model, rows.columns.index("text"), [rows.columns.index(c) for c in carry]), schema)
 
 
 def held_out(doc_id) -> object:
