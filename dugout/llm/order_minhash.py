@@ -16,30 +16,38 @@ from pyspark.sql import functions as F
 
 #: log2 of the bins, k-mers selected per bin, words of a k-mer.
 BIN_BITS, SELECTED, K = 6, 2, 2
+#: A k-mer is one number: 40 bits of its hash, then 24 bits of its place (of 16 million words; places beyond start anew).
+PLACE_BITS = 24
+_PLACE = (1 << PLACE_BITS) - 1
 
 
-def _numbered(sorted_kmers: Column) -> Column:
-    """Hashes of (k-mer, occurrence number) with the k-mer and its place, from k-mers sorted by hash, then place.
+def _place(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(_PLACE))
+
+
+def _packed(hashed: Column, place: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(~_PLACE)).bitwiseOR(place.cast("long").bitwiseAND(F.lit(_PLACE)))
+
+
+def _numbered(kmers: Column) -> Column:
+    """K-mers, sorted by hash and place, with the hash of (k-mer, number of earlier occurrences) instead.
 
     Equal k-mers stand together, so an entry's number is the longest step back
-    that still meets an equal one; it is found by doubling and halving the step.
+    that still meets an equal one; it is found by halving the step.
     """
 
     def same(i: Column, back: Column, x: Column) -> Column:
-        return F.coalesce(F.get(sorted_kmers, i - back)["h"] == x["h"], F.lit(False)) & (i >= back)
+        return F.coalesce(F.shiftright(F.get(kmers, i - back), PLACE_BITS) == F.shiftright(x, PLACE_BITS), F.lit(False))
 
     def number(i: Column, x: Column) -> Column:
         steps = F.array(*(F.lit(1 << s) for s in range(30, -1, -1)))
         return F.aggregate(steps, F.lit(0), lambda got, step: F.when(same(i, got + step, x), got + step).otherwise(got))
 
-    return F.transform(
-        sorted_kmers,
-        lambda x, i: F.struct(F.when(same(i, F.lit(1), x), F.xxhash64(x["h"], number(i, x))).otherwise(x["h"]).alias("n"), x["p"].alias("p"), x["h"].alias("h")),
-    )
+    return F.transform(kmers, lambda x, i: F.when(same(i, F.lit(1), x), _packed(F.xxhash64(F.shiftright(x, PLACE_BITS), number(i, x)), _place(x))).otherwise(x))
 
 
 def with_fingerprint(frame: DataFrame, text: str, out: str, k: int = K, bin_bits: int = BIN_BITS, selected: int = SELECTED) -> DataFrame:
-    """Add ``out``, the fingerprint of ``text``: 8 hex digits per bin, dashes for an empty one.
+    """Add ``out``, the fingerprint of ``text``: per bin that has k-mers its number and tuple in hex, two and eight digits.
 
     A null text counts as empty; an empty or blank text has one empty k-mer, a
     text of fewer than k words one k-mer of them all.  Texts with equal words
@@ -47,46 +55,38 @@ def with_fingerprint(frame: DataFrame, text: str, out: str, k: int = K, bin_bits
     """
     words = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: F.xxhash64(w))
     frame = frame.withColumn("_words", words)
-    joined = F.col("_words")
-    n = F.size("_words")
-    for step in range(1, k):
-        joined = F.zip_with(joined, F.slice("_words", step + 1, F.greatest(n - step, F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    whole = F.array(F.aggregate("_words", F.lit(0).cast("long"), lambda a, b: F.xxhash64(a, b)))
-    kmers = F.when(n <= k, whole).otherwise(F.slice(joined, 1, F.greatest(n - (k - 1), F.lit(1))))
-    placed = F.sort_array(F.transform(kmers, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
-    frame = frame.withColumn("_kmers", placed)
+    every = F.col("_words")
+    runs = F.transform(every, lambda w, i: _packed(F.xxhash64(w, *(F.get(every, i + step) for step in range(1, k))), i))
+    # Runs that would pass the end fall away; a short text keeps its first, which holds all its words.
+    frame = frame.withColumn("_kmers", F.sort_array(F.slice(runs, 1, F.greatest(F.size(every) - (k - 1), F.lit(1)))))
     frame = frame.withColumn("_kmers", F.sort_array(_numbered(F.col("_kmers"))))
     low = F.col("_kmers")
 
     def bin_of(x: Column) -> Column:
-        return F.shiftright(x["n"], 64 - bin_bits)
-
-    fewest = F.filter(low, lambda x, i: (i < selected) | F.coalesce(bin_of(F.get(low, i - selected)) != bin_of(x), F.lit(True)))
-    in_order = F.sort_array(F.transform(fewest, lambda x: F.struct(bin_of(x).alias("b"), x["p"].alias("p"), x["h"].alias("h"))))
-    frame = frame.withColumn("_kmers", in_order)
-    chosen = F.col("_kmers")
-
-    def tuple_at(x: Column, i: Column) -> Column:
-        later = [F.get(chosen, i + s) for s in range(1, selected)]
-        parts = [F.when(y["b"] == x["b"], y["h"]) for y in later]
-        return F.struct(x["b"].alias("b"), F.xxhash64(x["h"], *parts).alias("t"), ((i > 0) & F.coalesce(F.get(chosen, i - 1)["b"] == x["b"], F.lit(False))).alias("inner"))
-
-    heads = F.filter(F.transform(chosen, tuple_at), lambda x: ~x["inner"])
-    frame = frame.withColumn("_kmers", heads)
-    half = 1 << (bin_bits - 1)
-    found = F.map_from_entries(F.transform("_kmers", lambda x: F.struct(x["b"], F.substring(F.lpad(F.lower(F.hex(x["t"])), 16, "0"), 1, 8))))
-    frame = frame.withColumn("_kmers", found)
-    print_of = F.array_join(F.transform(F.sequence(F.lit(-half), F.lit(half - 1)), lambda b: F.coalesce(F.element_at("_kmers", b.cast("long")), F.lit("-" * 8))), "")
-    return frame.withColumn(out, print_of).drop("_words", "_kmers")
-
-
-def likeness(left: Column, right: Column, bin_bits: int = BIN_BITS) -> Column:
-    """Share of agreeing bins among those that are not empty on both sides; 0 to 1."""
-    empty = F.lit("-" * 8)
-    bins = F.sequence(F.lit(0), F.lit((1 << bin_bits) - 1))
-    pairs = F.transform(bins, lambda b: F.struct(F.substr(left, b * 8 + 1, F.lit(8)).alias("x"), F.substr(right, b * 8 + 1, F.lit(8)).alias("y")))
-    used = F.filter(pairs, lambda p: (p["x"] != empty) | (p["y"] != empty))
-    return F.size(F.filter(used, lambda p: p["x"] == p["y"])) / F.size(used)
+        return F.shiftright(x, 64 - bin_bits)
+
+    def entry(x: Column, i: Column) -> Column:
+        fewest = F.filter(F.slice(low, i + 1, F.lit(selected)), lambda y: bin_of(y) == bin_of(x))
+        # Place first, so that sorting restores the order of the text; the tuple is of the k-mers alone.
+        ordered = F.sort_array(F.transform(fewest, lambda y: F.shiftleft(_place(y), 64 - PLACE_BITS).bitwiseOR(F.shiftrightunsigned(y, PLACE_BITS))))
+        hashed = F.xxhash64(F.transform(ordered, lambda y: F.shiftleft(y, PLACE_BITS)))
+        number = F.lpad(F.hex((bin_of(x) + (1 << (bin_bits - 1))).cast("long")), 2, "0")
+        return F.lower(F.substring(F.concat(number, F.lpad(F.hex(hashed), 16, "0")), 1, 10))
+
+    def heads(x: Column, i: Column) -> Column:
+        return F.when((i == 0) | F.coalesce(bin_of(F.get(low, i - 1)) != bin_of(x), F.lit(True)), entry(x, i))
+
+    return frame.withColumn(out, F.array_join(F.transform(low, heads), " ")).drop("_words", "_kmers")
+
+
+def likeness(left: Column, right: Column) -> Column:
+    """Share of agreeing bins among those that either fingerprint has; 0 to 1."""
+    ours, theirs = F.split(left, " "), F.split(right, " ")
+
+    def bins(entries: Column) -> Column:
+        return F.transform(entries, lambda e: F.substring(e, 1, 2))
+
+    return F.size(F.array_intersect(ours, theirs)) / F.size(F.array_union(bins(ours), bins(theirs)))
 
 
 def with_next(docs: DataFrame, carried: dict[str, str], derive, blocks: int) -> DataFrame:
