@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import struct
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -80,16 +81,48 @@ def serialised_model(ranks: list[bytes]) -> bytes:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """What workers need: the serialised model, the pattern of pre-tokens, and the byte string of each id."""
+    """What workers need: the serialised model, the pattern of pre-tokens, the byte string of each id, late characters."""
 
     model: bytes
     pattern: str
     ranks: list[bytes]
+    late: str
+
+
+def late_characters() -> str:
+    """Letters and numbers that the pattern's library here knows and the tokenizer's own, of an older Unicode version, does not."""
+    import regex
+    import tiktoken
+
+    young = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")
+    young = regex.findall(r"[\p{L}\p{N}]", young)
+    probe = tiktoken.Encoding("probe", pat_str=r"\p{L}|\p{N}", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    known = set(bytes(probe.encode_ordinary("".join(young))).decode())
+    return "".join(c for c in young if c not in known)
 
 
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     ranks = read_ranks(path)
-    return Vocabulary(serialised_model(ranks), pattern, ranks)
+    return Vocabulary(serialised_model(ranks), pattern, ranks, late_characters())
+
+
+class _Cutter:
+    """The pattern's matches in a text."""
+
+    #: A character that no version assigns stands in for late ones while the text is cut.
+    STAND_IN = "\u0378"
+
+    def __init__(self, known: Vocabulary):
+        import regex
+
+        self._pattern = regex.compile(known.pattern)
+        self._late = regex.compile(f"[{''.join(map(regex.escape, known.late))}]") if known.late else None
+        self._first = min(known.late, default=chr(0x10FFFF))
+
+    def __call__(self, text: str) -> list[str]:
+        if self._late is None or text.isascii() or max(text) < self._first or not self._late.search(text):
+            return self._pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self._pattern.finditer(self._late.sub(self.STAND_IN, text))]
 
 
 class _Encoder(dict):
@@ -115,27 +148,25 @@ class _Encoder(dict):
         return ids
 
 
-_ENCODERS: dict[object, tuple[object, _Encoder]] = {}
+_ENCODERS: dict[int, tuple[_Cutter, _Encoder]] = {}
 
 
-def _encoder(shared) -> tuple[object, _Encoder]:
+def _encoder(shared) -> tuple[_Cutter, _Encoder]:
     """One encoder per worker process and vocabulary."""
-    import regex
-
     known = shared.value
     key = hash((known.model, known.pattern))
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = regex.compile(known.pattern), _Encoder(known)
+        _ENCODERS[key] = _Cutter(known), _Encoder(known)
     return _ENCODERS[key]
 
 
 def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, encoder = _encoder(shared)
+        cut, encoder = _encoder(shared)
         look_up = encoder.__getitem__
         for batch in batches:
-            ids = [b"".join(map(look_up, pattern.findall(text.as_py() or ""))) for text in batch.column(1)]
+            ids = [b"".join(map(look_up, cut(text.as_py() or ""))) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return run

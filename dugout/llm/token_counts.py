@@ -45,7 +45,8 @@ class Counter(dict):
         self._special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self._marks = special
         # White space is dropped by the pattern, so of the normalizer only its letters matter.
-        self._normalize = Tokenizer.from_str(definition).normalizer.normalize_str
+        library = Tokenizer.from_str(definition)
+        self._normalize, self._cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self._find = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
 
     def __missing__(self, word: str) -> int:
@@ -58,7 +59,9 @@ class Counter(dict):
 
     def merged(self, word: str) -> int:
         """Tokens of one pre-token."""
-        letters = [self._letters[b] for b in word.encode()]
+        return self._merged([self._letters[b] for b in word.encode()])
+
+    def _merged(self, letters: list[str]) -> int:
         letters[-1] += self._end
         # A symbol outside the vocabulary gives no token.
         symbols = [s for s in map(self._vocabulary.get, letters) if s is not None]
@@ -92,13 +95,15 @@ class Counter(dict):
         return len(self._special.findall(text)) + sum(map(self._plain, self._special.split(text)))
 
     def _plain(self, text: str) -> int:
-        return sum(map(self.__getitem__, self._find(self._lowered(text))))
+        """Tokens of a text without special strings.
 
-    def _lowered(self, text: str) -> str:
-        """The normalizer's result but for white space: below U+0250 its composition changes nothing and lowering is plain."""
+        Below U+0250 composition changes nothing, lowering is plain and all
+        Unicode versions agree on letters; other texts are normalised and cut
+        by the file's own rules, in the version the library knows.
+        """
         if text.isascii() or max(text) < "\u0250":
-            return text.lower()
-        return self._normalize(text)
+            return sum(map(self.__getitem__, self._find(text.lower())))
+        return sum(self._merged(list(piece)) for piece, _ in self._cut(self._normalize(text)))
 
 
 _COUNTERS: dict[int, Counter] = {}

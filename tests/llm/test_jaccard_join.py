@@ -104,7 +104,7 @@ def test_every_entry_demand_is_met(n):
         if 100 * both < 85 * (len(left) + len(right) - both) or len(left) == len(right) == both:
             continue
         share = rng.choice([0, 0.5, 0.97, 1])
-        frequent = lambda v: (v * np.uint64(0x9E3779B97F4A7C15)) < np.uint64(int(share * ((1 << 64) - 1)))  # noqa: E731, B023
+        frequent = lambda v: (v * np.uint64(0x9E3779B97F4A7C15)) < np.uint64(min((1 << 64) - 1, int(share * (1 << 64))))  # noqa: E731, B023
         known = lambda v: np.isin(v, left) & np.isin(v, right)  # noqa: E731, B023
         a, b = (index_keys(s, limit, known, frequent)[0] for s in (left, right))
         assert len(np.intersect1d(a, b)) >= min(shared_entries(len(left)), shared_entries(len(right)))
