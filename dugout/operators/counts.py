@@ -16,6 +16,12 @@ def count_label() -> Column:
     return F.concat_ws("-", "balls", "strikes")
 
 
+def _mean_of_thousandths(value: Column) -> Column:
+    """Mean of whole thousandths as a rate, rounded half away from zero in whole numbers."""
+    total, n = F.sum(value), F.count(value)
+    return F.when(n > 0, F.floor((2 * total + n) / (2 * n)) / 1000)
+
+
 def count_state_splits(
     pitches: DataFrame,
     at_bats: DataFrame,
@@ -33,7 +39,8 @@ def count_state_splits(
 ) -> DataFrame:
     """Batter results over appearances that reached a count.
 
-    Pitch rates are those of the whole appearance, rounded before averaging.
+    Pitch rates are those of the whole appearance, rounded before averaging; as
+    whole thousandths their sum does not depend on the order of rows.
     """
     reached = filter_pitches(
         scope, balls=balls, strikes=strikes, outs=outs, base_state=base_state, stand=stand, p_throws=p_throws,
@@ -42,12 +49,11 @@ def count_state_splits(
     key = list(ap.APPEARANCE)
     batters = pitches.filter(reached).select(*key, "batter_id").distinct()
     d = F.col("description")
-    rates = pitches.groupBy(*key).agg(
-        rate(vocab.is_swing(d)).alias("swing_pct"),
-        rate(vocab.is_whiff(d)).alias("whiff_pct"),
-        rate(vocab.is_called_strike(d)).alias("called_strike_pct"),
-        rate(F.col("bb_type").isNotNull()).alias("contact_pct"),
-    )
+    kinds = {
+        "swing_pct": vocab.is_swing(d), "whiff_pct": vocab.is_whiff(d), "called_strike_pct": vocab.is_called_strike(d),
+        "contact_pct": F.col("bb_type").isNotNull(),
+    }
+    rates = pitches.groupBy(*key).agg(*[F.round(rate(kind) * 1000).cast("bigint").alias(name) for name, kind in kinds.items()])
     results = at_bats.select(*key, "xwoba", "woba_value", "final_event")
     measures = ap.result_rates()
     per_batter = (
@@ -59,7 +65,7 @@ def count_state_splits(
             measures["xwoba"].alias("xwoba"),
             mean(F.col("woba_value")).alias("woba"),
             *ap.named(measures, "k_pct", "bb_pct", avg="hit_pct"),
-            *[mean(F.col(c)).alias(c) for c in ("swing_pct", "whiff_pct", "called_strike_pct", "contact_pct")],
+            *[_mean_of_thousandths(F.col(name)).alias(name) for name in kinds],
         )
         .filter(F.col("pa") >= min_pa)
     )

@@ -74,11 +74,13 @@ def outcome_windows(classified: DataFrame, depth: int, *extra_keys: str) -> Data
     """Each pitch with the outcomes and descriptions of the ``depth`` adjacent ones after it.
 
     A value is NULL from the first missing pitch number on.  Pitch numbers are cut
-    into segments and the first pitches of a segment are lent to the one before,
-    so an appearance of any length spreads over many window groups.
+    into segments, none shorter than the depth, and the first pitches of a segment
+    are lent to the one before, so an appearance of any length spreads over many
+    window groups.
     """
-    segment = F.floor(F.col("pitch_number") / _SEGMENT)
-    lent = (F.col("pitch_number") % _SEGMENT < depth) & (F.col("pitch_number") >= _SEGMENT)
+    length = max(_SEGMENT, depth)
+    segment = F.floor(F.col("pitch_number") / length)
+    lent = (F.col("pitch_number") % length < depth) & (F.col("pitch_number") >= length)
     copies = F.when(lent, F.array(segment, segment - 1)).otherwise(F.array(segment))
     spread = classified.select("*", F.explode(copies).alias("_segment"))
     w = Window.partitionBy(*APPEARANCE, *extra_keys, "_segment").orderBy("pitch_number")
@@ -87,7 +89,7 @@ def outcome_windows(classified: DataFrame, depth: int, *extra_keys: str) -> Data
         adjacent = F.lead("pitch_number", i).over(w) == F.col("pitch_number") + i
         steps[f"outcome_{i}"] = F.when(adjacent, F.lead("outcome", i).over(w))
         steps[f"description_{i}"] = F.when(adjacent, F.lead("description", i).over(w))
-    own = F.floor(F.col("pitch_number") / _SEGMENT) == F.col("_segment")
+    own = segment == F.col("_segment")
     return spread.withColumns(steps).withColumnRenamed("outcome", "outcome_0").filter(own).drop("_segment")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from datetime import date, timedelta
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from dugout.functions import vocab
 from dugout.operators import clean, players, quality, rollup, season_stats
-from dugout.schemas import BACKFILL_STATUS, INGESTION_LOG, PITCHES, SEASON_TABLES, conform
+from dugout.schemas import BACKFILL_STATUS, INGESTION_LOG, PITCHES, SEASON_TABLES, TABLES, conform
 from dugout.sources import bundles, landing
 from dugout.sources.store import TableStore
 
@@ -46,27 +47,28 @@ def _log_rows(store: TableStore, counted: DataFrame) -> None:
 def load(store: TableStore, raw: DataFrame) -> DataFrame:
     """Clean a batch of raw rows and upsert players, games, pitches and at-bats.
 
-    Returns the stored form of the batch.  Safe to repeat: every write is by key.
+    Returns the stored form of the batch, staged; ``store.unstage`` removes it.
+    Safe to repeat: every write is by key.
     Appearances of touched games are rolled up again from all their stored pitches,
     so a batch that corrects a single pitch leaves a whole at-bat.
     """
     cleaned = clean.supported_games(clean.clean_pitches(raw))
     extra = [c for c in ("home_team", "away_team") if c in cleaned.columns]
     batch = store.stage(clean.dedupe_pitches(_with_sides(cleaned, extra)))
+    pitches = batch.drop(*extra)
+    pitches.staged_at = batch.staged_at
     if batch.isEmpty():
-        return batch.drop(*extra)
+        return pitches
     games = store.stage(clean.games_dim(batch))
-    touched = store.touched(games)
-    # A game that changed its date may have rows in another partition.
-    known = store.read("games").join(games.select("game_pk"), "game_pk", "left_semi")
-    moved = [value for value in store.touched(known) if value not in touched]
-    pitches = batch.drop(*extra)
+    of_batch = games.select("game_pk")
     store.insert_ignore("players", clean.player_stubs(batch), ["player_id"])
-    store.upsert("games", games, ["game_pk"], touched, moved)
-    store.upsert("pitches", pitches, ["pitch_id"], touched, moved)
-    stored = store.read("pitches").filter(store.in_partitions(touched + moved))
-    of_games = stored.join(games.select("game_pk"), "game_pk", "left_semi")
-    store.upsert("at_bats", rollup.at_bat_rollup(of_games), ["at_bat_id"], touched, moved)
+    store.upsert("games", games, ["game_pk"])
+    store.upsert("pitches", pitches, ["pitch_id"], locate=["game_pk"])
+    # A game may lie in several partitions, old ones among them.
+    stored = store.read("pitches").filter(store.in_partitions(store.holding("pitches", of_batch)))
+    of_games = stored.join(of_batch, "game_pk", "left_semi")
+    store.upsert("at_bats", rollup.at_bat_rollup(of_games), ["at_bat_id"], locate=["game_pk"])
+    store.unstage(games)
     return pitches
 
 
@@ -83,7 +85,9 @@ def _with_sides(cleaned: DataFrame, extra: list[str]) -> DataFrame:
 
 def load_range(store: TableStore, raw: DataFrame, start: date, end: date) -> int:
     """Load a date range and log it; returns rows loaded."""
-    loaded = load(store, landing.in_dates(raw, start, end)).count()
+    batch = load(store, landing.in_dates(raw, start, end))
+    loaded = batch.count()
+    store.unstage(batch)
     if loaded:
         run = store.spark.createDataFrame([(start, end, loaded)], "start_date date, end_date date, rows_loaded bigint")
         _log_rows(store, run)
@@ -97,7 +101,7 @@ def mark_backfill(store: TableStore, rows: list[tuple[int, date, date, int, bool
     ).withColumns(
         {"completed_at": F.when(F.col("completed"), F.current_timestamp()), "updated_at": F.current_timestamp()}
     )
-    store.upsert("season_backfill_status", store.stage(conform(marked, BACKFILL_STATUS)), ["season"])
+    store.upsert("season_backfill_status", conform(marked, BACKFILL_STATUS), ["season"])
 
 
 def backfill(store: TableStore, raw: DataFrame, seasons: list[int], today: date, chunk_days: int = 7) -> dict[int, int]:
@@ -117,6 +121,7 @@ def backfill(store: TableStore, raw: DataFrame, seasons: list[int], today: date,
     )
     _log_rows(store, per_chunk)
     counted = {row["season"]: row["n"] for row in loaded.groupBy("season").agg(F.count(F.lit(1)).alias("n")).collect()}
+    store.unstage(loaded)
     mark_backfill(store, [(s, start, end, counted.get(s, 0), True) for s, start, end in spans])
     return {s: counted.get(s, 0) for s, _, _ in spans}
 
@@ -124,7 +129,10 @@ def backfill(store: TableStore, raw: DataFrame, seasons: list[int], today: date,
 def replace_season_stats(store: TableStore, feeds: dict[str, DataFrame], season: int) -> dict[str, int]:
     """Replace a season's rows of the stat tables from raw stat frames.
 
-    An empty feed removes the season's rows.
+    Rows of the feed replace those of their keys, whichever season they carry; then
+    stored rows of the season that the feed does not have go.  Nothing is removed
+    before the new rows are there.  An empty feed removes the season's rows, with
+    a warning.
     """
     written = {}
     for name, feed in feeds.items():
@@ -132,11 +140,20 @@ def replace_season_stats(store: TableStore, feeds: dict[str, DataFrame], season:
         one_per_key = normalised.withColumn(
             "_rank", F.row_number().over(W.partitionBy("row_key").orderBy(F.desc("stats_json")))
         ).filter("_rank = 1").drop("_rank")
-        rows = store.stage(one_per_key)
-        store.delete_season(season, (name,))
+        rows = store.stage(conform(one_per_key, TABLES[name]))
         written[name] = rows.count()
         if written[name]:
-            store.replace(name, rows)
+            store.upsert(name, rows, ["row_key"])
+        else:
+            warnings.warn(f"the feed of {name} for {season} is empty; the season's rows are removed", stacklevel=2)
+        of_season = store.read(name).filter(F.col("season") == season)
+        kept = store.stage(of_season.join(rows.select("row_key"), "row_key", "left_semi"))
+        if kept.isEmpty():
+            store.delete_season(season, (name,))
+        else:
+            store.replace(name, kept)
+        store.unstage(kept)
+        store.unstage(rows)
     return written
 
 
@@ -176,10 +193,11 @@ def enrich(store: TableStore, names: DataFrame, profiles: DataFrame) -> dict[str
     pitches, stored = store.read("pitches"), store.read("players")
     filled = store.stage(players.enrich_players(stored, pitches, names, profiles))
     refreshed = store.stage(players.refresh_player_teams(filled, pitches))
-    store.replace("players", refreshed.drop("team_changed"))
+    store.swap("players", refreshed.drop("team_changed"))
     counted = refreshed.agg(
         F.count_if("team_changed").alias("teams_changed"), F.count_if(F.col("full_name").isNull()).alias("unnamed")
     ).first()
+    store.unstage(filled, refreshed)
     return counted.asDict()
 
 

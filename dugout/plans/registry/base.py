@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from dugout.functions import vocab
 from dugout.plans import oracle
 from dugout.plans.lake import Lake
 
@@ -65,3 +66,36 @@ def tb(event: str = "final_event") -> str:
 
 def div(top: str, bottom: str, digits: int = 3) -> str:
     return f"ROUND(CAST({top} AS DOUBLE) / NULLIF({bottom}, 0), {digits})"
+
+
+def one_of(column: str, values) -> str:
+    """Membership in one of the fixed sets of ``vocab``."""
+    return f"{column} IN ({', '.join(repr(v) for v in values)})"
+
+
+def many(test: str) -> str:
+    return f"COUNT(*) FILTER ({test})"
+
+
+def share(test: str) -> str:
+    """Share of rows that pass a test, to three digits."""
+    return f"ROUND({many(test)} / CAST(NULLIF(COUNT(*), 0) AS DOUBLE), 3)"
+
+
+EVENT = "final_event"
+HIT, WALK, OUT_BY_STRIKES = (one_of(EVENT, v) for v in (vocab.HIT_EVENTS, vocab.WALK_EVENTS, vocab.STRIKEOUT_EVENTS))
+OFFICIAL = f"NOT {one_of(EVENT, vocab.AB_EXCLUDED_EVENTS)}"
+HOMER = f"{EVENT} = 'home_run'"
+MISSED, CALLED_OR_MISSED = one_of("description", vocab.WHIFF_NARROW), one_of("description", vocab.CSW_WIDE)
+BASES = "CAST(COALESCE(SUM(list_position(['single', 'double', 'triple', 'home_run'], final_event)), 0) AS BIGINT)"
+
+
+def columns(**measures: str) -> str:
+    """``expression AS name`` for each measure."""
+    return ", ".join(f"{text} AS {name}" for name, text in measures.items())
+
+
+def appearances(where: str, *values: str, pitches: str = "pitches_with_teams") -> str:
+    """Rows of at_bats whose pitches pass a filter, once per distinct combination of ``values`` of these pitches."""
+    grouped = ", ".join(("game_pk", "at_bat_number", *values))
+    return f"(SELECT {grouped} FROM {pitches} WHERE {where} GROUP BY ALL) JOIN at_bats AS ab USING (game_pk, at_bat_number)"

@@ -7,6 +7,7 @@ from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dugout.functions.numbers import json_safe
@@ -73,14 +74,39 @@ def landing_game(lake):
 
 @query(
     "season_stat_source",
-    f"""SELECT IDfg, Name, Team, AB, H FROM ({_BATTING_SQL}) f WHERE COALESCE(Season, 2019) = 2019 AND AB > 100""",
+    f"""SELECT IDfg, Name, Team, AB, H FROM ({_BATTING_SQL}) f WHERE COALESCE(Season, 2019) = 2019""",
 )
 def season_stat_source(lake):
     store = scratch(lake)
-    store.replace("stat_feed", _batting_feed(lake).filter("AB > 100"))
+    store.replace("stat_feed", _batting_feed(lake))
     return landing.read_season_stats(lake.spark, store.path("stat_feed"), 2019).select("IDfg", "Name", "Team", "AB", "H")
 
 
+@query(
+    "upsert_store",
+    """WITH latest AS (SELECT game_pk, MAX(at_bat_number) AS final_at_bat FROM pitches GROUP BY 1)
+       SELECT pitch_id, at_bat_number, pitch_number, description,
+         CAST(CASE WHEN p.game_pk % 5 = 0 AND at_bat_number = final_at_bat THEN game_date + INTERVAL 1 DAY
+                   ELSE game_date END AS DATE) AS game_date
+       FROM pitches p JOIN latest USING (game_pk)""",
+    "pitches",
+)
+def upsert_store(lake):
+    """All pitches of a store by date, after every fifth game came again with its last appearance on the next day."""
+    store = TableStore(lake.spark, scratch(lake).root, partitions=("season", "game_date"))
+    store.unstage(ingest.load(store, lake.raw))
+    final = F.max("at_bat_number").over(W.partitionBy("game_pk"))
+    later = F.date_format(F.date_add(F.to_date("game_date"), 1), "yyyy-MM-dd")
+    suspended = (
+        lake.raw.filter("game_pk % 5 = 0")
+        .withColumn("_final", final)
+        .withColumn("game_date", F.when(F.col("at_bat_number") == F.col("_final"), later).otherwise(F.col("game_date")))
+        .drop("_final")
+    )
+    store.unstage(ingest.load(store, suspended))
+    return store.read("pitches").select("pitch_id", "at_bat_number", "pitch_number", "description", "game_date")
+
+
 @query(
     "json_safe",
     """SELECT pitch_id, CASE WHEN zone IN (1, 2, 3) THEN NULL ELSE release_speed END AS release_speed, plate_x FROM pitches""",

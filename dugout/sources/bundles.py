@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dugout.operators import summaries
 from dugout.schemas import CORE_TABLES, SEASON_TABLES, STAT_TABLES, SUMMARY_TABLES, TABLES
-from dugout.sources.store import TableStore
+from dugout.sources.store import TableStore, path_exists
 
 KEYS = {
     "players": ["player_id"],
@@ -63,10 +62,8 @@ def export_all(store: TableStore, root: str) -> list[str]:
 
 
 def _table(store: TableStore, folder: str, name: str) -> DataFrame | None:
-    try:
-        return store.spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
-    except AnalysisException:
-        return None
+    path = f"{folder}/{name}.parquet"
+    return store.spark.read.schema(TABLES[name]).parquet(path) if path_exists(store.spark, path) else None
 
 
 def bundle_exists(store: TableStore, folder: str) -> bool:
@@ -81,13 +78,11 @@ def bundle_tables(store: TableStore, folder: str) -> dict[str, DataFrame]:
 
 
 def _bundle_season(store: TableStore, folder: str, pitches: DataFrame) -> int | None:
-    try:
-        manifest = store.spark.read.schema("season int").json(f"{folder}/metadata.json", multiLine=True)
-        row = manifest.select("season").first()
+    path = f"{folder}/metadata.json"
+    if path_exists(store.spark, path):
+        row = store.spark.read.schema("season int").json(path, multiLine=True).select("season").first()
         if row is not None and row["season"] is not None:
             return row["season"]
-    except AnalysisException:
-        pass
     return pitches.agg(F.min("season")).first()[0]
 
 
@@ -110,18 +105,17 @@ def import_bundle(store: TableStore, folder: str) -> None:
     if missing:
         raise FileNotFoundError(f"bundle {folder} is incomplete, missing: {', '.join(missing)}")
     seasons = [r[0] for r in tables["games"].select("season").distinct().collect()]
-    touched = [{"season": s} for s in seasons] if store.partitions == ("season",) else None
     for name in CORE_TABLES:
         rows = tables[name]
         if name == "players":
             # A player is in the bundle of every season played: the latest row is kept.
             latest = F.max_by(F.struct(*rows.columns), F.col("_metadata.file_path"))
             rows = rows.groupBy("player_id").agg(latest.alias("row")).select("row.*")
-        store.upsert(name, rows, KEYS[name], touched)
+        store.upsert(name, rows, KEYS[name], locate=["game_pk"] if "game_pk" in rows.columns else None)
     absent = tuple(name for name in SUMMARY_TABLES if name not in tables)
     for name in SUMMARY_TABLES + STAT_TABLES:
         if name in tables:
-            store.upsert(name, tables[name], KEYS[name], touched)
+            store.upsert(name, tables[name], KEYS[name])
     if absent:
         if "*" not in folder:
             seasons = [s for s in [_bundle_season(store, folder, tables["pitches"])] if s is not None]

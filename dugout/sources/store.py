@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-from dataclasses import dataclass, field
+import uuid
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,20 +34,31 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
-def size_shuffles(spark: SparkSession, path: str, target_bytes: int = 128 << 20, expansion: int = 4) -> int:
-    """Raise the session's shuffle partitions to suit the bytes stored below a path.
+#: Ending of the folder a table is written to before it takes the table's place.
+_BESIDE = "__next"
+_HIVE_NULL = "__HIVE_DEFAULT_PARTITION__"
 
-    Adaptive execution merges partitions that turn out small but cannot split an
-    aggregation's, so the number must start high enough.  It is never lowered.
-    """
+
+def _located(spark: SparkSession, path: str):
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stored = system.getContentSummary(folder).getLength() if system.exists(folder) else 0
-    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = max(current, -(-stored * expansion // target_bytes))
-    if wanted > current:
-        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
-    return wanted
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, or a pattern of paths, is there."""
+    system, folder = _located(spark, path)
+    return len(system.globStatus(folder) or []) > 0
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, folder = _located(spark, path)
+    system.delete(folder, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    system, folder = _located(spark, path)
+    if not system.rename(folder, _located(spark, to)[1]):
+        raise OSError(f"cannot move {path} to {to}")
 
 
 @dataclass
@@ -65,7 +76,6 @@ class TableStore:
     spark: SparkSession
     root: str
     partitions: tuple[str, ...] = ("season",)
-    _staged: int = field(default=0, repr=False)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -79,13 +89,13 @@ class TableStore:
         The schema is given, so no file is opened to infer it; columns a file lacks
         read as NULL and narrower numbers widen.
         """
+        self._recover(name)
+        if not path_exists(self.spark, self.path(name)):
+            return None
         reader = self.spark.read
         if name in TABLES:
             reader = reader.schema(TABLES[name])
-        try:
-            return reader.parquet(self.path(name))
-        except AnalysisException:
-            return None
+        return reader.parquet(self.path(name))
 
     def exists(self, name: str) -> bool:
         return self._load(name) is not None
@@ -123,10 +133,35 @@ class TableStore:
 
     def stage(self, df: DataFrame) -> DataFrame:
         """Write a frame aside and read it back, cutting its lineage."""
-        self._staged += 1
-        path = f"{self.root}/_staging/{self.spark.sparkContext.applicationId}-{id(self)}-{self._staged}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        path = f"{self.root}/_staging/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        staged = self.spark.read.schema(df.schema).parquet(path)
+        staged.staged_at = path
+        return staged
+
+    def unstage(self, *staged: DataFrame) -> None:
+        """Remove staged frames that nothing reads any more."""
+        for frame in staged:
+            remove(self.spark, frame.staged_at)
+
+    def swap(self, name: str, df: DataFrame) -> None:
+        """Replace a whole table by rows that may come from it.
+
+        The rows are written beside it and moved into its place when complete; a
+        crash between the two moves is mended by the next reader.  Needs a file
+        system that renames folders, as HDFS and local ones do.
+        """
+        beside = f"{self.path(name)}{_BESIDE}"
+        remove(self.spark, beside)
+        self._write(df, beside, "overwrite")
+        remove(self.spark, self.path(name))
+        rename(self.spark, beside, self.path(name))
+
+    def _recover(self, name: str) -> None:
+        """Finish a swap that was broken off after the old table had gone."""
+        beside = f"{self.path(name)}{_BESIDE}"
+        if not path_exists(self.spark, self.path(name)) and path_exists(self.spark, f"{beside}/_SUCCESS"):
+            rename(self.spark, beside, self.path(name))
 
     def touched(self, df: DataFrame) -> list[dict]:
         """Partition values present in a frame: one small row per partition."""
@@ -134,46 +169,63 @@ class TableStore:
         return [row.asDict() for row in df.select(*by).distinct().collect()] if by else []
 
     def in_partitions(self, values: list[dict]) -> Column:
+        """Rows of the given partitions: one list of dates per season, so the condition stays flat."""
         if not values:
             return F.lit(False)
+        *outer, inner = values[0]
+        groups: dict[tuple, list] = {}
+        for row in values:
+            groups.setdefault(tuple(row[c] for c in outer), []).append(row[inner])
+
+        def within(known: list) -> Column:
+            found = F.col(inner).isin([v for v in known if v is not None])
+            return found | F.col(inner).isNull() if None in known else found
+
         return reduce(
-            lambda a, b: a | b, [reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.lit(v)) for c, v in row.items()]) for row in values]
+            lambda a, b: a | b,
+            [
+                reduce(lambda x, y: x & y, [*(F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(outer, group)), within(known)])
+                for group, known in groups.items()
+            ],
         )
 
-    def upsert(
-        self,
-        name: str,
-        updates: DataFrame,
-        keys: list[str],
-        touched: list[dict] | None = None,
-        moved: list[dict] | None = None,
-    ) -> None:
-        """Insert or replace rows by key, rewriting only touched partitions.
-
-        ``touched`` are the partitions of ``updates``, found when not given.
-        ``moved`` names further partitions where rows of the same keys may lie.
-        Spark writes the new files aside and swaps partitions when the job commits,
-        so reading the old rows while replacing them is safe.
+    def holding(self, name: str, keys: DataFrame) -> list[dict]:
+        """Partitions of a stored table with rows of the given keys; only key and partition columns are read."""
+        stored = self.read(name)
+        by = self.partition_columns(stored.columns)
+        return self.touched(stored.select(*dict.fromkeys([*by, *keys.columns])).join(keys, keys.columns, "left_semi")) if by else []
+
+    def upsert(self, name: str, updates: DataFrame, keys: list[str], locate: list[str] | None = None) -> None:
+        """Insert or replace rows by key; no row of another key is lost or changed.
+
+        Only partitions are rewritten that hold rows of ``updates`` or stored rows
+        of their keys, and every rewritten partition is read whole.  Unless the
+        keys tell the partition, stored rows are looked for by ``locate``, columns
+        that equal keys share (the keys themselves by default).  Spark writes the
+        new files aside and swaps partitions when the job commits, so reading the
+        old rows while replacing them is safe.
         """
-        updates = conform(updates, TABLES[name]) if name in TABLES else updates
+        updates = self.stage(conform(updates, TABLES[name]) if name in TABLES else updates)
+        by = self.partition_columns(updates.columns)
         if not self.exists(name):
             self.replace(name, updates)
-            return
-        existing = self.read(name)
-        if not self.partition_columns(updates.columns):
-            self.replace(name, self.stage(upsert(existing, updates, keys)))
-            return
-        moved = moved or []
-        values = self.touched(updates) if touched is None else touched
-        emptied = []
-        if moved:
-            # A partition all of whose rows go elsewhere gets no new files.
-            stay = existing.filter(self.in_partitions(moved)).join(updates.select(*keys), keys, "left_anti")
-            kept = self.touched(stay) + self.touched(updates)
-            emptied = [value for value in moved if value not in kept]
-        self.replace(name, upsert(existing.filter(self.in_partitions(values + moved)), updates, keys))
-        for value in emptied:
-            self.drop_partition(name, value)
+        elif not by:
+            self.swap(name, upsert(self.read(name), updates, keys))
+        else:
+            values = self.touched(updates)
+            moved = []
+            if not set(by) <= set(keys):
+                moved = [v for v in self.holding(name, updates.select(*(locate or keys)).distinct()) if v not in values]
+            old = self.read(name).filter(self.in_partitions(values + moved))
+            emptied = []
+            if moved:
+                # A partition all of whose rows go elsewhere gets no new files.
+                stay = self.touched(old.filter(self.in_partitions(moved)).join(updates.select(*keys), keys, "left_anti"))
+                emptied = [value for value in moved if value not in stay]
+            self.replace(name, upsert(old, updates, keys))
+            for value in emptied:
+                self.drop_partition(name, value)
+        self.unstage(updates)
 
     def insert_ignore(self, name: str, updates: DataFrame, keys: list[str]) -> None:
         """Append rows whose key is new; stored rows win and stay where they are."""
@@ -182,10 +234,8 @@ class TableStore:
 
     def drop_partition(self, name: str, value: dict) -> None:
         """Remove the files of one partition through the cluster's file system."""
-        folder = "/".join(f"{c}={value[c]}" for c in self.partitions if c in value)
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{folder}")
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        folder = "/".join(f"{c}={_HIVE_NULL if value[c] is None else value[c]}" for c in self.partitions if c in value)
+        remove(self.spark, f"{self.path(name)}/{folder}")
 
     def delete_season(self, season: int, tables: tuple[str, ...]) -> None:
         """Remove one season from every given table."""

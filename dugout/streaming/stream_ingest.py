@@ -34,6 +34,7 @@ def stream_ingest(
     def load_batch(batch: DataFrame, batch_id: int) -> None:
         loaded = ingest.load(store, batch)
         seasons = [row["season"] for row in loaded.select("season").distinct().collect()]
+        store.unstage(loaded)
         if refresh and seasons:
             ingest.refresh_season(store, seasons)
 

@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from dugout.operators import quality, rollup
+from dugout.operators import clean, quality, rollup
 from dugout.plans import ingest
 from dugout.schemas import PITCHES
 from dugout.sources import bundles, landing
@@ -180,3 +180,99 @@ def test_thin_dates_and_verdicts(pitches):
     assert verdicts == {2018: "CLOSE", 2019: "CLOSE"}
     thin = quality.thin_dates(df, F.when(F.col("season") == 2018, 3).otherwise(9)).collect()
     assert [(r.season, r.games) for r in thin] == [(2019, 5)]
+
+
+LAYOUTS = [("season",), ("season", "game_date")]
+
+
+def two_game_feed(lake, first_date, second_dates):
+    """Two games of the feed: one on a given date, one whose last appearance is on another date than the rest."""
+    games = [r.game_pk for r in lake.raw.select("game_pk").distinct().orderBy("game_pk").limit(2).collect()]
+    one = lake.raw.filter(F.col("game_pk") == games[0]).withColumn("game_date", F.lit(first_date))
+    other = lake.raw.filter(F.col("game_pk") == games[1])
+    last = other.agg(F.max("at_bat_number")).first()[0]
+    moved = F.when(F.col("at_bat_number") == last, F.lit(second_dates[1])).otherwise(F.lit(second_dates[0]))
+    return games, one, other.withColumn("game_date", moved)
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("dates", [("2019-05-05", ("2019-05-04", "2019-05-05")), ("2019-12-31", ("2019-12-31", "2020-01-01"))])
+def test_a_game_over_two_partitions_loses_nothing(lake, spark, tmp_path, layout, dates):
+    store = TableStore(spark, str(tmp_path / "s"), partitions=layout)
+    games, one, other = two_game_feed(lake, *dates)
+    ingest.load(store, one.withColumn("game_date", F.lit(dates[1][1])))
+    ingest.load(store, other)
+    ingest.load(store, other)
+    whole = one.withColumn("game_date", F.lit(dates[1][1])).unionByName(other)
+    wanted = clean.prepare_pitches(whole)
+    assert same(store.read("pitches"), wanted)
+    assert same(store.read("at_bats"), rollup.at_bat_rollup(wanted))
+    # Coming again on one date, the game leaves the partitions it was in.
+    back = other.withColumn("game_date", F.lit(dates[1][0]))
+    ingest.load(store, back)
+    wanted = clean.prepare_pitches(one.withColumn("game_date", F.lit(dates[1][1])).unionByName(back))
+    assert same(store.read("pitches"), wanted)
+    assert same(store.read("at_bats"), rollup.at_bat_rollup(wanted))
+
+
+def test_upsert_leaves_other_partitions_alone(lake, spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "s"), partitions=("season", "game_date"))
+    store.replace("pitches", lake.pitches)
+    counts = {tuple(r): r["count"] for r in store.read("pitches").groupBy("season", "game_date").count().collect()}
+    store.upsert("pitches", lake.pitches.limit(3).withColumn("pitch_name", F.lit("changed")), ["pitch_id"], locate=["game_pk"])
+    assert counts == {tuple(r): r["count"] for r in store.read("pitches").groupBy("season", "game_date").count().collect()}
+    assert store.read("pitches").filter("pitch_name = 'changed'").count() == 3
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_a_bundle_with_pitches_of_more_seasons_than_its_games(lake, spark, tmp_path, layout):
+    store = TableStore(spark, str(tmp_path / "s"), partitions=layout)
+    for name, frame in (("players", lake.players), ("games", lake.games), ("pitches", lake.pitches), ("at_bats", lake.at_bats)):
+        store.replace(name, frame)
+    folder = str(tmp_path / "out" / "season=2018")
+    stray = lake.pitches.filter("season = 2019").limit(2).withColumn("pitch_name", F.lit("changed"))
+    for name, frame in (
+        ("players", lake.players), ("games", lake.games.filter("season = 2018")),
+        ("pitches", lake.pitches.filter("season = 2018").unionByName(stray)), ("at_bats", lake.at_bats.filter("season = 2018")),
+        ("league_pitch_state_summary", lake.league_state.filter("season = 2018")),
+        ("player_pitch_state_summary", lake.player_state.filter("season = 2018")),
+        ("pitch_transition_summary", lake.transitions.filter("season = 2018")),
+    ):
+        frame.write.parquet(f"{folder}/{name}.parquet")
+    bundles.import_bundle(store, folder)
+    assert store.read("pitches").count() == lake.pitches.count()
+    assert same(store.read("at_bats"), lake.at_bats)
+    assert store.read("pitches").filter("pitch_name = 'changed'").count() == 2
+
+
+def test_a_stat_feed_of_two_seasons_keeps_other_rows(spark, store):
+    feed = lambda *rows: {"batting_standard_stats": spark.createDataFrame(rows, "Season int, IDfg int, Name string, Team string, AB int")}
+    ingest.replace_season_stats(store, feed((2018, 1, "A", "X", 5), (2018, 2, "B", "X", 6)), 2018)
+    assert ingest.replace_season_stats(store, feed((2019, 1, "A", "X", 7), (2018, 3, "C", "X", 9)), 2019) == {"batting_standard_stats": 2}
+    stored = sorted((r.season, r.row_key) for r in store.read("batting_standard_stats").select("season", "row_key").collect())
+    assert len(stored) == 4 and [s for s, _ in stored] == [2018, 2018, 2018, 2019]
+    # The same key comes again under another season, and one of the season is gone.
+    ingest.replace_season_stats(store, feed((2019, 3, "C", "X", 8)), 2019)
+    stored = sorted((r.season, r.row_key) for r in store.read("batting_standard_stats").select("season", "row_key").collect())
+    assert stored == [(2018, "2018:1:X"), (2018, "2018:2:X"), (2019, "2019:3:X")]
+    with pytest.warns(UserWarning, match="empty"):
+        ingest.replace_season_stats(store, {k: f.limit(0) for k, f in feed((2019, 1, "A", "X", 7)).items()}, 2019)
+    assert {r.season for r in store.read("batting_standard_stats").collect()} == {2018}
+
+
+def test_a_broken_swap_is_mended(spark, store):
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int")
+    store.swap("odd", rows(1))
+    store.swap("odd", store.read("odd").unionByName(rows(2)))
+    assert store.read("odd").count() == 2
+    import os
+
+    os.rename(store.path("odd"), store.path("odd") + "__next")
+    assert store.read("odd").count() == 2
+
+
+def test_staging_is_removed(lake, store):
+    import os
+
+    store.unstage(ingest.load(store, lake.raw))
+    assert os.listdir(f"{store.root}/_staging") == []

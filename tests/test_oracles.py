@@ -7,6 +7,10 @@ from conftest import SMALL
 from dugout.plans.registry import ENTRIES
 
 
+#: Queries whose right result on the smallest data has no rows.
+EMPTY_HERE: set[str] = set()
+
+
 @pytest.fixture(scope="module")
 def con():
     return duck(SMALL)
@@ -15,7 +19,7 @@ def con():
 @pytest.mark.parametrize("name", [n for n, e in ENTRIES.items() if e.sql])
 def test_query_equals_its_sql(name, lake, con):
     found = differences(ENTRIES[name].run(lake), con, ENTRIES[name].sql)
-    assert found in (None, "no rows")
+    assert found in (None, "no rows") if name in EMPTY_HERE else found is None
 
 
 def test_every_query_has_a_check():
