@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dugout.llm import byte_bpe, chat_format, decontaminate, jaccard_join, order_minhash, sharding, string_kernel, token_counts, url_filters, warc
+from dugout.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,5 +111,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_stratified_shards": op9_stratified_shards,
     "op10_order_minhash": op10_order_minhash,
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -104,14 +104,22 @@ def window_scores(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def strongest_windows(codes: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per text the score of its strongest window and where it starts; an empty text scores 0."""
-    scores = window_scores(codes, weights)
-    scores = np.concatenate((scores, np.zeros(len(codes) - len(scores), dtype=np.float32)))
-    best = np.maximum.reduceat(scores, starts[:-1])
-    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    hits = np.flatnonzero(scores == best[owner])
-    first = np.full(len(best), -1, dtype=np.int64)
-    first[owner[hits][::-1]] = hits[::-1]
+    """Per text the score of its strongest window and where it starts; an empty text scores 0.
+
+    Some texts at a time: windows don't cross them.
+    """
+    best, first = np.zeros(len(starts) - 1, dtype=np.float32), np.full(len(starts) - 1, -1, dtype=np.int64)
+    i = 0
+    while i < len(best):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + _CHUNK, side="right")) - 1)
+        inner = starts[i : j + 1] - starts[i]
+        scores = window_scores(codes[starts[i] : starts[j]], weights)
+        scores = np.concatenate((scores, np.zeros(inner[-1] - len(scores), dtype=np.float32)))
+        best[i:j] = np.maximum.reduceat(scores, inner[:-1])
+        owner = np.repeat(np.arange(j - i), np.diff(inner))
+        hits = np.flatnonzero(scores == best[i:j][owner])
+        first[i + owner[hits][::-1]] = starts[i] + hits[::-1]
+        i = j
     return best, first
 
 
@@ -198,12 +206,12 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _machine(texts: list[bytes], toxic: np.ndarray, rng: np.random.Generator, how: Fitting) -> np.ndarray:
     """The decision's weight per subsequence.  Its constant is left to the curve."""
     codes, starts = _joined(texts)
-    n = len(codes) - SPAN + 1
     # First guess: how much oftener toxic texts have four letters in a row.
-    owner = np.repeat(np.arange(len(texts)), np.diff(starts))[:n]
-    run = (codes[:n] << 15) | (codes[1 : n + 1] << 10) | (codes[2 : n + 2] << 5) | codes[3 : n + 3]
-    pairs = np.unique(run.astype(np.int64) * len(texts) + owner)
-    has = [np.bincount(pairs[toxic[pairs % len(texts)] == side] // len(texts), minlength=_TABLE) for side in (False, True)]
+    has = np.zeros((2, _TABLE), dtype=np.int32)
+    for i, side in enumerate(toxic):
+        own = codes[starts[i] : starts[i + 1]]
+        run = own[:-3] << np.uint32(15) | own[1:-2] << np.uint32(10) | own[2:-1] << np.uint32(5) | own[3:]
+        has[int(side), np.unique(run)] += 1
     rate = [(h + 0.5) / (side.sum() + 1) for h, side in zip(has, (~toxic, toxic))]
     # Half-way between a ratio and a difference: rare letters prove little.
     guess = np.where(has[1] > 2, (rate[1] - rate[0]) / np.sqrt(rate[1] + rate[0]), 0)
@@ -228,7 +236,7 @@ def _machine(texts: list[bytes], toxic: np.ndarray, rng: np.random.Generator, ho
         values, vectors = np.linalg.eigh((basis @ basis.T).astype(np.float64))
         strong = values > values[-1] * 1e-6
         whiten = vectors[:, strong] / np.sqrt(values[strong])
-        kernels = np.concatenate([_describe(codes, part, index) @ basis.T for part in np.array_split(np.concatenate((bad, good)), 16)])
+        kernels = np.concatenate([_describe(codes, part, index) @ basis.T for part in np.array_split(np.concatenate((bad, good)), 64)])
         y = np.concatenate((np.ones(len(bad)), -np.ones(len(good))))
         u, _ = _hinge_fit(kernels.astype(np.float64) @ whiten, y, how.penalty)
         weights = np.zeros(_TABLE, dtype=np.float32)
