@@ -95,12 +95,16 @@ def dictionary(pages: DataFrame, date: str) -> bytes:
     """A dictionary built from the sampled records, empty if there are too few to build one."""
     import zstandard
 
+    # Ids first: what each task sends for the choice is then small.
+    ids = pages.select("page_id").filter("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_ROWS)
+    chosen = [row["page_id"] for row in ids.collect()]
     picked = (
-        pages.select("page_id", "url", F.substring(F.coalesce(F.col("html").cast("string"), F.lit("")), 1, SAMPLE_BYTES).alias("html"))
-        .orderBy(F.xxhash64("page_id"), "page_id", "html")
-        .limit(SAMPLE_ROWS)
+        pages.filter(F.col("page_id").isin(chosen))
+        .select("page_id", "url", F.substring(F.coalesce(F.col("html").cast("string"), F.lit("")), 1, SAMPLE_BYTES).alias("html"))
+        .dropDuplicates(["page_id"])
         .collect()
     )
+    picked.sort(key=lambda row: row["page_id"])
     samples = []
     for row in picked:
         payload = row["html"].encode()
