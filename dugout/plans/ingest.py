@@ -256,12 +256,11 @@ def fill_games(store: TableStore, schedule: DataFrame, raw: DataFrame) -> DataFr
     absent = store.stage(quality.missing_games(schedule, store.read("pitches")))
     loaded = load(store, raw.join(absent.select("game_pk"), "game_pk", "left_semi"))
     found = store.stage(loaded.groupBy("game_pk", "game_date", "season").agg(F.count(F.lit(1)).alias("pitches")))
-    _log_rows(
-        store,
-        found.select(F.col("game_date").alias("start_date"), F.col("game_date").alias("end_date"), F.col("pitches").alias("rows_loaded")),
-    )
+    per_day = found.groupBy(F.col("game_date").alias("start_date")).agg(F.sum("pitches").alias("rows_loaded"))
+    _log_rows(store, per_day.withColumn("end_date", F.col("start_date")))
     seasons = [row["season"] for row in found.select("season").distinct().collect()]
     if seasons:
         refresh_season(store, seasons)
+    store.unstage(loaded)
     filled = found.select("game_pk", "pitches")
     return absent.join(filled, "game_pk", "left").withColumn("filled", F.col("pitches").isNotNull())

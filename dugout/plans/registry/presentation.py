@@ -68,13 +68,12 @@ def matrix_totals(lake):
     "dense_count_grid",
     f"""SELECT CAST(i AS INT) AS position, CAST(i % 4 AS INT) AS balls, CAST(i // 4 AS INT) AS strikes,
        concat(CAST(i % 4 AS VARCHAR), '-', CAST(i // 4 AS VARCHAR)) AS count, COALESCE(m.k_pct, 0) AS k_pct
-       FROM (SELECT unnest(range(12)) AS i) g LEFT JOIN ({matrix(_GRID_WHERE + ' AND balls < 3').strip()}) m
+       FROM (SELECT unnest(range(12)) AS i) g LEFT JOIN ({matrix(_GRID_WHERE).strip()}) m
        ON m.balls = i % 4 AND m.strikes = i // 4""",
     "pitches", "at_bats",
 )
 def dense_count_grid(lake):
-    few = lake.pitches.filter("balls < 3")
-    return presentation.dense_count_grid(counts.outcome_matrix(few, lake.at_bats, Window(season=2019), p_throws="L"))
+    return presentation.dense_count_grid(_matrix(lake))
 
 
 @query(

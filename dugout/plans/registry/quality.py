@@ -34,17 +34,16 @@ _GAMES_SQL = f"""SELECT season, COUNT(DISTINCT CASE WHEN game_type = 'R' THEN ga
        LEFT JOIN (SELECT season, COUNT(*) AS c FROM league_pitch_state_summary GROUP BY 1) l ON l.season = g.season
        LEFT JOIN (SELECT season, COUNT(*) AS c FROM player_pitch_state_summary GROUP BY 1) p ON p.season = g.season
        LEFT JOIN (SELECT season, COUNT(*) AS c FROM pitch_transition_summary GROUP BY 1) t ON t.season = g.season
-       LEFT JOIN (SELECT season, COUNT(*) AS c FROM at_bats WHERE season > 2016 GROUP BY 1) b ON b.season = g.season
+       LEFT JOIN (SELECT season, COUNT(*) AS c FROM at_bats GROUP BY 1) b ON b.season = g.season
        LEFT JOIN (SELECT season, CAST(max(season) * 0 + CASE WHEN season = 2020 THEN 898 ELSE 2430 END AS BIGINT) AS expected_games
-                  FROM games WHERE season % 2 = 0 GROUP BY season) e ON e.season = g.season""",
+                  FROM games GROUP BY season) e ON e.season = g.season""",
     "pitches", "at_bats", "games", "league_pitch_state_summary", "player_pitch_state_summary", "pitch_transition_summary",
 )
 def season_report(lake):
     from dugout.functions.vocab import season_games
 
     expectations = (
-        lake.games.filter("season % 2 = 0")
-        .select("season")
+        lake.games.select("season")
         .distinct()
         .withColumn("expected_games", season_games(F.col("season")).cast("bigint"))
     )
@@ -52,7 +51,7 @@ def season_report(lake):
         "league_pitch_state": lake.league_state,
         "player_pitch_state": lake.player_state,
         "pitch_transition": lake.transitions,
-        "at_bat": lake.at_bats.filter("season > 2016"),
+        "at_bat": lake.at_bats,
     }
     return quality.season_report(lake.pitches, derived, expectations)
 

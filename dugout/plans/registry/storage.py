@@ -17,7 +17,7 @@ from dugout.plans.registry.ingest import _BATTING_SQL, _PITCHING_SQL, _batting_f
 from dugout.plans.registry.quality import schedule
 from dugout.schemas import SEASON_TABLES
 from dugout.sources import bundles, landing
-from dugout.sources.store import TableStore, shared_folder
+from dugout.sources.store import TableStore, remove, shared_folder
 from dugout.streaming.stream_ingest import landed_stream, stream_ingest
 
 TODAY = date(2022, 1, 15)
@@ -165,14 +165,11 @@ def season_bundle_roundtrip(lake):
 
 @query("export_import_all", "SELECT * FROM pitch_transition_summary", "pitch_transition_summary")
 def export_import_all(lake):
-    """Every season out and in again; transitions are left out and so rebuilt."""
+    """Every season out and in again; transitions are taken out of the bundles and so rebuilt."""
     source, target = built_store(lake), scratch(lake)
     root = f"{target.root}/exports"
-    for season in bundles._seasons(source):
-        for name in ("games", "pitches", "at_bats"):
-            rows = source.read(name).filter(F.col("season") == season)
-            rows.write.parquet(f"{bundles.bundle_path(root, season)}/{name}.parquet")
-        source.read("players").write.parquet(f"{bundles.bundle_path(root, season)}/players.parquet")
+    for folder in bundles.export_all(source, root):
+        remove(lake.spark, f"{folder}/pitch_transition_summary.parquet")
     bundles.import_all(target, root)
     return target.read("pitch_transition_summary")
 
@@ -309,11 +306,28 @@ def fill_games(lake):
 )
 def stream_ingest_query(lake):
     """The landing folder read as a stream; the table equals the batch result."""
-    store = scratch(lake)
-    stream = landed_stream(lake.spark, lake.store.path("landing"), lake.raw.schema, max_files=4)
-    running = stream_ingest(store, stream, f"{store.root}/_checkpoint", refresh=False)
-    running.awaitTermination()
+    store = _streamed(lake)
     return store.read("pitches").select(
         "pitch_id", "game_pk", "at_bat_number", "pitch_number", "pitcher_id", "batter_id", "inning_half", "base_state",
         "pitch_type", "description", "events", "release_speed", "game_date", "season",
     )
+
+
+_STREAMED: dict[object, TableStore] = {}
+
+
+def _streamed(lake) -> TableStore:
+    """A store filled by the stream of the landing folder, summaries with it; once per lake."""
+    if lake not in _STREAMED:
+        lake.raw
+        store = scratch(lake)
+        stream = landed_stream(lake.spark, lake.store.path("landing"), lake.raw.schema, max_files=4)
+        stream_ingest(store, stream, f"{store.root}/_checkpoint").awaitTermination()
+        _STREAMED[lake] = store
+    return _STREAMED[lake]
+
+
+@query("stream_summaries", "SELECT * FROM pitch_transition_summary", "pitch_transition_summary")
+def stream_summaries(lake):
+    """The summary that the stream's batches left equals that of all pitches."""
+    return _streamed(lake).read("pitch_transition_summary")
