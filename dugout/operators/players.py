@@ -118,7 +118,7 @@ def enrich_players(players: DataFrame, pitches: DataFrame, names: DataFrame, pro
 
 
 def latest_recorded_team(pitches: DataFrame) -> DataFrame:
-    """Latest non-null recorded team per player, over both roles."""
+    """Latest non-null recorded team per player: as a pitcher where there is one, else as a batter."""
     return player_traits(pitches).filter("team IS NOT NULL").select("player_id", "team")
 
 

@@ -276,3 +276,15 @@ def test_staging_is_removed(lake, store):
 
     store.unstage(ingest.load(store, lake.raw))
     assert os.listdir(f"{store.root}/_staging") == []
+
+
+def test_team_of_a_player_in_both_roles(pitches):
+    """Pitching comes first, however old; among its rows the newest counts."""
+    from dugout.operators.players import latest_recorded_team
+
+    rows = pitches(
+        dict(game_pk=1, pitcher_id=7, batter_id=8, pitcher_team="OLD", batter_team="X"),
+        dict(game_pk=2, pitcher_id=7, batter_id=8, pitcher_team="NEW", batter_team=None),
+        dict(game_pk=3, pitcher_id=9, batter_id=7, pitcher_team=None, batter_team="LATE"),
+    )
+    assert {r.player_id: r.team for r in latest_recorded_team(rows).collect()} == {7: "NEW", 8: "X"}
