@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from dugout.operators import clean, pitch_state, pitchers, rollup, summaries
@@ -47,3 +48,14 @@ def test_upsert_twice_is_once(lake):
 
 def test_rollup_covers_every_pitch(lake):
     assert total(lake.at_bats, "pitch_count") == lake.pitches.count()
+
+
+@pytest.mark.parametrize("depth", [1, 6, 63, 64, 65, 80, 130, 199, 200])
+def test_outcome_sequences_of_any_length(pitches, depth):
+    """A list of one outcome over an appearance of 200 balls, against counting places."""
+    from dugout.operators.sequences import outcome_sequences
+
+    thrown = pitches(*[dict(pitch_number=i, description="ball") for i in range(1, 201)])
+    at_bats = rollup.at_bat_rollup(thrown)
+    found = outcome_sequences(thrown, at_bats, [["ball"] * depth]).first()
+    assert (found.sequence_length, found.occurrences) == (depth, 201 - depth)
