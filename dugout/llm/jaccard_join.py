@@ -6,13 +6,15 @@ whole corpus; a set of n shingles may miss ``n - ceil(threshold * n)`` of those
 of a partner.  Its prefix is extended until it survives so many losses: a rare
 shingle counts one and is indexed alone; frequent shingles are dealt into small
 groups, a group of x counts x - 1, and every pair of a group is indexed.  Two
-linked sets therefore share an indexed shingle or pair, whatever the order.
+linked sets therefore share an indexed shingle or pair, whatever the order.  As
+chance alone makes sets share one, prefixes are extended by some more, up to
+three, and candidates have to share as many more entries.
 
-Order: rare shingles of the counted range, frequent ones of that range, then the
-rest.  The counted range is a fixed quarter of the hash space; how many texts
-have each of its shingles is counted over the whole corpus.  Two bit tables of
-fixed size (16 MB each) tell which shingles occur more than once and which are
-frequent; when a corpus fills them they only cost candidates, never links.
+Order: shingles that no other text has, then rare ones, then frequent ones; how
+many texts have each shingle is counted over the whole corpus.  Two bit tables of
+fixed size (16 and 2 MB) tell which shingles occur more than once and which are
+frequent; when a corpus fills them they only cost candidates, never links.  Shingles of no other text need no entry, and their number bounds
+what a set can share: most pairs below the threshold are told by it alone.
 
 Sets that are equal are one class.  Within an index entry the classes are first
 compared with the smallest class only; those whose components still differ are
@@ -27,16 +29,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dugout.llm.components import components
 from dugout.llm.runtime import Scratch, ship
 from dugout.llm.shingles import Shingler, mix
 
-#: Shingles below this hash are counted: a quarter of all.
-COUNTED = np.uint64(1 << 62)
-#: Bit tables: 2**27 bits over the counted range.
-BITS, SHIFT = 27, np.uint64(62 - 27)
+#: Bits of the tables; of a shingle, its 32 leading bits are counted.
+BITS, FREQUENT_BITS = 27, 24
+_COUNT_SHIFT = np.uint64(32)
 #: A shingle in more texts than this is frequent.
 FREQUENT = 16
 _FLUSH = 2 << 20
@@ -53,6 +55,16 @@ class Threshold:
         return -(-self.over * n // self.of)
 
 
+def shared_entries(n: int) -> int:
+    """Entries that a set of n shares at least with a linked one of no smaller demand."""
+    return min(4, max(1, n // 8))
+
+
+_SHARED_SQL = "least(4, greatest(1, {} div 8))"
+#: Slots of the table that tells the map side whose sets are wanted: 2 MB of bits.
+_SLOT_BITS = 24
+
+
 def set_number(shingles: np.ndarray) -> int:
     """One signed 64-bit number for a set: a class of equal sets."""
     if not len(shingles):
@@ -66,81 +78,68 @@ def _blocks(spark) -> int:
     return min(16, max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
 
 
-def _describe(width: int, block_bits: int):
-    """Per text its set's size and class; per block of the hash space the shingles' counts."""
+def _count(width: int, block_bits: int):
+    """Per block of the hash space, how many texts have each of its shingles."""
     n_blocks = 1 << block_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, size = Shingler(width), [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                values, counts = np.unique(np.concatenate(held), return_counts=True)
-                blocks = (values >> SHIFT >> np.uint64(BITS - block_bits)).astype(np.int64)
-                edges = np.searchsorted(blocks, np.arange(n_blocks + 1))
-                some = [b for b in range(n_blocks) if edges[b] < edges[b + 1]]
-                # 32 bits tell shingles of the counted range apart well enough for a count.
-                packed = [
-                    (values[edges[b] : edges[b + 1]] >> np.uint64(30)).astype("<u4").tobytes()
-                    + np.minimum(counts[edges[b] : edges[b + 1]], 255).astype(np.uint8).tobytes()
-                    for b in some
-                ]
-                n = len(some)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=names
-                )
-                held.clear()
-
-        names = ["doc_id", "n_shingles", "class", "block", "counts"]
+        def flush() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            counts = np.minimum(counts, 255).astype(np.uint8)
+            edges = np.searchsorted(values >> np.uint32(32 - block_bits), np.arange(n_blocks + 1))
+            some = [b for b in range(n_blocks) if edges[b] < edges[b + 1]]
+            packed = [values[edges[b] : edges[b + 1]].tobytes() + counts[edges[b] : edges[b + 1]].tobytes() for b in some]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
+
         for batch in batches:
-            sizes, classes = [], []
-            for shingles in shingler.sets(batch.column(1)):
-                sizes.append(len(shingles))
-                classes.append(set_number(shingles))
-                held.append(shingles[: np.searchsorted(shingles, COUNTED)].copy())
-                size += len(held[-1])
+            for shingles in shingler.sets(batch.column(0)):
+                held.append((shingles >> _COUNT_SHIFT).astype("<u4"))
+                size += len(shingles)
                 if size >= _FLUSH:
-                    yield from flush()
+                    yield flush()
                     size = 0
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], names=names
-            )
-        yield from flush()
+        if size:
+            yield flush()
 
     return run
 
 
 def _merge_block(group: pa.Table, frequent: int, block_bits: int) -> pa.Table:
     """Merge a block's counts to its slices of the two bit tables."""
-    kept, tally = np.empty(0, np.uint32), np.empty(0, np.uint32)
+    values, counts = [], []
     for blob in group.column("counts"):
         raw = blob.as_buffer()
         n = len(raw) // 5
-        more = np.frombuffer(raw, dtype="<u4", count=n)
-        counts = np.frombuffer(raw, dtype=np.uint8, offset=4 * n).astype(np.uint32)
-        kept, where = np.unique(np.concatenate((kept, more)), return_inverse=True)
-        tally = np.minimum(np.bincount(where, weights=np.concatenate((tally, counts)), minlength=len(kept)), 1 << 30).astype(np.uint32)
-    width = 1 << (BITS - block_bits)
+        values.append(np.frombuffer(raw, dtype="<u4", count=n))
+        counts.append(np.frombuffer(raw, dtype=np.uint8, offset=4 * n))
+    values, counts = np.concatenate(values), np.concatenate(counts)
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    values, counts = values[first], np.add.reduceat(counts[order].astype(np.uint32), first)
     slices = []
-    for least in (2, frequent + 1):
-        bits = np.zeros(width, dtype=bool)
-        bits[(kept[tally >= least] >> np.uint32(32 - BITS)).astype(np.int64) & (width - 1)] = True
-        slices.append(pa.array([np.packbits(bits).tobytes()], pa.binary()))
+    for least, bits in ((2, BITS), (frequent + 1, FREQUENT_BITS)):
+        width = 1 << (bits - block_bits)
+        marks = np.zeros(width, dtype=bool)
+        marks[(values[counts >= least] >> np.uint32(32 - bits)).astype(np.int64) & (width - 1)] = True
+        slices.append(pa.array([np.packbits(marks).tobytes()], pa.binary()))
     return pa.table([group.column("block").slice(0, 1), *slices], names=["block", "repeated", "frequent"])
 
 
-def bit_tables(counts: DataFrame, frequent: int, block_bits: int) -> tuple[bytes, bytes]:
-    """Both tables, whole; the driver receives slices of 32 MB in all, whatever the corpus holds."""
-    size = (1 << (BITS - block_bits)) // 8
-    out = [bytearray(1 << (BITS - 3)), bytearray(1 << (BITS - 3))]
+def bit_tables(counts: DataFrame, frequent: int, block_bits: int) -> tuple[bytearray, bytearray]:
+    """Both tables, whole; the driver receives slices of 18 MB in all, whatever the corpus holds."""
+    out = bytearray(1 << (BITS - 3)), bytearray(1 << (FREQUENT_BITS - 3))
 
     def merge(group: pa.Table) -> pa.Table:
         return _merge_block(group, frequent, block_bits)
 
     for row in counts.groupBy("block").applyInArrow(merge, "block int, repeated binary, frequent binary").toLocalIterator():
         for table, part in zip(out, (row.repeated, row.frequent)):
-            table[row.block * size : (row.block + 1) * size] = part
-    return bytes(out[0]), bytes(out[1])
+            table[row.block * len(part) : (row.block + 1) * len(part)] = part
+    return out
 
 
 def bands(n: int, threshold: Threshold) -> list[int]:
@@ -148,22 +147,23 @@ def bands(n: int, threshold: Threshold) -> list[int]:
     return list(range(max(1, threshold.least(n)).bit_length(), n.bit_length() + 1))
 
 
-def index_keys(shingles: np.ndarray, threshold: Threshold, is_repeated, is_frequent) -> np.ndarray:
-    """Indexed shingles and pairs of one set, as 64-bit numbers."""
+def index_keys(shingles: np.ndarray, threshold: Threshold, is_repeated, is_frequent) -> tuple[np.ndarray, int]:
+    """Indexed shingles and pairs of one set, as 64-bit numbers, and how many shingles are known to be in no other set."""
     n = len(shingles)
     if n < 2:
-        return np.empty(0, dtype=np.uint64)  # links only with its equals, which are one class
-    need = n - threshold.least(n) + 1
-    counted = int(np.searchsorted(shingles, COUNTED))
-    low = shingles[:counted]
-    common = is_frequent(low)
-    rare = low[~common][:need]
-    singles = rare[is_repeated(rare)]
+        return shingles[:0], 0  # links only with its equals, which are one class
+    need = n - threshold.least(n) + shared_entries(n)
+    repeated = shingles[is_repeated(shingles)]
+    lost = n - len(repeated)
+    need -= lost
+    if need <= 0:
+        return shingles[:0], lost
+    common = is_frequent(repeated)
+    rare = repeated[~common][:need]
     if len(rare) == need:
-        return singles
-    frequent, rest = low[common], shingles[counted:]
-    out = [singles]
-    most_rest = 0
+        return rare, lost
+    frequent = repeated[common]
+    out = [rare]
     for band in bands(n, threshold):
         short, groups = need - len(rare), 1 << max(0, band - 6)
         group = (mix(frequent) % np.uint64(groups)).astype(np.int64)
@@ -172,8 +172,6 @@ def index_keys(shingles: np.ndarray, threshold: Threshold, is_repeated, is_frequ
         opens[order[1:]] = group[order[1:]] != group[order[:-1]]
         covered = np.cumsum(~opens)
         cut = int(np.searchsorted(covered, short)) + 1 if len(covered) and covered[-1] >= short else len(frequent)
-        short -= int(covered[cut - 1]) if cut else 0
-        most_rest = max(most_rest, short)
         members, group = frequent[:cut], group[:cut]
         order = np.argsort(group, kind="stable")
         members, group = members[order], group[order]
@@ -186,64 +184,100 @@ def index_keys(shingles: np.ndarray, threshold: Threshold, is_repeated, is_frequ
             # Members of a group stand in ascending order, so a pair has one number.
             out.append(mix(members[:-reach][together] * np.uint64(0x9E3779B97F4A7C15) + mix(members[reach:][together]) + salt))
             reach += 1
-    out.append(rest[: max(0, most_rest)])
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)), lost
+
 
+def _index(width: int, threshold: Threshold, tables):
+    """Index entries (key, class) and, with a null key, each row's doc_id, n_shingles, class and lost."""
+    names = ["key", "class", "doc_id", "n_shingles", "lost"]
 
-def _index(width: int, threshold: Threshold, tables) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         repeated, frequent = (np.frombuffer(t, dtype=np.uint8) for t in tables.value)
 
-        def member(table):
+        def member(table, bits):
+            shift = np.uint64(64 - bits)
+
             def test(values: np.ndarray) -> np.ndarray:
-                at = (values >> SHIFT).astype(np.int64)
+                at = (values >> shift).astype(np.int64)
                 return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
             return test
 
-        tests = member(repeated), member(frequent)
+        tests = member(repeated, BITS), member(frequent, FREQUENT_BITS)
         for batch in batches:
-            keys, owners, sizes, size = [], [], [], 0
-            for shingles in shingler.sets(batch.column(0)):
-                found = index_keys(shingles, threshold, *tests)
+            keys, owners, size, rows = [], [], 0, []
+            for shingles in shingler.sets(batch.column(1)):
+                found, lost = index_keys(shingles, threshold, *tests)
+                rows.append((set_number(shingles), len(shingles), lost))
                 if len(found):
                     keys.append(found)
-                    owners.append(np.full(len(found), set_number(shingles), dtype=np.int64))
+                    owners.append(np.full(len(found), rows[-1][0], dtype=np.int64))
                     size += len(found)
                 if size > 1 << 18:
-                    yield _rows(keys, owners)
+                    yield entries(keys, owners)
                     keys, owners, size = [], [], 0
             if size:
-                yield _rows(keys, owners)
+                yield entries(keys, owners)
+            if rows:
+                classes, sizes, losses = (pa.array(c, pa.int64()) for c in zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), classes, batch.column(0), sizes, losses], names=names)
 
-    def _rows(keys, owners) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "class"])
+    def entries(keys, owners) -> pa.RecordBatch:
+        none = pa.nulls(sum(map(len, keys)), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners)), none, none, none], names=names)
 
     return run
 
 
-def _sets(width: int):
+def _slots(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << _SLOT_BITS)).cast("int"))
+
+
+def _slot_table(wanted: DataFrame) -> bytes:
+    """One bit per slot that holds a wanted doc_id; of fixed size, put together on the executors."""
+    block_bits = 6
+    width = 1 << (_SLOT_BITS - block_bits)
+
+    def pack(group: pa.Table) -> pa.Table:
+        bits = np.zeros(width, dtype=bool)
+        bits[group.column("slot").to_numpy() & (width - 1)] = True
+        return pa.table({"block": group.column("block").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    out = bytearray((1 << _SLOT_BITS) // 8)
+    slots = _slots(wanted).select("slot").distinct().withColumn("block", F.shiftright("slot", _SLOT_BITS - block_bits))
+    for row in slots.groupBy("block").applyInArrow(pack, "block int, bits binary").toLocalIterator():
+        out[row.block * width // 8 : (row.block + 1) * width // 8] = row.bits
+    return bytes(out)
+
+
+def _sets(width: int, table):
+    """(doc_id, class, shingles) of the rows whose slot is marked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
+        bits = np.frombuffer(table.value, dtype=np.uint8)
         for batch in batches:
-            offsets, parts, first, size = [0], [], 0, 0
-            classes = batch.column(0)
+            slot = batch.column(2).to_numpy()
+            marked = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["doc_id", "text"]).filter(
+                pa.array((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1)
+            )
+            ids, offsets, parts, classes, first = marked.column(0), [0], [], [], 0
 
             def rows(upto: int) -> pa.RecordBatch:
-                values = pa.array(np.concatenate(parts).view(np.int64)) if parts else pa.array([], pa.int64())
-                return pa.RecordBatch.from_arrays([classes.slice(first, upto - first), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=["class", "shingles"])
+                values = pa.array(np.concatenate(parts).view(np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+                return pa.RecordBatch.from_arrays([ids.slice(first, upto - first), pa.array(classes, pa.int64()), lists], names=["doc_id", "class", "shingles"])
 
-            i = 0
-            for i, shingles in enumerate(shingler.sets(batch.column(1)), 1):
+            for i, shingles in enumerate(shingler.sets(marked.column(1)), 1):
                 parts.append(shingles)
-                size += len(shingles)
-                offsets.append(size)
-                if size > 1 << 18:
+                classes.append(set_number(shingles))
+                offsets.append(offsets[-1] + len(shingles))
+                if offsets[-1] > 1 << 18:
                     yield rows(i)
-                    offsets, parts, first, size = [0], [], i, 0
-            if len(offsets) > 1:
-                yield rows(i)
+                    offsets, parts, classes, first = [0], [], [], i
+            if classes:
+                yield rows(first + len(classes))
 
     return run
 
@@ -276,44 +310,68 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: Threshold = Thre
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     block_bits = _blocks(spark)
-    described = scratch.store(
-        docs.mapInArrow(_describe(width, block_bits), "doc_id long, n_shingles long, class long, block int, counts binary"), "described"
-    )
-    sizes = described.filter("block is null").select("doc_id", "n_shingles", "class")
-    tables = spark.sparkContext.broadcast(bit_tables(described.filter("block is not null").select("block", "counts"), frequent, block_bits))
-    index = scratch.store(docs.select("text").mapInArrow(_index(width, threshold, tables), "key long, class long"), "index")
+    counts = docs.select("text").mapInArrow(_count(width, block_bits), "block int, counts binary")
+    tables = spark.sparkContext.broadcast(bit_tables(counts, frequent, block_bits))
+    indexed = docs.select("doc_id", "text").mapInArrow(_index(width, threshold, tables), "key long, class long, doc_id long, n_shingles long, lost long")
+    index = scratch.store(indexed, "index")
+    tables.destroy()
+    described = index.filter("key is null")
+    sizes = scratch.store(described.select("doc_id", "n_shingles", "class"), "sizes")
 
     # Entries with one class say nothing.
-    pivots = index.groupBy("key").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).filter("pivot < last")
-    shared = scratch.store(index.join(pivots.select("key", "pivot"), "key").select("key", "class", "pivot").distinct(), "shared")
+    entries = index.filter("key is not null").select("key", "class")
+    pivots = entries.groupBy("key").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).filter("pivot < last")
+    classes = described.filter("n_shingles > 1").groupBy("class")
+    known = scratch.store(classes.agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.max("lost").alias("lost")), "classes")
+    told = known.select("class", "n", "lost")
+    shared = scratch.store(entries.join(pivots.select("key", "pivot"), "key").distinct().join(told, "class"), "shared")
     scratch.drop(index)
 
-    classes = sizes.filter("n_shingles > 1").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
-    wanted = scratch.store(classes.join(shared.select("class").distinct(), "class"), "classes")
-    texts = docs.join(wanted.select("class", "doc_id"), "doc_id").select("class", "text")
-    sets = scratch.store(texts.mapInArrow(_sets(width), "class long, shingles array<long>").dropDuplicates(["class"]), "sets")
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Drop pairs whose sizes alone forbid a link."""
-        a, b = (wanted.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
-        return pairs.join(a, "a").join(b, "b").filter(f"{threshold.of} * least(n_a, n_b) >= {threshold.over} * greatest(n_a, n_b)").select("a", "b")
-
-    stars = shared.filter("class != pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
-    links = scratch.store(_linked(sized(stars), sets, threshold), "links")
+    def within_reach(n_a: str, lost_a: str, n_b: str, lost_b: str) -> str:
+        """Whether two sets can reach the threshold, by their sizes and the shingles that each has alone."""
+        most = f"least({n_a} - {lost_a}, {n_b} - {lost_b})"
+        return f"{threshold.of} * {most} >= {threshold.over} * ({n_a} + {n_b} - {most})"
+
+    def verified(counted: DataFrame) -> DataFrame:
+        """Links among pairs (a, b, n_a, n_b, entries), of which those with too few entries go unseen."""
+        demand = f"least({_SHARED_SQL.format('n_a')}, {_SHARED_SQL.format('n_b')})"
+        pairs = scratch.store(counted.filter(f"entries >= {demand}").select("a", "b"), "pairs")
+        wanted = known.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class").select("doc_id", "class")
+        table = spark.sparkContext.broadcast(_slot_table(wanted))
+        marked = _slots(docs).select("doc_id", "text", "slot").mapInArrow(_sets(width, table), "doc_id long, class long, shingles array<long>")
+        sets = scratch.store(marked.join(wanted, ["doc_id", "class"]).select("class", "shingles"), "sets")
+        table.destroy()
+        links = scratch.store(_linked(pairs, sets, threshold), "links")
+        scratch.drop(sets, pairs)
+        return links
+
+    stars = (
+        shared.filter("class != pivot")
+        .groupBy(F.col("pivot").alias("a"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("lost").alias("lost_b"))
+        .agg(F.count("*").alias("entries"))
+    )
+    of_pivot = told.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("lost").alias("lost_a"))
+    near = F.expr(within_reach("n_a", "lost_a", "n_b", "lost_b"))
+    links = verified(stars.alias("s").join(of_pivot.alias("p"), (F.col("s.a") == F.col("p.a")) & near).select("s.a", "b", "n_a", "n_b", "entries"))
 
     reached = components(links, scratch)
-    placed = (
-        shared.select("key", "class")
-        .join(reached, F.col("node") == F.col("class"), "left")
-        .select("key", "class", F.coalesce("component", "class").alias("component"))
+    placed = shared.join(reached, F.col("node") == F.col("class"), "left").select(
+        "key", "class", "n", "lost", F.coalesce("component", "class").alias("component")
     )
     torn = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     open_entries = scratch.store(placed.join(torn, "key"), "open")
-    one = open_entries.select("key", F.col("class").alias("a"), F.col("component").alias("of_a"))
-    other = open_entries.select("key", F.col("class").alias("b"), F.col("component").alias("of_b"))
-    across = one.join(other, "key").filter("of_a < of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = scratch.store(_linked(sized(across.join(stars, ["a", "b"], "left_anti")), sets, threshold), "links")
-    scratch.drop(open_entries, shared, sets)
+    one, other = open_entries.alias("x"), open_entries.alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & F.expr(
+        "x.component != y.component and x.class < y.class and " + within_reach("x.n", "x.lost", "y.n", "y.lost")
+    )
+    # Entries that two classes of different components share are all torn, so the count is whole.
+    across = (
+        one.join(other, apart)
+        .groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
+        .agg(F.count("*").alias("entries"))
+    )
+    more = verified(across)
+    scratch.drop(open_entries, shared, known)
 
     reached = components(links.unionAll(more), scratch)
     # Smallest doc_id of each component, through the classes.
@@ -327,7 +385,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: Threshold = Thre
 
 
 def one_per_group(docs: DataFrame, width: int = 5, threshold: Threshold = Threshold()) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group of near copies; rows without words all stay."""
+    """The rows of ``docs`` whose doc_id is the smallest of its group of near copies; all columns stay.
+
+    Rows without words all stay.  Of rows that repeat both doc_id and text one stays.
+    """
     found = near_duplicates(docs, width, threshold)
-    leaders = found.filter("component_id <=> doc_id").select("doc_id").distinct()
-    return docs.join(leaders, docs["doc_id"].eqNullSafe(leaders["doc_id"]), "left_semi")
+    leaders = found.filter("component_id <=> doc_id and n_shingles > 0").select(F.col("doc_id").alias("_leader")).distinct()
+    wordless = found.filter("n_shingles = 0").select(F.col("doc_id").alias("_leader")).distinct()
+    ids = F.col("doc_id").cast("long")
+    kept = docs.join(leaders.unionAll(wordless).distinct(), ids.eqNullSafe(F.col("_leader")), "left_semi")
+    repeat = F.row_number().over(W.partitionBy("doc_id", "text").orderBy(F.lit(0)))
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return kept.withColumn("_repeat", repeat).filter((F.col("_repeat") == 1) | blank).drop("_repeat")
