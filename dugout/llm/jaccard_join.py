@@ -17,7 +17,8 @@ frequent; when a corpus fills them they only cost candidates, never links.  Shin
 what a set can share: most pairs below the threshold are told by it alone.
 
 Sets that are equal are one class.  Within an index entry the classes are first
-compared with the smallest class only; those whose components still differ are
+compared with one of them only, that with the fewest shingles of its own, which
+of a family of near copies is the closest to all; those whose components still differ are
 then compared with each other.  So groups of copies cost their size, not its square.
 """
 
@@ -83,7 +84,7 @@ def _count(width: int, block_bits: int):
     n_blocks = 1 << block_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, held, size = Shingler(width), [], 0
+        shingler, held, size, met = Shingler(width), [], 0, set()
 
         def flush() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -96,6 +97,10 @@ def _count(width: int, block_bits: int):
 
         for batch in batches:
             for shingles in shingler.sets(batch.column(0)):
+                # Copies of one set make no shingle common, as far as a task sees them.
+                if (number := set_number(shingles)) in met:
+                    continue
+                met.add(number)
                 held.append((shingles >> _COUNT_SHIFT).astype("<u4"))
                 size += len(shingles)
                 if size >= _FLUSH:
@@ -188,7 +193,7 @@ def index_keys(shingles: np.ndarray, threshold: Threshold, is_repeated, is_frequ
 
 
 def _index(width: int, threshold: Threshold, tables):
-    """Index entries (key, class) and, with a null key, each row's doc_id, n_shingles, class and lost."""
+    """Index entries (key, class, lost) and, with a null key, each row's doc_id, n_shingles, class and lost."""
     names = ["key", "class", "doc_id", "n_shingles", "lost"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,26 +211,28 @@ def _index(width: int, threshold: Threshold, tables):
 
         tests = member(repeated, BITS), member(frequent, FREQUENT_BITS)
         for batch in batches:
-            keys, owners, size, rows = [], [], 0, []
+            keys, owners, losses, size, rows = [], [], [], 0, []
             for shingles in shingler.sets(batch.column(1)):
                 found, lost = index_keys(shingles, threshold, *tests)
                 rows.append((set_number(shingles), len(shingles), lost))
                 if len(found):
                     keys.append(found)
                     owners.append(np.full(len(found), rows[-1][0], dtype=np.int64))
+                    losses.append(np.full(len(found), lost, dtype=np.int64))
                     size += len(found)
                 if size > 1 << 18:
-                    yield entries(keys, owners)
-                    keys, owners, size = [], [], 0
+                    yield entries(keys, owners, losses)
+                    keys, owners, losses, size = [], [], [], 0
             if size:
-                yield entries(keys, owners)
+                yield entries(keys, owners, losses)
             if rows:
                 classes, sizes, losses = (pa.array(c, pa.int64()) for c in zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), classes, batch.column(0), sizes, losses], names=names)
 
-    def entries(keys, owners) -> pa.RecordBatch:
-        none = pa.nulls(sum(map(len, keys)), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners)), none, none, none], names=names)
+    def entries(keys, owners, losses) -> pa.RecordBatch:
+        columns = [np.concatenate(keys).view(np.int64), np.concatenate(owners), np.concatenate(losses)]
+        none = pa.nulls(len(columns[0]), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), none, none, pa.array(columns[2])], names=names)
 
     return run
 
@@ -319,12 +326,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: Threshold = Thre
     sizes = scratch.store(described.select("doc_id", "n_shingles", "class"), "sizes")
 
     # Entries with one class say nothing.
-    entries = index.filter("key is not null").select("key", "class")
-    pivots = entries.groupBy("key").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).filter("pivot < last")
+    # A class's place: first those with few shingles of their own; the class breaks ties.
+    place = F.shiftleft(F.least("lost", F.lit((1 << 20) - 1)), 43).bitwiseOR(F.col("class").bitwiseAND(F.lit((1 << 43) - 1))).alias("place")
+    entries = index.filter("key is not null").select("key", "class", place)
+    pivots = entries.groupBy("key").agg(F.min("place").alias("pivot"), F.max("place").alias("last")).filter("pivot < last")
     classes = described.filter("n_shingles > 1").groupBy("class")
     known = scratch.store(classes.agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.max("lost").alias("lost")), "classes")
-    told = known.select("class", "n", "lost")
-    shared = scratch.store(entries.join(pivots.select("key", "pivot"), "key").distinct().join(told, "class"), "shared")
+    told = known.select("class", "n", "lost", place)
+    shared = scratch.store(entries.drop("place").join(pivots.select("key", "pivot"), "key").distinct().join(told, "class"), "shared")
     scratch.drop(index)
 
     def within_reach(n_a: str, lost_a: str, n_b: str, lost_b: str) -> str:
@@ -346,13 +355,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: Threshold = Thre
         return links
 
     stars = (
-        shared.filter("class != pivot")
-        .groupBy(F.col("pivot").alias("a"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("lost").alias("lost_b"))
+        shared.filter("place != pivot")
+        .groupBy("pivot", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("lost").alias("lost_b"))
         .agg(F.count("*").alias("entries"))
     )
-    of_pivot = told.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("lost").alias("lost_a"))
+    of_pivot = told.select("place", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("lost").alias("lost_a"))
     near = F.expr(within_reach("n_a", "lost_a", "n_b", "lost_b"))
-    links = verified(stars.alias("s").join(of_pivot.alias("p"), (F.col("s.a") == F.col("p.a")) & near).select("s.a", "b", "n_a", "n_b", "entries"))
+    links = verified(stars.alias("s").join(of_pivot.alias("p"), (F.col("pivot") == F.col("p.place")) & near).select("a", "b", "n_a", "n_b", "entries"))
 
     reached = components(links, scratch)
     placed = shared.join(reached, F.col("node") == F.col("class"), "left").select(

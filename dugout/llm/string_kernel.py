@@ -265,7 +265,7 @@ def sampled(docs: DataFrame, labels: DataFrame, how: Fitting) -> tuple[list[byte
     return texts, np.array(toxic, dtype=bool), float(counts or 0.0)
 
 
-def _scorer(model, at: int, carried: list[int]):
+def _scorer(model, at: int, carried: list[int], out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value
         for batch in batches:
@@ -282,7 +282,7 @@ def _scorer(model, at: int, carried: list[int]):
                 start = end
             scores = known.score(np.concatenate(best).astype(np.float64))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in carried), pa.array(scores, pa.float64())], names=[*(batch.schema.names[i] for i in carried), "score"]
+                [*(batch.column(i) for i in carried), pa.array(scores, pa.float64())], names=[*(batch.schema.names[i] for i in carried), out]
             )
 
     return run
@@ -301,7 +301,7 @@ def scored(docs: DataFrame, labels: DataFrame, how: Fitting = Fitting(), carry:
     carry = [c for c in (docs.columns if carry is None else carry) if c != out]
     rows = docs.select(*dict.fromkeys([*carry, "text"])).withColumn("text", F.col("text").cast("string"))
     schema = StructType([*(rows.schema[c] for c in carry), StructField(out, DoubleType())])
-    return rows.mapInArrow(_scorer(model, rows.columns.index("text"), [rows.columns.index(c) for c in carry]), schema)
+    return rows.mapInArrow(_scorer(model, rows.columns.index("text"), [rows.columns.index(c) for c in carry], out), schema)
 
 
 def held_out(doc_id) -> object:
