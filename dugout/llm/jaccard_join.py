@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -193,8 +193,8 @@ def index_keys(shingles: np.ndarray, threshold: Threshold, is_repeated, is_frequ
 
 
 def _index(width: int, threshold: Threshold, tables):
-    """Index entries (key, class, lost) and, with a null key, each row's doc_id, n_shingles, class and lost."""
-    names = ["key", "class", "doc_id", "n_shingles", "lost"]
+    """Index entries (key, class, lost) and, with a null key, each row's doc_id, row number, n_shingles, class and lost."""
+    names = ["key", "class", "doc_id", "row", "n_shingles", "lost"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -227,22 +227,27 @@ def _index(width: int, threshold: Threshold, tables):
                 yield entries(keys, owners, losses)
             if rows:
                 classes, sizes, losses = (pa.array(c, pa.int64()) for c in zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), classes, batch.column(0), sizes, losses], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), classes, batch.column(0), batch.column(2), sizes, losses], names=names)
 
     def entries(keys, owners, losses) -> pa.RecordBatch:
         columns = [np.concatenate(keys).view(np.int64), np.concatenate(owners), np.concatenate(losses)]
         none = pa.nulls(len(columns[0]), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), none, none, pa.array(columns[2])], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), none, none, none, pa.array(columns[2])], names=names)
 
     return run
 
 
-def _slots(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << _SLOT_BITS)).cast("int"))
+def _row_number(doc_id="doc_id") -> Column:
+    """One number for a doc_id, which may be null, and its text."""
+    return F.xxhash64(doc_id, "text")
+
+
+def _slot() -> Column:
+    return F.pmod("row", F.lit(1 << _SLOT_BITS)).cast("int").alias("slot")
 
 
 def _slot_table(wanted: DataFrame) -> bytes:
-    """One bit per slot that holds a wanted doc_id; of fixed size, put together on the executors."""
+    """One bit per slot that holds a wanted row; of fixed size, put together on the executors."""
     block_bits = 6
     width = 1 << (_SLOT_BITS - block_bits)
 
@@ -252,39 +257,40 @@ def _slot_table(wanted: DataFrame) -> bytes:
         return pa.table({"block": group.column("block").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
     out = bytearray((1 << _SLOT_BITS) // 8)
-    slots = _slots(wanted).select("slot").distinct().withColumn("block", F.shiftright("slot", _SLOT_BITS - block_bits))
+    slots = wanted.select(_slot()).distinct().withColumn("block", F.shiftright("slot", _SLOT_BITS - block_bits))
     for row in slots.groupBy("block").applyInArrow(pack, "block int, bits binary").toLocalIterator():
         out[row.block * width // 8 : (row.block + 1) * width // 8] = row.bits
     return bytes(out)
 
 
 def _sets(width: int, table):
-    """(doc_id, class, shingles) of the rows whose slot is marked."""
+    """(class, shingles) of the rows whose slot is marked, a class once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
+        shingler, met = Shingler(width), set()
         bits = np.frombuffer(table.value, dtype=np.uint8)
         for batch in batches:
-            slot = batch.column(2).to_numpy()
-            marked = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["doc_id", "text"]).filter(
-                pa.array((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1)
-            )
-            ids, offsets, parts, classes, first = marked.column(0), [0], [], [], 0
+            slot = batch.column(1).to_numpy()
+            marked = batch.column(0).filter(pa.array((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1))
+            offsets, parts, classes = [0], [], []
 
-            def rows(upto: int) -> pa.RecordBatch:
+            def rows() -> pa.RecordBatch:
                 values = pa.array(np.concatenate(parts).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-                return pa.RecordBatch.from_arrays([ids.slice(first, upto - first), pa.array(classes, pa.int64()), lists], names=["doc_id", "class", "shingles"])
+                return pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), lists], names=["class", "shingles"])
 
-            for i, shingles in enumerate(shingler.sets(marked.column(1)), 1):
+            for shingles in shingler.sets(marked):
+                if (number := set_number(shingles)) in met:
+                    continue
+                met.add(number)
                 parts.append(shingles)
-                classes.append(set_number(shingles))
+                classes.append(number)
                 offsets.append(offsets[-1] + len(shingles))
                 if offsets[-1] > 1 << 18:
-                    yield rows(i)
-                    offsets, parts, classes, first = [0], [], [], i
+                    yield rows()
+                    offsets, parts, classes = [0], [], []
             if classes:
-                yield rows(first + len(classes))
+                yield rows()
 
     return run
 
@@ -319,7 +325,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: Threshold = Thre
     block_bits = _blocks(spark)
     counts = docs.select("text").mapInArrow(_count(width, block_bits), "block int, counts binary")
     tables = spark.sparkContext.broadcast(bit_tables(counts, frequent, block_bits))
-    indexed = docs.select("doc_id", "text").mapInArrow(_index(width, threshold, tables), "key long, class long, doc_id long, n_shingles long, lost long")
+    indexed = docs.select("doc_id", "text", _row_number()).mapInArrow(
+        _index(width, threshold, tables), "key long, class long, doc_id long, row long, n_shingles long, lost long"
+    )
     index = scratch.store(indexed, "index")
     tables.destroy()
     described = index.filter("key is null")
@@ -331,7 +339,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: Threshold = Thre
     entries = index.filter("key is not null").select("key", "class", place)
     pivots = entries.groupBy("key").agg(F.min("place").alias("pivot"), F.max("place").alias("last")).filter("pivot < last")
     classes = described.filter("n_shingles > 1").groupBy("class")
-    known = scratch.store(classes.agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.max("lost").alias("lost")), "classes")
+    known = scratch.store(classes.agg(F.min("row").alias("row"), F.min("n_shingles").alias("n"), F.max("lost").alias("lost")), "classes")
     told = known.select("class", "n", "lost", place)
     shared = scratch.store(entries.drop("place").join(pivots.select("key", "pivot"), "key").distinct().join(told, "class"), "shared")
     scratch.drop(index)
@@ -345,10 +353,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: Threshold = Thre
         """Links among pairs (a, b, n_a, n_b, entries), of which those with too few entries go unseen."""
         demand = f"least({_SHARED_SQL.format('n_a')}, {_SHARED_SQL.format('n_b')})"
         pairs = scratch.store(counted.filter(f"entries >= {demand}").select("a", "b"), "pairs")
-        wanted = known.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class").select("doc_id", "class")
+        wanted = known.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class").select("row", "class")
         table = spark.sparkContext.broadcast(_slot_table(wanted))
-        marked = _slots(docs).select("doc_id", "text", "slot").mapInArrow(_sets(width, table), "doc_id long, class long, shingles array<long>")
-        sets = scratch.store(marked.join(wanted, ["doc_id", "class"]).select("class", "shingles"), "sets")
+        marked = docs.select("text", _row_number().alias("row")).select("text", _slot()).mapInArrow(_sets(width, table), "class long, shingles array<long>")
+        # By class alone: doc_ids may be null or repeat, and rows of one class have one set.
+        sets = scratch.store(marked.join(wanted.select("class"), "class").dropDuplicates(["class"]), "sets")
         table.destroy()
         links = scratch.store(_linked(pairs, sets, threshold), "links")
         scratch.drop(sets, pairs)

@@ -82,6 +82,21 @@ def test_odd_rows(spark, odd_documents):
     assert near_duplicates(odd_documents().limit(0)).count() == 0
 
 
+def test_near_copies_without_an_id_link(spark):
+    """Near but unequal copies with null ids, one of them the only bridge of two documents, beside copies that repeat id and text."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base, other = [word() for _ in range(200)], [word() for _ in range(200)]
+    bridge = [word() for _ in range(15)] + base[15:]
+    far = bridge[:-15] + [word() for _ in range(15)]
+    rows = [(1, base), (None, bridge), (2, far), (None, bridge), (None, other), (3, [word(), *other[1:]]), (None, [*other[:-1], word()]), (3, [word(), *other[1:]])]
+    texts = [(i, " ".join(w)) for i, w in rows]
+    alone = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame([t for t in texts if t[0] in (1, 2)], "doc_id long, text string")).collect()}
+    assert alone == {1: 1, 2: 2}
+    found = near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in found) == [(0, 1), (0, 1), (0, 3), (0, 3), (1, 1), (2, 1), (3, 3), (3, 3)]
+
+
 def test_one_per_group_keeps_columns(spark, odd_documents):
     docs = odd_documents()
     kept = one_per_group(docs)
