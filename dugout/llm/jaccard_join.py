@@ -309,15 +309,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFram
     )
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: Threshold = Threshold(), frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text; other columns are ignored).
-
-    The component is the smallest doc_id reached by links.  A null or wordless
-    text has an empty set and links with nothing, itself being its component.
-    Equal sets link at any threshold.  Rows that repeat a doc_id each give a row;
-    a null doc_id joins like any other and is never the smallest unless alone.
-    An empty table gives no rows.
-    """
+def _linked_classes(docs: DataFrame, width: int, threshold: Threshold, frequent: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's doc_id, row number, n_shingles and class; the component of each class that links reach."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "jaccard")
@@ -331,7 +324,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: Threshold = Thre
     index = scratch.store(indexed, "index")
     tables.destroy()
     described = index.filter("key is null")
-    sizes = scratch.store(described.select("doc_id", "n_shingles", "class"), "sizes")
+    sizes = scratch.store(described.select("doc_id", "row", "n_shingles", "class"), "sizes")
 
     # Entries with one class say nothing.
     # A class's place: first those with few shingles of their own; the class breaks ties.
@@ -391,7 +384,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: Threshold = Thre
     more = verified(across)
     scratch.drop(open_entries, shared, known)
 
-    reached = components(links.unionAll(more), scratch)
+    return sizes, components(links.unionAll(more), scratch)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: Threshold = Threshold(), frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text; other columns are ignored).
+
+    The component is the smallest doc_id reached by links.  A null or wordless
+    text has an empty set and links with nothing, itself being its component.
+    Equal sets link at any threshold.  Rows that repeat a doc_id each give a row;
+    a null doc_id joins like any other and is never the smallest unless alone.
+    An empty table gives no rows.
+    """
+    sizes, reached = _linked_classes(docs, width, threshold, frequent)
     # Smallest doc_id of each component, through the classes.
     per_class = sizes.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("smallest"))
     grouped = per_class.join(reached, F.col("node") == F.col("class"), "left").select("class", F.coalesce("component", "class").alias("component"), "smallest")
@@ -403,15 +408,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: Threshold = Thre
 
 
 def one_per_group(docs: DataFrame, width: int = 5, threshold: Threshold = Threshold()) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group of near copies; all columns stay.
+    """One row of ``docs`` of each group of near copies, that with the smallest doc_id; all columns stay.
 
-    Rows without words all stay.  Of rows that repeat both doc_id and text one stays.
+    A null doc_id comes last; rows of one doc_id in a group are told apart by a
+    hash of their text, and of rows that repeat both one stays.  Rows without
+    words all stay.
     """
-    found = near_duplicates(docs, width, threshold)
-    leaders = found.filter("component_id <=> doc_id and n_shingles > 0").select(F.col("doc_id").alias("_leader")).distinct()
-    wordless = found.filter("n_shingles = 0").select(F.col("doc_id").alias("_leader")).distinct()
+    sizes, reached = _linked_classes(docs, width, threshold, FREQUENT)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
+    per_class = sizes.filter("n_shingles > 0").groupBy("class").agg(first)
+    grouped = per_class.join(reached, F.col("node") == F.col("class"), "left").select(F.coalesce("component", "class").alias("component"), "first")
+    leaders = grouped.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_leader"), F.col("first.row").alias("_leading"))
     ids = F.col("doc_id").cast("long")
-    kept = docs.join(leaders.unionAll(wordless).distinct(), ids.eqNullSafe(F.col("_leader")), "left_semi")
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = docs.filter(worded).join(leaders, (_row_number(ids) == F.col("_leading")) & ids.eqNullSafe(F.col("_leader")), "left_semi")
     repeat = F.row_number().over(W.partitionBy("doc_id", "text").orderBy(F.lit(0)))
-    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return kept.withColumn("_repeat", repeat).filter((F.col("_repeat") == 1) | blank).drop("_repeat")
+    kept = kept.withColumn("_repeat", repeat).filter("_repeat = 1").drop("_repeat")
+    return kept.unionAll(docs.filter(~worded))

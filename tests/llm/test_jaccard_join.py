@@ -104,6 +104,22 @@ def test_one_per_group_keeps_columns(spark, odd_documents):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 7, 9, 10]
 
 
+def test_one_per_group_on_null_and_repeated_ids(spark):
+    """A copy goes though another row of its id is wordless, unique or leads; of near copies under one id one stays."""
+    rng = random.Random(4)
+    texts = {k: [f"{k}{rng.randrange(10**6)}" for _ in range(120)] for k in "abcde"}
+    near = {k: [*w[:-1], "changed"] for k, w in texts.items()}
+    rows = [
+        (1, texts["a"]), (None, []), (None, near["a"]), (None, texts["b"]), (5, near["a"][1:]), (5, texts["c"]), (6, texts["d"]), (6, near["d"]),
+        (None, texts["e"]), (None, near["e"]), (None, texts["e"]), (None, []),
+    ]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    kept = [(r.doc_id, r.text[:1]) for r in one_per_group(docs).collect()]
+    assert Counter(kept) == {(1, "a"): 1, (None, ""): 2, (None, "b"): 1, (5, "c"): 1, (6, "d"): 1, (None, "e"): 1}
+    again = one_per_group(docs.repartition(5, "text"))
+    assert Counter(again.collect()) == Counter(one_per_group(docs).collect())
+
+
 @pytest.mark.parametrize("n", [2, 7, 8, 63, 64, 65, 130, 700])
 def test_every_entry_demand_is_met(n):
     """Linked sets share entries whichever shingles are frequent or repeated."""
