@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dugout.operators import summaries
 from dugout.schemas import CORE_TABLES, SEASON_TABLES, STAT_TABLES, SUMMARY_TABLES, TABLES
-from dugout.sources.store import TableStore, path_exists
+from dugout.sources.store import TableStore, matching, path_exists
 
 KEYS = {
     "players": ["player_id"],
@@ -71,10 +71,9 @@ def bundle_exists(store: TableStore, folder: str) -> bool:
     return _table(store, folder, "pitches") is not None
 
 
-def bundle_tables(store: TableStore, folder: str) -> dict[str, DataFrame]:
-    """The tables a bundle folder, or a pattern of bundle folders, holds."""
-    found = {name: _table(store, folder, name) for name in KEYS}
-    return {name: df for name, df in found.items() if df is not None}
+def _bundle_files(store: TableStore, folders: list[str]) -> dict[str, list[str]]:
+    """Per table the files of it that bundle folders hold."""
+    return {name: [f"{f}/{name}.parquet" for f in folders if path_exists(store.spark, f"{f}/{name}.parquet")] for name in KEYS}
 
 
 def _bundle_season(store: TableStore, folder: str, pitches: DataFrame) -> int | None:
@@ -100,11 +99,18 @@ def rebuild_summaries(store: TableStore, seasons: list[int], only: tuple[str, ..
 
 def import_bundle(store: TableStore, folder: str) -> None:
     """Load a bundle folder: core tables, then summaries or their rebuild, then stats."""
-    tables = bundle_tables(store, folder)
-    missing = [name for name in CORE_TABLES if name not in tables]
-    if missing:
-        raise FileNotFoundError(f"bundle {folder} is incomplete, missing: {', '.join(missing)}")
-    seasons = [r[0] for r in tables["games"].select("season").distinct().collect()]
+    _import(store, [folder])
+
+
+def _import(store: TableStore, folders: list[str]) -> None:
+    """Load bundle folders with one read per table; what each folder lacks is decided for it alone."""
+    held = _bundle_files(store, folders)
+    lacking = {f: [name for name in KEYS if f"{f}/{name}.parquet" not in held[name]] for f in folders}
+    for folder in folders:
+        missing = [name for name in CORE_TABLES if name in lacking[folder]]
+        if missing:
+            raise FileNotFoundError(f"bundle {folder} is incomplete, missing: {', '.join(missing)}")
+    tables = {name: store.spark.read.schema(TABLES[name]).parquet(*files) for name, files in held.items() if files}
     for name in CORE_TABLES:
         rows = tables[name]
         if name == "players":
@@ -112,20 +118,27 @@ def import_bundle(store: TableStore, folder: str) -> None:
             latest = F.max_by(F.struct(*rows.columns), F.col("_metadata.file_path"))
             rows = rows.groupBy("player_id").agg(latest.alias("row")).select("row.*")
         store.upsert(name, rows, KEYS[name], locate=["game_pk"] if "game_pk" in rows.columns else None)
-    absent = tuple(name for name in SUMMARY_TABLES if name not in tables)
     for name in SUMMARY_TABLES + STAT_TABLES:
         if name in tables:
             store.upsert(name, tables[name], KEYS[name])
-    if absent:
-        if "*" not in folder:
-            seasons = [s for s in [_bundle_season(store, folder, tables["pitches"])] if s is not None]
+    rebuilt: dict[tuple[str, ...], list[int]] = {}
+    for folder in folders:
+        absent = [name for name in SUMMARY_TABLES if name in lacking[folder]]
+        if not absent:
+            continue
+        season = _bundle_season(store, folder, _table(store, folder, "pitches"))
         # Both state summaries are rebuilt when either is absent.
         states = SUMMARY_TABLES[:2]
         only = (states if set(absent) & set(states) else ()) + tuple(t for t in absent if t not in states)
-        if seasons:
-            rebuild_summaries(store, seasons, only)
+        if season is not None:
+            rebuilt.setdefault(only, []).append(season)
+    for only, seasons in rebuilt.items():
+        rebuild_summaries(store, seasons, only)
 
 
 def import_all(store: TableStore, root: str) -> None:
-    """Load every bundle below a folder with one read per table."""
-    import_bundle(store, f"{root.rstrip('/')}/season=*")
+    """Load every bundle below a folder with one read per table; none is loaded if one lacks a core table."""
+    folders = matching(store.spark, f"{root.rstrip('/')}/season=*")
+    if not folders:
+        raise FileNotFoundError(f"no bundle below {root}")
+    _import(store, folders)

@@ -44,10 +44,15 @@ def _located(spark: SparkSession, path: str):
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match a pattern, in order."""
+    system, folder = _located(spark, pattern)
+    return sorted(found.getPath().toString() for found in system.globStatus(folder) or [])
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path, or a pattern of paths, is there."""
-    system, folder = _located(spark, path)
-    return len(system.globStatus(folder) or []) > 0
+    return len(matching(spark, path)) > 0
 
 
 def remove(spark: SparkSession, path: str) -> None:

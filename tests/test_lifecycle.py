@@ -77,6 +77,40 @@ def test_incomplete_bundle_is_refused(lake, store, tmp_path):
         bundles.import_bundle(store, str(tmp_path / "season=2019"))
 
 
+def test_what_a_bundle_lacks_is_decided_for_it_alone(lake, spark, tmp_path):
+    """Complete and incomplete bundles below one folder: rebuilt for the lacking seasons only, refused without a core table."""
+    root = tmp_path / "out"
+
+    def bundle(season, *names, marked=False):
+        for name, frame in (
+            ("players", lake.players), ("games", lake.games), ("pitches", lake.pitches), ("at_bats", lake.at_bats),
+            ("league_pitch_state_summary", lake.league_state), ("player_pitch_state_summary", lake.player_state),
+            ("pitch_transition_summary", lake.transitions),
+        ):
+            if name in names:
+                rows = frame.filter(F.col("season") == season) if "season" in frame.columns else frame
+                if marked and name == "league_pitch_state_summary":
+                    rows = rows.withColumn("pitch_type", F.lit("marked"))
+                rows.write.parquet(str(root / f"season={season}" / f"{name}.parquet"))
+
+    core = ("players", "games", "pitches", "at_bats")
+    states = ("league_pitch_state_summary", "player_pitch_state_summary")
+    bundle(2018, *core, *states, marked=True)
+    bundle(2019, *core, *states, "pitch_transition_summary")
+    bundle(2020, *core, "player_pitch_state_summary", "pitch_transition_summary")
+    store = TableStore(spark, str(tmp_path / "a"))
+    bundles.import_all(store, str(root))
+    within = F.col("season").isin(2018, 2019, 2020)
+    assert same(store.read("pitch_transition_summary"), lake.transitions.filter(within))
+    assert same(store.read("player_pitch_state_summary"), lake.player_state.filter(within))
+    league = store.read("league_pitch_state_summary")
+    assert same(league.filter("season <> 2018"), lake.league_state.filter("season IN (2019, 2020)"))
+    assert league.filter("season = 2018").select("pitch_type").distinct().collect() == [("marked",)]
+    bundle(2021, "players", "games", "pitches")
+    with pytest.raises(FileNotFoundError, match="season=2021 .*at_bats"):
+        bundles.import_all(TableStore(spark, str(tmp_path / "b")), str(root))
+
+
 def test_bundle_written_by_another_engine_loads(lake, spark, store, tmp_path):
     """Single Parquet files with narrower numbers, an extra column and an indented manifest."""
     import duckdb
