@@ -120,10 +120,68 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
   sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)"""
 
+_FAILURES = {
+    "A": "len(words) < 50",
+    "B": "100 * len(list_distinct(words)) < 65 * len(words)",
+    "C": "100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 5 * length(body)",
+    "D": "regexp_matches(body, '[#$%&*|]')",
+    "E": "coalesce(doc_id > MIN(doc_id) OVER (PARTITION BY body), false)",
+}
+_FILTER_NAMES = ", ".join(f"({k}, '{letter}')" for k, letter in enumerate("ABCDE"))
+
+FILTER_AUDIT = rf"""
+WITH RECURSIVE filters(f, letter) AS (VALUES {_FILTER_NAMES}),
+words AS (
+  SELECT *, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+masks AS (
+  SELECT doc_id, coalesce(source, '') AS part, {" + ".join(f"CASE WHEN {fails} THEN {1 << k} ELSE 0 END" for k, fails in enumerate(_FAILURES.values()))} AS mask
+  FROM words),
+told AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, mask, COUNT(*) AS n, COUNT(*) FILTER (good) AS good, COUNT(*) FILTER (toxic) AS toxic
+  FROM masks LEFT JOIN told USING (doc_id) GROUP BY part, mask),
+orders(filter_order, step, f, before, after) AS (
+  SELECT letter, 1, f, 0, 1 << f FROM filters
+  UNION ALL SELECT filter_order || letter, step + 1, filters.f, after, after | (1 << filters.f) FROM orders, filters WHERE after & (1 << filters.f) = 0),
+steps AS (
+  SELECT whole.filter_order, one.step, one.f, one.before
+  FROM orders whole JOIN orders one ON starts_with(whole.filter_order, one.filter_order) WHERE whole.step = 5),
+counted AS (
+  SELECT part, filter_order, step, f,
+    SUM(n) FILTER (mask & before = 0 AND mask & (1 << f) = 0) AS kept, SUM(n) FILTER (mask & before = 0 AND mask & (1 << f) <> 0) AS removed,
+    SUM(n) FILTER (mask & before <> 0 AND mask & (1 << f) <> 0) AS redundant, SUM(n) FILTER (mask = 1 << f) AS unique_fails,
+    SUM(good) FILTER (mask & before = 0 AND mask & (1 << f) <> 0) AS good_lost, SUM(toxic) FILTER (mask & before = 0 AND mask & (1 << f) <> 0) AS toxic_lost
+  FROM judged, steps GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+  coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(SUM(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley
+FROM counted"""
+
+HARD_NEGATIVES = """
+WITH valid AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS v, row_number() OVER () AS row
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.row AS anchor, a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same,
+    coalesce(list_sum(list_transform(list_zip(a.v, r.v), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+  FROM valid a JOIN valid r ON a.row <> r.row WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor, anchor_id, other_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other_id) AS place
+  FROM scored WHERE same QUALIFY place <= 5),
+near AS (
+  SELECT p.anchor_id, positive_id, positive_score, other_id AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, place ORDER BY score DESC, other_id) AS rank
+  FROM positives p JOIN scored s ON p.anchor = s.anchor AND NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM near WHERE rank <= 10"""
+
 ORACLE_SQL = {
     "op2_ngram_jaccard_join": NGRAM_JACCARD,
     "op3_url_redirects": URL_REDIRECTS,
     "op4_warc_dictionary": WARC_DICTIONARY,
     "op6_chat_parts": CHAT_PARTS,
     "op8_wu_manber": WU_MANBER,
+    "op12_filter_audit": FILTER_AUDIT,
+    "op13_hard_negatives": HARD_NEGATIVES,
 }

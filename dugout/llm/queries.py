@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dugout.llm import byte_bpe, chat_format, decontaminate, jaccard_join, order_minhash, sharding, string_kernel, token_counts, url_filters, warc
+from dugout.llm import (
+    byte_bpe,
+    chat_format,
+    decontaminate,
+    filter_audit,
+    hard_negatives,
+    jaccard_join,
+    order_minhash,
+    packing,
+    sharding,
+    string_kernel,
+    token_counts,
+    url_filters,
+    warc,
+)
 from dugout.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -99,6 +113,19 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.mask_counts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(hard_negatives.relabelled(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -110,4 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_wu_manber": op8_wu_manber,
     "op9_stratified_shards": op9_stratified_shards,
     "op10_order_minhash": op10_order_minhash,
+    "op11_packing": op11_packing,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_hard_negatives": op13_hard_negatives,
 }
