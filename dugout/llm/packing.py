@@ -19,6 +19,7 @@ lies in follows from the table alone, not from its partitions.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from dugout.llm.byte_bpe import byte_characters
 from dugout.llm.runtime import Scratch, ship
-from dugout.llm.word_ids import WordIds
+from dugout.llm.word_ids import Definition, encoder, ragged
 
 #: Segments a table is cut into at most, so that a sequence's number fits its field.
 _MOST_SEGMENTS = 1 << 20
@@ -58,15 +59,17 @@ class Packing:
             raise ValueError("limit, stride and segment_tokens must be positive, penalties not negative")
 
 
-def sentence_ends(words: WordIds, definition: dict) -> np.ndarray:
+def sentence_ends(definition: Definition) -> np.ndarray:
     """For each id, whether its piece ends a sentence: punctuation with a full stop, an exclamation or a question mark."""
-    suffix = definition["model"]["end_of_word_suffix"] or ""
+    model = json.loads(definition.text)["model"]
+    suffix = model["end_of_word_suffix"]
     of_letter = {letter: byte for byte, letter in enumerate(byte_characters())}
     marks, word = re.compile("[.!?…。！？]"), re.compile(r"\w")
-    out = np.zeros(np.iinfo(words.dtype).max + 1 if words.dtype.itemsize == 2 else words.library.get_vocab_size(True), dtype=bool)
-    for piece, number in definition["model"]["vocab"].items():
-        if piece.endswith(suffix) and all(letter in of_letter for letter in piece[: len(piece) - len(suffix)]):
-            text = bytes(of_letter[letter] for letter in piece[: len(piece) - len(suffix)]).decode("utf-8", "ignore")
+    out = np.zeros(8 * len(definition.ends_word), dtype=bool)
+    for piece, number in model["vocab"].items():
+        letters = piece.removesuffix(suffix)
+        if letters != piece and all(letter in of_letter for letter in letters):
+            text = bytes(of_letter[letter] for letter in letters).decode("utf-8", "ignore")
             out[number] = bool(marks.search(text)) and not word.search(text)
     return out
 
@@ -76,18 +79,20 @@ def places(sizes: np.ndarray, ends_sentence: np.ndarray, how: Packing) -> tuple[
 
     ``sizes``: tokens of each document; ``ends_sentence``: for each token of the run.
     """
-    doc_ends = np.cumsum(sizes)
-    sentences = np.flatnonzero(ends_sentence) + 1
-    solid = np.union1d(np.concatenate(([0], doc_ends)), sentences)
+    inner, sentence, document = 1, 2, 3
+    kind = np.zeros(len(ends_sentence) + 1, dtype=np.uint8)
+    kind[1:][ends_sentence] = sentence
+    kind[np.cumsum(sizes)] = document
+    kind[0] = document
+    solid = np.flatnonzero(kind)
     step = min(how.stride, how.limit)
     gaps = np.diff(solid)
     long = np.flatnonzero(gaps > step)
-    inner = [np.arange(solid[k] + step, solid[k + 1], step) for k in long]
-    at = np.union1d(solid, np.concatenate(inner)) if inner else solid
-    penalty = np.full(len(at), how.inner_cut)
-    penalty[np.searchsorted(at, sentences)] = how.sentence_cut
-    penalty[np.searchsorted(at, doc_ends)] = 0.0
-    return at, penalty + how.window
+    if len(long):
+        counts = (gaps[long] - 1) // step
+        kind[np.repeat(solid[long], counts) + step * (1 + ragged(np.zeros_like(counts), counts))] = inner
+    at = np.flatnonzero(kind)
+    return at, np.array([0.0, how.inner_cut, how.sentence_cut, 0.0])[kind[at]] + how.window
 
 
 def _powers(at: np.ndarray, limit: int) -> tuple[list[int], list[int]]:
@@ -145,7 +150,7 @@ def padding(length: int, limit: int) -> int:
 
 def _encode(shared, how: Packing):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(shared.value)
+        words = encoder(shared.value)
         end = np.array([how.end_id], dtype=words.dtype)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
@@ -159,21 +164,18 @@ def _encode(shared, how: Packing):
     return run
 
 
-def _pieces(shared, how: Packing):
+def _pieces(id_type: str, shared_ends, how: Packing):
     """Rows sorted by segment, salt and document to pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
-        words = WordIds(shared.value)
-        is_end = sentence_ends(words, json.loads(shared.value))
+        dtype, is_end = np.dtype(id_type), shared_ends.value
         current, counter, held, held_tokens = None, 0, [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal counter, held, held_tokens
             if not held:
                 return
-            ids = [np.frombuffer(raw, dtype=words.dtype) for _, raw in held]
+            ids = [np.frombuffer(raw, dtype=dtype) for _, raw in held]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             run_ids = np.concatenate(ids)
             cuts = cheapest_cuts(*places(sizes, is_end[run_ids], how), how.limit)
@@ -206,7 +208,7 @@ def _pieces(shared, how: Packing):
                 elif held_tokens >= 2 * how.segment_tokens:
                     yield from flush()
                 held.append((doc_id, raw))
-                held_tokens += len(raw) // words.dtype.itemsize
+                held_tokens += len(raw) // dtype.itemsize
         yield from flush()
 
     return run
@@ -225,11 +227,12 @@ def pack(docs: DataFrame, path: str, how: Packing = Packing()) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "packing")
-    with open(path, encoding="utf-8") as file:
-        shared = spark.sparkContext.broadcast(file.read())
+    definition = Definition.read(path)
+    shared, ends = (spark.sparkContext.broadcast(value) for value in (definition, sentence_ends(definition)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), text.alias("text"))
     tokens = scratch.store(rows.mapInArrow(_encode(shared, how), "doc_id long, print long, doc_tokens long, ids binary"), "tokens")
+    shared.destroy()
     total, low, high = tokens.agg(F.sum("doc_tokens"), F.min("doc_id"), F.max("doc_id")).first()
     wanted = max(how.segment_tokens, -(-(total or 0) // (_MOST_SEGMENTS - 2)))
     segments = -(-(total or 0) // wanted)
@@ -240,7 +243,8 @@ def pack(docs: DataFrame, path: str, how: Packing = Packing()) -> DataFrame:
     dealt = tokens.withColumn("segment", segment)
     crowded = dealt.groupBy("segment").agg(F.sum("doc_tokens").alias("held")).filter(F.col("held") > 2 * wanted)
     salts = crowded.select("segment", F.ceil(F.col("held") / F.lit(wanted)).cast("long").alias("salts"))
-    salted = dealt.join(salts, "segment", "left").withColumn("salt", F.coalesce(F.pmod("print", "salts"), F.lit(0)).cast("long"))
+    # Each crowded segment holds two segments' tokens at least, so there are fewer than 2^19 of them.
+    salted = dealt.join(F.broadcast(salts), "segment", "left").withColumn("salt", F.coalesce(F.pmod("print", "salts"), F.lit(0)).cast("long"))
     sorted_rows = salted.select("segment", "salt", "doc_id", "ids", "print").repartition("segment", "salt").sortWithinPartitions("segment", "salt", "doc_id", "print")
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return sorted_rows.select("segment", "salt", "doc_id", "ids").mapInArrow(_pieces(shared, how), schema)
+    return sorted_rows.select("segment", "salt", "doc_id", "ids").mapInArrow(_pieces(definition.id_type, ends, how), schema)

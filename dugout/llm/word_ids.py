@@ -9,6 +9,7 @@ normalisation is not plain, go through the library whole.
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -17,7 +18,7 @@ from dugout.llm.shingles import mix
 #: Below this code point composition changes nothing and all Unicode versions agree on letters.
 _PLAIN = 0x250
 _SPACE, _LETTER, _DIGIT, _OTHER = range(4)
-_CHUNK = 1 << 21
+_CHUNK = 1 << 20
 #: Pre-tokens kept per worker; beyond it the table starts anew.
 _REMEMBERED = 1 << 20
 _BASE = 0xD1342543DE82EF95
@@ -54,19 +55,38 @@ def _is_plain(text: str) -> bool:
     return True
 
 
+@dataclass(frozen=True)
+class Definition:
+    """What workers need of a tokenizer file: its text, special strings, the width of an id, and which ids end a word."""
+
+    text: str
+    special: tuple[str, ...]
+    id_type: str
+    ends_word: bytes
+
+    @classmethod
+    def read(cls, path: str) -> Definition:
+        with open(path, encoding="utf-8") as file:
+            text = file.read()
+        spec = json.loads(text)
+        vocabulary, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        special = tuple(token["content"] for token in spec["added_tokens"])
+        size = 1 + max([*vocabulary.values(), *(token["id"] for token in spec["added_tokens"])])
+        ends = np.zeros(size, dtype=bool)
+        ends[[number for piece, number in vocabulary.items() if piece.endswith(suffix)]] = True
+        return cls(text, special, "<u2" if size <= 1 << 16 else "<u4", np.packbits(ends).tobytes())
+
+
 class WordIds:
     """Ids of texts under a tokenizer file, without added special tokens."""
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: Definition):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_str(definition)
-        spec = json.loads(definition)
-        self._special = [token["content"] for token in spec["added_tokens"]]
-        size = self.library.get_vocab_size(True)
-        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self._is_last = np.zeros(size, dtype=bool)
-        self._is_last[[i for piece, i in spec["model"]["vocab"].items() if piece.endswith(spec["model"]["end_of_word_suffix"])]] = True
+        self.library = Tokenizer.from_str(definition.text)
+        self._special = definition.special
+        self.dtype = np.dtype(definition.id_type)
+        self._is_last = np.unpackbits(np.frombuffer(definition.ends_word, dtype=np.uint8)).astype(bool)
         self._kinds = _classes()
         self._up = _powers(_BASE, _CHUNK + 2)
         self._down = _powers(pow(_BASE, -1, 1 << 64), _CHUNK + 2)
@@ -190,3 +210,15 @@ class WordIds:
         self._used += len(flat)
         self._count += len(words)
         return np.arange(base, self._count)
+
+
+_ENCODERS: dict[int, WordIds] = {}
+
+
+def encoder(definition: Definition) -> WordIds:
+    """This worker's encoder, with the pre-tokens that earlier tasks met."""
+    key = hash(definition)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = WordIds(definition)
+    return _ENCODERS[key]
