@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from dugout.functions import keys, vocab
@@ -32,11 +32,17 @@ def clean_pitches(raw: DataFrame) -> DataFrame:
     )
 
 
-def supported_games(df: DataFrame) -> DataFrame:
-    """Regular-season and postseason rows; unchanged when there is no game type."""
-    if "game_type" not in df.columns:
-        return df
-    return df.filter(F.col("game_type").isin(*vocab.SUPPORTED_GAME_TYPES))
+def supported_games(df: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """Regular-season and postseason rows; all rows when there is no game type.
+
+    ``seen`` gets ``kept`` and ``removed``, counted on the way in whatever action
+    runs the result, so they cost no job.
+    """
+    supported = F.col("game_type").isin(*vocab.SUPPORTED_GAME_TYPES) if "game_type" in df.columns else F.lit(True)
+    supported = F.coalesce(supported, F.lit(False))
+    if seen is not None:
+        df = df.observe(seen, F.count_if(supported).alias("kept"), F.count_if(~supported).alias("removed"))
+    return df.filter(supported)
 
 
 def dedupe_pitches(df: DataFrame, order_by: list[Column] | None = None) -> DataFrame:

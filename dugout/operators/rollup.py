@@ -9,9 +9,8 @@ from dugout.functions import keys
 from dugout.operators.clean import AT_BAT_KEY
 from dugout.schemas import AT_BATS, conform
 
-# Above this many pitches in one appearance, ``next_pitches`` should be given it
-# as its block length.
-LONG_APPEARANCE = 4096
+#: Pitch numbers of an appearance are cut into segments of this many for windows.
+SEGMENT = 1024
 
 
 def at_bat_rollup(pitches: DataFrame) -> DataFrame:
@@ -63,34 +62,41 @@ def at_bat_rollup(pitches: DataFrame) -> DataFrame:
     return conform(finished, AT_BATS)
 
 
-def next_pitches(pitches: DataFrame, fields: dict[str, tuple[str, int]], block: int | None = None) -> DataFrame:
-    """Add columns holding values of later pitches of the same appearance.
+def _lent(pitches: DataFrame, columns: list[str], depth: int) -> DataFrame:
+    """The first ``depth`` pitches of every segment but the first, for the segments of the appearance that stand before it.
 
-    ``fields`` maps a new column to (source column, steps ahead).  A real
-    appearance is a handful of pitches and is one window group.  Where one may be
-    huge, give ``block``: pitches are then numbered into blocks of that length, a
-    first window works inside each block, and a second one sees only the edge
-    rows of every block, so no task holds a whole appearance.  Results are equal.
+    Only rows of later segments are read, and none where appearances are as
+    short as real ones.  A segment may hold fewer than ``depth`` pitches, or none,
+    so its pitches go to that many of the filled segments before it.
     """
-    depth = max(steps for _, steps in fields.values())
     appearance = list(AT_BAT_KEY)
+    late = pitches.filter(F.col("pitch_number") >= SEGMENT).select(*columns).withColumn("_segment", _segment())
+    inside = Window.partitionBy(*appearance, "_segment").orderBy("pitch_number")
+    heads = late.withColumn("_place", F.row_number().over(inside)).filter(F.col("_place") <= depth)
+    filled = Window.partitionBy(*appearance).orderBy("_segment")
+    before = F.array(*[F.coalesce(F.lag("_segment", i).over(filled), F.lit(0)) for i in range(1, depth + 1)])
+    lenders = heads.filter("_place = 1").select(*appearance, "_segment", F.array_distinct(before).alias("_before"))
+    return heads.join(lenders, [*appearance, "_segment"]).select(*columns, F.explode("_before").alias("_segment"))
 
-    def leads(window) -> dict[str, Column]:
-        return {name: F.lead(source, steps).over(window) for name, (source, steps) in fields.items()}
 
-    if block is None:
-        return pitches.withColumns(leads(Window.partitionBy(*appearance).orderBy("pitch_number")))
+def _segment() -> Column:
+    number = F.coalesce(F.col("pitch_number"), F.lit(0))
+    return F.greatest(F.floor(number / SEGMENT), F.lit(0)).cast("long")
 
-    inside = Window.partitionBy(*appearance, "_block").orderBy("pitch_number")
-    marked = pitches.withColumn("_block", F.floor(F.col("pitch_number") / block)).withColumns(
-        leads(inside)
-        | {
-            "_from_start": F.row_number().over(inside),
-            "_is_tail": F.lead("pitch_number", depth).over(inside).isNull(),
-        }
+
+def next_pitches(pitches: DataFrame, fields: dict[str, tuple[str, int]]) -> DataFrame:
+    """Add columns holding values of later pitches of the same appearance.
+
+    ``fields`` maps a new column to (source column, steps ahead).  Windows run
+    within segments of an appearance, each of which borrows the next pitches after it, so an
+    appearance of any length spreads over many window groups.
+    """
+    depth = max(steps for _, steps in fields.values())
+    columns = list(dict.fromkeys([*AT_BAT_KEY, "pitch_number", *(source for source, _ in fields.values())]))
+    own = pitches.withColumns({"_segment": _segment(), "_own": F.lit(True)})
+    lent = _lent(pitches, columns, depth).withColumn("_own", F.lit(False))
+    window = Window.partitionBy(*AT_BAT_KEY, "_segment").orderBy("pitch_number")
+    stepped = own.unionByName(lent, allowMissingColumns=True).withColumns(
+        {name: F.lead(source, steps).over(window) for name, (source, steps) in fields.items()}
     )
-    helpers = ("_block", "_from_start", "_is_tail")
-    settled = marked.filter(~F.col("_is_tail"))
-    edges = marked.filter((F.col("_from_start") <= depth) | F.col("_is_tail")).drop(*fields)
-    tails = edges.withColumns(leads(Window.partitionBy(*appearance).orderBy("pitch_number"))).filter("_is_tail")
-    return settled.unionByName(tails).drop(*helpers)
+    return stepped.filter("_own").drop("_segment", "_own")

@@ -10,10 +10,11 @@ from dugout.functions.numbers import rate, rnd
 from dugout.operators.appearances import APPEARANCE
 from dugout.operators.filters import ALL_TIME, filter_pitches
 from dugout.operators.filters import Window as Scope
-from dugout.operators.rollup import next_pitches
+from dugout.operators.rollup import SEGMENT, next_pitches
 
 OUTCOMES = ("ball", "strike", "foul")
-_SEGMENT = 64
+#: Outcomes that one long holds, two bits each.
+_PACKED = 32
 
 
 def pitch_sequences(
@@ -24,7 +25,6 @@ def pitch_sequences(
     min_occurrences: int = 20,
     scope: Scope = ALL_TIME,
     game_types=None,
-    block: int | None = None,
 ) -> DataFrame:
     """Runs of two or three pitch types and what the last pitch of the run led to.
 
@@ -39,7 +39,7 @@ def pitch_sequences(
     last = length - 1
     fields = {name: ("pitch_type", i) for i, name in enumerate(names) if i}
     fields |= {"last_description": ("description", last), "last_events": ("events", last)}
-    runs = next_pitches(typed, fields, block).withColumnRenamed("pitch_type", "first_pitch")
+    runs = next_pitches(typed, fields).withColumnRenamed("pitch_type", "first_pitch")
     return (
         runs.filter(F.col(names[-1]).isNotNull())
         .groupBy(*names)
@@ -63,50 +63,83 @@ def parse_outcomes(text: str) -> list[str]:
 
 
 def _classified(pitches: DataFrame, where: Column) -> DataFrame:
+    """Pitches with a two-bit outcome code, 0 where the outcome is none of the three, and whether they missed the bat."""
+    outcome = vocab.outcome(F.col("description"))
+    code = F.coalesce(*[F.when(outcome == name, i + 1) for i, name in enumerate(OUTCOMES)], F.lit(0))
     return (
         pitches.filter(where)
-        .select(*APPEARANCE, "pitch_number", "pitcher_id", "description", vocab.outcome(F.col("description")).alias("outcome"))
-        .filter("outcome IS NOT NULL")
+        .select(
+            *APPEARANCE, "pitch_number", "pitcher_id", code.cast("bigint").alias("code"),
+            F.coalesce(vocab.is_whiff(F.col("description")), F.lit(False)).alias("whiff"),
+        )
+        .filter("code > 0")
     )
 
 
-def outcome_windows(classified: DataFrame, depth: int, *extra_keys: str) -> DataFrame:
-    """Each pitch with the outcomes and descriptions of the ``depth`` adjacent ones after it.
+def outcome_runs(pitches: DataFrame, length: int, where: Column | None = None) -> DataFrame:
+    """Each classified pitch with ``run``: its outcome and those of up to ``length - 1`` pitches right after it."""
+    named = F.element_at(F.array(*map(F.lit, OUTCOMES)), F.col("code").cast("int"))
+    classified = _classified(pitches, F.lit(True) if where is None else where).withColumn("outcome", named)
+    fields = {f"{name}_{i}": (name, i) for i in range(1, length) for name in ("pitch_number", "outcome")}
+    stepped = next_pitches(classified, fields)
+    # A missing number leaves later ones too high for their place.
+    adjacent = [F.when(F.col(f"pitch_number_{i}") == F.col("pitch_number") + i, F.col(f"outcome_{i}")) for i in range(1, length)]
+    return stepped.withColumn("run", F.filter(F.array("outcome", *adjacent), lambda o: o.isNotNull())).drop(*fields)
+
+
+def packed_outcomes(outcomes: list[str]) -> list[int]:
+    """A list of outcomes as the codes that ``outcome_tails`` has where it ends: the last outcomes first, ``_PACKED`` to a number."""
+    codes = [OUTCOMES.index(outcome) + 1 for outcome in reversed(outcomes)]
+    words = [codes[i : i + _PACKED] for i in range(0, len(codes), _PACKED)]
+    unsigned = [sum(code << 2 * k for k, code in enumerate(word)) for word in words]
+    return [word - (1 << 64) if word >> 63 else word for word in unsigned]
+
 
-    A value is NULL from the first missing pitch number on.  Pitch numbers are cut
-    into segments, none shorter than the depth, and the first pitches of a segment
-    are lent to the one before, so an appearance of any length spreads over many
-    window groups.
+def outcome_tails(classified: DataFrame, depth: int, *extra_keys: str) -> DataFrame:
+    """Each pitch with the last ``depth`` outcomes up to it, packed into longs, and whether the pitch after it missed the bat.
+
+    ``tail_0`` holds the pitch and up to 31 before it, two bits each, ``tail_1``
+    the 32 before those, and so on; a pitch number that is missing ends the
+    tail with zeros.  Each step doubles the outcomes a long holds, so a list of
+    two hundred takes a dozen lags.  Pitch numbers are cut into segments, none
+    shorter than the depth, whose edges are lent to their neighbours, so an
+    appearance of any length spreads over many window groups.
     """
-    length = max(_SEGMENT, depth)
-    segment = F.floor(F.col("pitch_number") / length)
-    lent = (F.col("pitch_number") % length < depth) & (F.col("pitch_number") >= length)
-    copies = F.when(lent, F.array(segment, segment - 1)).otherwise(F.array(segment))
-    spread = classified.select("*", F.explode(copies).alias("_segment"))
+    length = max(SEGMENT, depth)
+    number = F.col("pitch_number")
+    segment = F.floor(number / length)
+    place = F.pmod(number, F.lit(length))
+    neighbours = F.array(segment, F.when(place >= length - (depth - 1), segment + 1), F.when(place == 0, segment - 1))
+    spread = classified.select("*", F.explode(F.filter(neighbours, lambda s: s.isNotNull())).alias("_segment"))
     w = Window.partitionBy(*APPEARANCE, *extra_keys, "_segment").orderBy("pitch_number")
-    steps = {}
-    for i in range(1, depth + 1):
-        adjacent = F.lead("pitch_number", i).over(w) == F.col("pitch_number") + i
-        steps[f"outcome_{i}"] = F.when(adjacent, F.lead("outcome", i).over(w))
-        steps[f"description_{i}"] = F.when(adjacent, F.lead("description", i).over(w))
-    own = segment == F.col("_segment")
-    return spread.withColumns(steps).withColumnRenamed("outcome", "outcome_0").filter(own).drop("_segment")
 
+    def back(name: str, steps: int) -> Column:
+        """A value that many pitch numbers before, 0 where that number is missing."""
+        return F.coalesce(F.when(F.lag("pitch_number", steps).over(w) == number - steps, F.lag(name, steps).over(w)), F.lit(0).cast("bigint"))
+
+    tails, held = spread.withColumn("tail_0", F.col("code")), 1
+    while held < min(depth, _PACKED):
+        tails = tails.withColumn("tail_0", F.col("tail_0").bitwiseOR(F.shiftleft(back("tail_0", held), 2 * held)))
+        held *= 2
+    following = F.when(F.lead("pitch_number", 1).over(w) == number + 1, F.lead("whiff", 1).over(w))
+    steps = {f"tail_{i}": back("tail_0", i * _PACKED) for i in range(1, -(-depth // _PACKED))}
+    return tails.withColumns(steps | {"next_whiff": F.coalesce(following, F.lit(False))}).filter(segment == F.col("_segment")).drop("_segment")
 
-def _matches(windows: DataFrame, sequences: list[list[str]]) -> DataFrame:
-    """One row per place a requested sequence occurs, with the pitch that follows it."""
+
+def _matches(tails: DataFrame, sequences: list[list[str]]) -> DataFrame:
+    """One row per place a requested sequence ends, with whether the pitch after it missed the bat."""
     hits = []
     for outcomes in sequences:
         found = F.lit(True)
-        for i, outcome in enumerate(outcomes):
-            found = found & F.coalesce(F.col(f"outcome_{i}") == outcome, F.lit(False))
-        hit = F.struct(
-            F.lit(" -> ".join(outcomes)).alias("sequence"),
-            F.col(f"description_{len(outcomes)}").alias("next_description"),
-        )
-        hits.append(F.when(found, hit))
-    kept = F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull()))
-    return windows.select(*APPEARANCE, "pitcher_id", kept.alias("hit")).select(*APPEARANCE, "pitcher_id", "hit.*")
+        for i, word in enumerate(packed_outcomes(outcomes)):
+            width = min(_PACKED, len(outcomes) - i * _PACKED)
+            tail = F.col(f"tail_{i}")
+            if width < _PACKED:
+                tail = tail.bitwiseAND(F.lit((1 << 2 * width) - 1))
+            found = found & (tail == F.lit(word).cast("bigint"))
+        hits.append(F.when(found, F.lit(" -> ".join(outcomes))))
+    kept = F.explode(F.filter(F.array(*hits), lambda hit: hit.isNotNull())).alias("sequence")
+    return tails.select(*APPEARANCE, "pitcher_id", "next_whiff", kept)
 
 
 def _match_rates(matches: DataFrame, at_bats: DataFrame, *by: str) -> DataFrame:
@@ -116,7 +149,7 @@ def _match_rates(matches: DataFrame, at_bats: DataFrame, *by: str) -> DataFrame:
         .groupBy(*by, "sequence")
         .agg(
             numbers.rows().alias("occurrences"),
-            rate(vocab.is_whiff(F.col("next_description"))).alias("whiff_pct"),
+            rate(F.col("next_whiff")).alias("whiff_pct"),
             rate(vocab.is_strikeout(F.col("final_event"))).alias("k_pct"),
         )
     )
@@ -148,8 +181,8 @@ def outcome_sequences(
             [("", 0, 0)], "sequence string, sequence_length int, occurrences bigint"
         ).select("*", F.lit(None).cast("double").alias("whiff_pct"), F.lit(None).cast("double").alias("k_pct"))
     classified = _classified(pitches, filter_pitches(scope, pitcher_id=pitcher_id, game_types=game_types))
-    windows = outcome_windows(classified, max(map(len, wanted)))
-    found = _match_rates(_matches(windows, wanted), at_bats)
+    tails = outcome_tails(classified, max(map(len, wanted)))
+    found = _match_rates(_matches(tails, wanted), at_bats)
     return (
         _requested(spark, wanted)
         .join(found, "sequence", "left")
@@ -175,9 +208,9 @@ def sequence_compare(
     """
     classified = _classified(pitches, filter_pitches(scope, game_types=game_types))
     depth = len(outcomes)
-    league = _matches(outcome_windows(classified, depth), [outcomes]).withColumn("label", F.lit("League Average"))
+    league = _matches(outcome_tails(classified, depth), [outcomes]).withColumn("label", F.lit("League Average"))
     own = classified.filter(F.col("pitcher_id").isin(*pitcher_ids))
-    pitchers = _matches(outcome_windows(own, depth, "pitcher_id"), [outcomes]).withColumn(
+    pitchers = _matches(outcome_tails(own, depth, "pitcher_id"), [outcomes]).withColumn(
         "label", F.col("pitcher_id").cast("string")
     )
     return _match_rates(league.unionByName(pitchers), at_bats, "label").orderBy("label")

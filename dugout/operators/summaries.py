@@ -1,64 +1,73 @@
-"""Materialised pitch-state and pitch-transition summaries."""
+"""Materialised pitch-state and pitch-transition summaries.
+
+Every summary is a fold of tallies: counts and sums that add up over dates.  A
+plate appearance is counted on the date of its first pitch, which makes even the
+number of appearances additive.  Tallies can therefore be kept per date and
+replaced for some dates only; ``fold`` turns any number of dates into the summary.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dugout.functions import keys, vocab
 from dugout.operators.rollup import next_pitches
-from dugout.schemas import LEAGUE_PITCH_STATE, PITCH_TRANSITIONS, PLAYER_PITCH_STATE, conform
+from dugout.schemas import LEAGUE_PITCH_STATE, PITCH_TRANSITIONS, PLAYER_PITCH_STATE, conform, tally_schema
 
 STATE = ("game_type", "balls", "strikes", "outs_when_up", "stand", "p_throws")
 
-
-_COUNTS = (
-    "pitches", "ball_events", "called_strikes", "whiffs", "fouls", "balls_in_play", "hit_events", "walk_events",
-    "strikeout_events", "woba_n", "xwoba_n",
+#: What a pitch counts for, a bit each.
+_EVENTS = (
+    "ball_events", "called_strikes", "whiffs", "fouls", "balls_in_play", "hit_events", "walk_events", "strikeout_events",
 )
+_SUMS = {"woba": "woba_value", "xwoba": "estimated_woba_using_speedangle"}
+STATE_TALLIES = ("pitches", "plate_appearances", *_EVENTS, *(f"{name}_{part}" for name in _SUMS for part in ("sum", "n")))
+_NEXT = {
+    "next_pitch_whiffs": "whiffs", "next_pitch_called_strikes": "called_strikes", "next_pitch_balls": "ball_events",
+    "next_pitch_in_play": "balls_in_play", "next_pitch_hits": "hit_events", "next_pitch_walks": "walk_events",
+    "next_pitch_strikeouts": "strikeout_events",
+}
+TRANSITION_TALLIES = ("transitions", *_NEXT)
+
+
+def _kinds() -> Column:
+    """The events a pitch counts for as bits, so that it shuffles as one number."""
+    description, event = F.col("description"), F.col("events")
+    tests = (
+        vocab.is_ball(description), vocab.is_called_strike(description), vocab.is_whiff_wide(description), vocab.is_foul(description),
+        vocab.is_in_play(description, F.col("type")), vocab.is_hit(event), vocab.is_walk(event), vocab.is_strikeout(event),
+    )
+    bits = F.lit(0)
+    for i, test in enumerate(tests):
+        bits = bits.bitwiseOR(F.when(test, 1 << i).otherwise(0))
+    return bits.alias("kinds")
 
 
-def _tallies() -> list[Column]:
-    """Fixed-width measures that combine on the map side."""
-    description, event = F.col("description"), F.col("events")
-    return [
-        F.count(F.lit(1)).alias("pitches"),
-        F.count_if(vocab.is_ball(description)).alias("ball_events"),
-        F.count_if(vocab.is_called_strike(description)).alias("called_strikes"),
-        F.count_if(vocab.is_whiff_wide(description)).alias("whiffs"),
-        F.count_if(vocab.is_foul(description)).alias("fouls"),
-        F.count_if(vocab.is_in_play(description, F.col("type"))).alias("balls_in_play"),
-        F.count_if(vocab.is_hit(event)).alias("hit_events"),
-        F.count_if(vocab.is_walk(event)).alias("walk_events"),
-        F.count_if(vocab.is_strikeout(event)).alias("strikeout_events"),
-        F.sum("woba_value").alias("woba_sum"),
-        F.count("woba_value").alias("woba_n"),
-        F.sum("estimated_woba_using_speedangle").alias("xwoba_sum"),
-        F.count("estimated_woba_using_speedangle").alias("xwoba_n"),
-    ]
+def _has(event: str, kinds: str = "kinds") -> Column:
+    return F.col(kinds).bitwiseAND(F.lit(1 << _EVENTS.index(event))) != 0
 
 
-def _state_summary(rows: DataFrame, dims: list[str], labels: list[str]) -> DataFrame:
-    """Measures, distinct appearances and labels per group.
+def _state_tallies(rows: DataFrame, dims: list[str], labels: list[str]) -> DataFrame:
+    """Tallies per group and label.
 
-    Measures and appearances come from separate narrow aggregations that are
-    stacked and folded once more.  Done as one, the distinct count would carry every
-    measure through a shuffle of nearly all rows.  Labels ride along as grouping
-    columns, since text in an aggregation buffer would force sorting all rows.
+    The first pitch of an appearance within its group, whatever the date, is marked
+    in a window, so that appearances are a plain count: rows meet once by
+    appearance and group, and once more, combined, by group.  Labels ride along as grouping columns, since
+    text in an aggregation buffer would force sorting all rows.
     """
-    measures = rows.groupBy(*dims, *labels).agg(*_tallies())
-    appearances = (
-        rows.select(*dims, "game_pk", "at_bat_number")
-        .distinct()
-        .groupBy(*dims)
-        .agg(F.count(F.lit(1)).alias("plate_appearances"))
-    )
-    stacked = measures.unionByName(appearances, allowMissingColumns=True)
-    return stacked.groupBy(*dims).agg(
-        *[F.max(label).alias(label) for label in labels],
-        *[F.sum(c).alias(c) for c in (*_COUNTS, "plate_appearances")],
-        F.try_divide(F.sum("woba_sum"), F.sum("woba_n").cast("double")).alias("avg_woba_value"),
-        F.try_divide(F.sum("xwoba_sum"), F.sum("xwoba_n").cast("double")).alias("avg_xwoba"),
+    group = [c for c in dims if c != "game_date"]
+    met = Window.partitionBy("game_pk", "at_bat_number", *group).orderBy("game_date")
+    marked = rows.withColumn("_opens", F.row_number().over(met) == 1)
+    return marked.groupBy(*dims, *labels).agg(
+        F.count(F.lit(1)).alias("pitches"),
+        F.count_if("_opens").alias("plate_appearances"),
+        *[F.count_if(_has(event)).alias(event) for event in _EVENTS],
+        *[measure.alias(f"{name}_{part}") for name, c in _SUMS.items() for part, measure in (("sum", F.sum(c)), ("n", F.count(c)))],
     )
 
 
@@ -81,62 +90,92 @@ def _both_perspectives(df: DataFrame, extra: dict[str, tuple[str, str]] | None =
     )
 
 
-def league_pitch_state(pitches: DataFrame) -> DataFrame:
-    """Counts and mean values per season, game type, state, hands and pitch type."""
-    dims = ["season", *STATE, "pitch_type"]
-    summary = _state_summary(pitches, dims, ["pitch_name"])
-    return conform(summary.withColumn("row_key", keys.row_key(*dims)), LEAGUE_PITCH_STATE)
+def _league_rows(pitches: DataFrame) -> DataFrame:
+    return pitches.select("season", "game_date", *STATE, "pitch_type", "pitch_name", "game_pk", "at_bat_number", *_SUMS.values(), _kinds())
 
 
-def player_pitch_state(pitches: DataFrame) -> DataFrame:
-    """The league summary per player, seen as batter and as pitcher."""
-    dims = ["season", "perspective", "player_id", *STATE, "pitch_type"]
+def _player_rows(pitches: DataFrame) -> DataFrame:
     needed = pitches.select(
-        "season", *STATE, "pitch_type", "pitch_name", "game_pk", "at_bat_number", "description", "type", "events",
-        "woba_value", "estimated_woba_using_speedangle", "batter_id", "pitcher_id", "batter_team", "pitcher_team",
+        "season", "game_date", *STATE, "pitch_type", "pitch_name", "game_pk", "at_bat_number", *_SUMS.values(), "batter_id",
+        "pitcher_id", "batter_team", "pitcher_team", _kinds(),
     )
-    views = _both_perspectives(needed, {"team": ("batter_team", "pitcher_team")})
-    summary = _state_summary(views, dims, ["team", "pitch_name"])
-    return conform(summary.withColumn("row_key", keys.row_key(*dims)), PLAYER_PITCH_STATE)
+    return _both_perspectives(needed, {"team": ("batter_team", "pitcher_team")})
 
 
-def pitch_transitions(pitches: DataFrame, block: int | None = None) -> DataFrame:
-    """What follows each pitch type in a state, per player and perspective.
-
-    The following pitch is taken before pitches of unknown type are dropped: an
-    unknown type in between breaks the pair.
-    """
+def _transition_rows(pitches: DataFrame) -> DataFrame:
+    """Pairs of pitches; the following one is taken before pitches of unknown type are dropped, so such a one breaks the pair."""
     needed = pitches.select(
-        "season", *STATE, "game_pk", "at_bat_number", "pitch_number", "batter_id", "pitcher_id",
-        F.col("pitch_type").alias("prev_pitch_type"), "description", "type", "events",
+        "season", "game_date", *STATE, "game_pk", "at_bat_number", "pitch_number", "batter_id", "pitcher_id",
+        F.col("pitch_type").alias("prev_pitch_type"), _kinds(),
     )
-    stepped = next_pitches(
-        needed,
-        {
-            "next_pitch_type": ("prev_pitch_type", 1),
-            "next_description": ("description", 1),
-            "next_type": ("type", 1),
-            "next_events": ("events", 1),
-        },
-        block,
-    )
-    pairs = stepped.filter("prev_pitch_type IS NOT NULL AND next_pitch_type IS NOT NULL").drop(
-        "game_pk", "at_bat_number", "pitch_number", "description", "type", "events"
+    stepped = next_pitches(needed, {"next_pitch_type": ("prev_pitch_type", 1), "next_kinds": ("kinds", 1)})
+    pairs = stepped.filter("prev_pitch_type IS NOT NULL AND next_pitch_type IS NOT NULL")
+    return _both_perspectives(pairs.drop("game_pk", "at_bat_number", "pitch_number", "kinds"))
+
+
+def _transition_tallies(rows: DataFrame, dims: list[str], labels: list[str]) -> DataFrame:
+    return rows.groupBy(*dims, *labels).agg(
+        F.count(F.lit(1)).alias("transitions"),
+        *[F.count_if(_has(event, "next_kinds")).alias(name) for name, event in _NEXT.items()],
     )
-    dims = ["season", "perspective", "player_id", *STATE, "prev_pitch_type", "next_pitch_type"]
-    description, event = F.col("next_description"), F.col("next_events")
-    summary = (
-        _both_perspectives(pairs)
-        .groupBy(*dims)
-        .agg(
-            F.count(F.lit(1)).alias("transitions"),
-            F.count_if(vocab.is_whiff_wide(description)).alias("next_pitch_whiffs"),
-            F.count_if(vocab.is_called_strike(description)).alias("next_pitch_called_strikes"),
-            F.count_if(vocab.is_ball(description)).alias("next_pitch_balls"),
-            F.count_if(vocab.is_in_play(description, F.col("next_type"))).alias("next_pitch_in_play"),
-            F.count_if(vocab.is_hit(event)).alias("next_pitch_hits"),
-            F.count_if(vocab.is_walk(event)).alias("next_pitch_walks"),
-            F.count_if(vocab.is_strikeout(event)).alias("next_pitch_strikeouts"),
+
+
+@dataclass(frozen=True)
+class Summary:
+    """A summary as a fold of tallies."""
+
+    schema: T.StructType
+    dims: tuple[str, ...]
+    labels: tuple[str, ...]
+    measures: tuple[str, ...]
+    rows: Callable[[DataFrame], DataFrame]
+    count: Callable[[DataFrame, list[str], list[str]], DataFrame]
+
+    def tallies(self, pitches: DataFrame) -> DataFrame:
+        """Tallies per date and group, which a later delivery of a date replaces."""
+        return conform(self.count(self.rows(pitches), [*self.dims, "game_date"], list(self.labels)), tally_schema(self.schema))
+
+    def fold(self, tallies: DataFrame) -> DataFrame:
+        """The summary of tallies; sums are divided once, here."""
+        summed = tallies.groupBy(*self.dims).agg(
+            *[F.max(label).alias(label) for label in self.labels], *[F.sum(c).alias(c) for c in self.measures]
         )
-    )
-    return conform(summary.withColumn("row_key", keys.row_key(*dims)), PITCH_TRANSITIONS)
+        means = {
+            mean: F.try_divide(F.col(f"{name}_sum"), F.col(f"{name}_n").cast("double"))
+            for mean, name in (("avg_woba_value", "woba"), ("avg_xwoba", "xwoba"))
+            if f"{name}_sum" in self.measures
+        }
+        return conform(summed.withColumns(means | {"row_key": keys.row_key(*self.dims)}), self.schema)
+
+    def of(self, pitches: DataFrame) -> DataFrame:
+        """The summary of pitches in one go, whatever their dates."""
+        return self.fold(self.count(self.rows(pitches), list(self.dims), list(self.labels)))
+
+
+_PLAYER = ("season", "perspective", "player_id")
+SUMMARIES = {
+    "league_pitch_state_summary": Summary(
+        LEAGUE_PITCH_STATE, ("season", *STATE, "pitch_type"), ("pitch_name",), STATE_TALLIES, _league_rows, _state_tallies
+    ),
+    "player_pitch_state_summary": Summary(
+        PLAYER_PITCH_STATE, (*_PLAYER, *STATE, "pitch_type"), ("team", "pitch_name"), STATE_TALLIES, _player_rows, _state_tallies
+    ),
+    "pitch_transition_summary": Summary(
+        PITCH_TRANSITIONS, (*_PLAYER, *STATE, "prev_pitch_type", "next_pitch_type"), (), TRANSITION_TALLIES, _transition_rows, _transition_tallies
+    ),
+}
+
+
+def league_pitch_state(pitches: DataFrame) -> DataFrame:
+    """Counts and mean values per season, game type, state, hands and pitch type."""
+    return SUMMARIES["league_pitch_state_summary"].of(pitches)
+
+
+def player_pitch_state(pitches: DataFrame) -> DataFrame:
+    """The league summary per player, seen as batter and as pitcher."""
+    return SUMMARIES["player_pitch_state_summary"].of(pitches)
+
+
+def pitch_transitions(pitches: DataFrame) -> DataFrame:
+    """What follows each pitch type in a state, per player and perspective."""
+    return SUMMARIES["pitch_transition_summary"].of(pitches)

@@ -6,7 +6,7 @@ import warnings
 from datetime import date, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,45 +30,64 @@ def season_bounds(season: int, today: date) -> tuple[date, date]:
     return start, min(end, today) if season == today.year else end
 
 
+def numbered(store: TableStore, rows: DataFrame, order: list[str], name: str, first: int = 1) -> DataFrame:
+    """Rows with consecutive numbers in the given order, staged.
+
+    Rows are dealt into ordered ranges and numbered within each; ranges are offset
+    by the rows before them, one count per range.  No task holds all rows.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The lower 33 bits count within a partition.
+    placed = ranged.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    staged = store.stage(placed)
+    offsets, start = {}, first
+    for row in staged.groupBy("_range").count().orderBy("_range").collect():
+        offsets[row["_range"]] = start
+        start += row["count"]
+    before = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])[F.col("_range")] if offsets else F.lit(first)
+    out = staged.withColumn(name, (before + F.col("_at")).cast("bigint")).drop("_range", "_at")
+    out.staged_at = staged.staged_at
+    return out
+
+
 def _log_rows(store: TableStore, counted: DataFrame) -> None:
     """Append runs (start_date, end_date, rows_loaded) numbered after the last one."""
     last = store.read("ingestion_log").agg(F.coalesce(F.max("run_id"), F.lit(0))).first()[0]
-    numbered = counted.select(
-        (F.row_number().over(W.orderBy("start_date", "end_date")) + F.lit(last)).alias("run_id"),
-        "start_date",
-        "end_date",
-        "rows_loaded",
-        F.lit("success").alias("status"),
-        F.current_timestamp().alias("run_at"),
-    )
-    store.append("ingestion_log", conform(numbered, INGESTION_LOG))
+    runs = numbered(store, counted, ["start_date", "end_date"], "run_id", last + 1)
+    stamped = runs.withColumns({"status": F.lit("success"), "run_at": F.current_timestamp()})
+    store.append("ingestion_log", conform(stamped, INGESTION_LOG))
+    store.unstage(runs)
 
 
 def load(store: TableStore, raw: DataFrame) -> DataFrame:
     """Clean a batch of raw rows and upsert players, games, pitches and at-bats.
 
-    Returns the stored form of the batch, staged; ``store.unstage`` removes it.
+    Returns the stored form of the batch, staged (``store.unstage`` removes it), with
+    ``removed_rows``, how many rows of unsupported game types were left out, and
+    ``partitions``, those of the pitches that were written.
     Safe to repeat: every write is by key.
     Appearances of touched games are rolled up again from all their stored pitches,
     so a batch that corrects a single pitch leaves a whole at-bat.
     """
-    cleaned = clean.supported_games(clean.clean_pitches(raw))
+    seen = Observation()
+    cleaned = clean.supported_games(clean.clean_pitches(raw), seen)
     extra = [c for c in ("home_team", "away_team") if c in cleaned.columns]
     batch = store.stage(clean.dedupe_pitches(_with_sides(cleaned, extra)))
     pitches = batch.drop(*extra)
-    pitches.staged_at = batch.staged_at
+    pitches.staged_at, pitches.removed_rows, pitches.partitions = batch.staged_at, seen.get["removed"] or 0, []
     if batch.isEmpty():
         return pitches
     games = store.stage(clean.games_dim(batch))
     of_batch = games.select("game_pk")
     store.insert_ignore("players", clean.player_stubs(batch), ["player_id"])
     store.upsert("games", games, ["game_pk"])
-    store.upsert("pitches", pitches, ["pitch_id"], locate=["game_pk"])
-    # A game may lie in several partitions, old ones among them.
-    stored = store.read("pitches").filter(store.in_partitions(store.holding("pitches", of_batch)))
-    of_games = stored.join(of_batch, "game_pk", "left_semi")
-    store.upsert("at_bats", rollup.at_bat_rollup(of_games), ["at_bat_id"], locate=["game_pk"])
+    # A game may lie in several partitions, old ones among them; its at-bats lie nowhere else.
+    touched = list(dict.fromkeys(store.touched(batch) + store.holding("pitches", of_batch)))
+    store.upsert("pitches", pitches, ["pitch_id"], partitions=touched)
+    of_games = store.read("pitches", partitions=touched).join(of_batch, "game_pk", "left_semi")
+    store.upsert("at_bats", rollup.at_bat_rollup(of_games), ["at_bat_id"], partitions=touched)
     store.unstage(games)
+    pitches.partitions = touched
     return pitches
 
 
@@ -83,10 +102,12 @@ def _with_sides(cleaned: DataFrame, extra: list[str]) -> DataFrame:
     )
 
 
-def load_range(store: TableStore, raw: DataFrame, start: date, end: date) -> int:
-    """Load a date range and log it; returns rows loaded."""
+def load_range(store: TableStore, raw: DataFrame, start: date, end: date, tally: bool = False) -> int:
+    """Load a date range and log it; returns rows loaded.  With ``tally`` summaries follow in the partitions it touched."""
     batch = load(store, landing.in_dates(raw, start, end))
     loaded = batch.count()
+    if tally and batch.partitions:
+        store.retally(batch.partitions)
     store.unstage(batch)
     if loaded:
         run = store.spark.createDataFrame([(start, end, loaded)], "start_date date, end_date date, rows_loaded bigint")
@@ -147,12 +168,7 @@ def replace_season_stats(store: TableStore, feeds: dict[str, DataFrame], season:
         else:
             warnings.warn(f"the feed of {name} for {season} is empty; the season's rows are removed", stacklevel=2)
         of_season = store.read(name).filter(F.col("season") == season)
-        kept = store.stage(of_season.join(rows.select("row_key"), "row_key", "left_semi"))
-        if kept.isEmpty():
-            store.delete_season(season, (name,))
-        else:
-            store.replace(name, kept)
-        store.unstage(kept)
+        store.replace(name, of_season.join(rows.select("row_key"), "row_key", "left_semi"), [f"season={season}"])
         store.unstage(rows)
     return written
 
@@ -160,6 +176,10 @@ def replace_season_stats(store: TableStore, feeds: dict[str, DataFrame], season:
 def refresh_season(store: TableStore, seasons: list[int], stat_feeds: dict[int, dict[str, DataFrame]] | None = None) -> None:
     """Rebuild the summaries of some seasons, and their stats where feeds are given."""
     bundles.rebuild_summaries(store, seasons)
+    refresh_stats(store, stat_feeds)
+
+
+def refresh_stats(store: TableStore, stat_feeds: dict[int, dict[str, DataFrame]] | None) -> None:
     for season, feeds in (stat_feeds or {}).items():
         replace_season_stats(store, feeds, season)
 
@@ -213,7 +233,7 @@ def ensure_history(store: TableStore, root: str, raw: DataFrame, today: date) ->
 
 
 def incremental_update(store: TableStore, raw: DataFrame, today: date, root: str | None = None) -> dict:
-    """Load what came after the last stored date of the current season, then refresh.
+    """Load what came after the last stored date of the current season; summaries follow in the partitions it touched.
 
     With nothing stored the season is backfilled.
     """
@@ -222,11 +242,11 @@ def incremental_update(store: TableStore, raw: DataFrame, today: date, root: str
     latest = of_season.agg(F.max("game_date")).first()[0]
     if latest is None:
         added = backfill(store, raw, [season], today)[season]
+        refresh_season(store, [season])
     elif latest + timedelta(days=1) > today:
         return {"rows_added": 0, "latest_game_date": latest, "season": season, "up_to_date": True}
     else:
-        added = load_range(store, raw, latest + timedelta(days=1), today)
-    refresh_season(store, [season])
+        added = load_range(store, raw, latest + timedelta(days=1), today, tally=True)
     if root is not None:
         bundles.export_season(store, season, root)
     newest = store.read("pitches").filter(F.col("season") == season).agg(F.max("game_date")).first()[0]
@@ -234,10 +254,8 @@ def incremental_update(store: TableStore, raw: DataFrame, today: date, root: str
 
 
 def recent_update(store: TableStore, raw: DataFrame, today: date, days: int = 7) -> int:
-    """Reload the last days and refresh the season's summaries."""
-    loaded = load_range(store, raw, today - timedelta(days=max(days - 1, 0)), today)
-    refresh_season(store, [today.year])
-    return loaded
+    """Reload the last days; summaries follow."""
+    return load_range(store, raw, today - timedelta(days=max(days - 1, 0)), today, tally=True)
 
 
 def rebuild_season(store: TableStore, raw: DataFrame, season: int, today: date) -> int:
@@ -249,18 +267,18 @@ def rebuild_season(store: TableStore, raw: DataFrame, season: int, today: date)
 
 
 def fill_games(store: TableStore, schedule: DataFrame, raw: DataFrame) -> DataFrame:
-    """Load scheduled games that are absent and rebuild only their seasons.
+    """Load scheduled games that are absent; summaries follow in the partitions they touch.
 
-    Returns the schedule rows that were looked for, with pitches found.
+    Returns the schedule rows that were looked for, with pitches found, staged (``store.unstage`` removes them).
     """
     absent = store.stage(quality.missing_games(schedule, store.read("pitches")))
     loaded = load(store, raw.join(absent.select("game_pk"), "game_pk", "left_semi"))
-    found = store.stage(loaded.groupBy("game_pk", "game_date", "season").agg(F.count(F.lit(1)).alias("pitches")))
+    found = loaded.groupBy("game_pk", "game_date", "season").agg(F.count(F.lit(1)).alias("pitches"))
+    filled = absent.join(found.select("game_pk", "pitches"), "game_pk", "left").withColumn("filled", F.col("pitches").isNotNull())
+    report = store.stage(filled)
     per_day = found.groupBy(F.col("game_date").alias("start_date")).agg(F.sum("pitches").alias("rows_loaded"))
     _log_rows(store, per_day.withColumn("end_date", F.col("start_date")))
-    seasons = [row["season"] for row in found.select("season").distinct().collect()]
-    if seasons:
-        refresh_season(store, seasons)
-    store.unstage(loaded)
-    filled = found.select("game_pk", "pitches")
-    return absent.join(filled, "game_pk", "left").withColumn("filled", F.col("pitches").isNotNull())
+    if loaded.partitions:
+        store.retally(loaded.partitions)
+    store.unstage(loaded, absent)
+    return report

@@ -38,13 +38,15 @@ class Lake:
 
     def _kept(self, name: str, df: DataFrame) -> DataFrame:
         self.store.replace(name, df)
-        return self.spark.read.parquet(self.store.path(name))
+        return self.store.read(name)
 
     @cached_property
     def raw(self) -> DataFrame:
         """The landed raw feed, with its season as folder."""
         landed = fixture.raw_pitches(self.spark, self.sf_dir)
-        return self._kept("landing", landed.withColumn("season", F.year(F.to_date("game_date"))))
+        path = self.store.path("landing")
+        self.store.write_folder(landed.withColumn("season", F.year(F.to_date("game_date"))), path)
+        return self.spark.read.parquet(path)
 
     @cached_property
     def pitches(self) -> DataFrame:
@@ -73,18 +75,12 @@ class Lake:
 
     @cached_property
     def transitions(self) -> DataFrame:
-        return self._kept("pitch_transition_summary", summaries.pitch_transitions(self.pitches, self.block))
+        return self._kept("pitch_transition_summary", summaries.pitch_transitions(self.pitches))
 
     @cached_property
     def context(self):
         """First and last date and season: one row on the driver."""
         return data_context(self.pitches).first()
 
-    @cached_property
-    def block(self) -> int | None:
-        """Block length for windows over appearances, when one is very long."""
-        longest = self.at_bats.agg(F.max("pitch_count")).first()[0] or 0
-        return rollup.LONG_APPEARANCE if longest > rollup.LONG_APPEARANCE else None
-
     def window(self, *args, **kwargs) -> Window:
         return resolve_window(self.context, *args, **kwargs)

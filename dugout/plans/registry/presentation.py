@@ -96,7 +96,7 @@ def leaderboard_rank(lake):
     "pitches",
 )
 def sequence_extremes(lake):
-    found = sequences.pitch_sequences(lake.pitches, 2, min_occurrences=3, scope=SEASONS, block=lake.block)
+    found = sequences.pitch_sequences(lake.pitches, 2, min_occurrences=3, scope=SEASONS)
     return sequences.sequence_extremes(found)
 
 
@@ -131,10 +131,7 @@ def _fold_sql() -> str:
     "pitches",
 )
 def derived_count(lake):
-    classified = sequences._classified(lake.pitches, F.lit(True))
-    windows = sequences.outcome_windows(classified, 4)
-    run = F.filter(F.array(*[F.col(f"outcome_{i}") for i in range(5)]), lambda o: o.isNotNull())
-    grouped = windows.groupBy(run.alias("run")).agg(F.count(F.lit(1)).alias("runs"))
+    grouped = sequences.outcome_runs(lake.pitches, 5).groupBy("run").agg(F.count(F.lit(1)).alias("runs"))
     return grouped.select(
         F.array_join("run", ",").alias("outcomes"),
         sequences.derived_count(F.col("run")).alias("c"),

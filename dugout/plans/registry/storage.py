@@ -6,7 +6,7 @@ import uuid
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,7 +15,7 @@ from dugout.plans import ingest
 from dugout.plans.registry.base import query
 from dugout.plans.registry.ingest import _BATTING_SQL, _PITCHING_SQL, _batting_feed, _pitching_feed
 from dugout.plans.registry.quality import schedule
-from dugout.schemas import SEASON_TABLES
+from dugout.schemas import SEASON_TABLES, TABLES
 from dugout.sources import bundles, landing
 from dugout.sources.store import TableStore, remove, shared_folder
 from dugout.streaming.stream_ingest import landed_stream, stream_ingest
@@ -78,7 +78,7 @@ def landing_game(lake):
 )
 def season_stat_source(lake):
     store = scratch(lake)
-    store.replace("stat_feed", _batting_feed(lake))
+    store.write_folder(_batting_feed(lake), store.path("stat_feed"))
     return landing.read_season_stats(lake.spark, store.path("stat_feed"), 2019).select("IDfg", "Name", "Team", "AB", "H")
 
 
@@ -92,8 +92,8 @@ def season_stat_source(lake):
     "pitches",
 )
 def upsert_store(lake):
-    """All pitches of a store by date, after every fifth game came again with its last appearance on the next day."""
-    store = TableStore(lake.spark, scratch(lake).root, partitions=("season", "game_date"))
+    """All pitches of a store by week, after every fifth game came again with its last appearance on the next day."""
+    store = TableStore(lake.spark, scratch(lake).root, partitions=("season", "week"))
     store.unstage(ingest.load(store, lake.raw))
     final = F.max("at_bat_number").over(W.partitionBy("game_pk"))
     later = F.date_format(F.date_add(F.to_date("game_date"), 1), "yyyy-MM-dd")
@@ -132,49 +132,83 @@ def season_players(lake):
     return bundles.season_players(lake.players, lake.pitches, 2019)
 
 
-def _counts(tables: dict[str, DataFrame]) -> DataFrame:
-    return reduce(
-        DataFrame.unionByName,
-        [
-            df.groupBy("season").agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "*")
-            for name, df in tables.items()
-        ],
-    )
+#: Tables that the SQL derives too.
+_COMPARED = (
+    "players", "games", "pitches", "at_bats", "league_pitch_state_summary", "player_pitch_state_summary", "pitch_transition_summary",
+)
+_DIGITS = 12
+#: Columns that the feed does not fill.
+_UNFILLED = (
+    "release_extension", "release_pos_x", "release_pos_z", "sz_top", "sz_bot", "launch_speed", "launch_angle", "hit_distance_sc", "hc_x",
+    "hc_y", "estimated_ba_using_speedangle", "woba_denom", "launch_speed_angle",
+)
 
 
-_COUNTED = {
-    "pitches": "pitches", "at_bats": "at_bats", "games": "games", "league_pitch_state_summary": "league_pitch_state_summary",
-    "pitch_transition_summary": "pitch_transition_summary",
-}
+def digests(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each table and season, and the sum of a digest over every column of each row; doubles as whole thousandths."""
 
+    def text(field) -> Column:
+        value = F.col(field.name)
+        if field.dataType.typeName() == "double":
+            value = F.floor(value * 1000 + 0.5).cast("bigint")
+        return F.coalesce(value.cast("string"), F.lit("-"))
+
+    parts = []
+    for name, df in tables.items():
+        row = F.md5(F.concat_ws("|", *[text(f) for f in sorted(df.schema.fields, key=lambda f: f.name)]))
+        number = F.conv(F.substring(row, 1, _DIGITS), 16, 10).cast("decimal(38,0)")
+        season = F.col("season") if "season" in df.columns else F.lit(None).cast("int")
+        grouped = df.groupBy(season.alias("season")).agg(F.count(F.lit(1)).alias("row_count"), F.sum(number).cast("string").alias("digest"))
+        parts.append(grouped.select(F.lit(name).alias("table_name"), "*"))
+    return reduce(DataFrame.unionByName, parts)
 
-def _counts_sql(where: str) -> str:
-    return " UNION ALL ".join(
-        f"SELECT '{t}' AS table_name, season, COUNT(*) AS row_count FROM {t} WHERE {where} GROUP BY season" for t in _COUNTED
-    )
 
+def digests_sql(where: str = "TRUE", names: tuple[str, ...] = _COMPARED) -> str:
+    def text(field) -> str:
+        if field.name in _UNFILLED:
+            return "'-'"
+        value = f"CAST(FLOOR({field.name} * 1000 + 0.5) AS BIGINT)" if field.dataType.typeName() == "double" else field.name
+        return f"COALESCE(CAST({value} AS VARCHAR), '-')"
 
-@query("season_bundle_roundtrip", _counts_sql("season IN (2018, 2019)"), *_COUNTED)
+    parts = []
+    for name in names:
+        fields = sorted(TABLES[name].fields, key=lambda f: f.name)
+        has_season = any(f.name == "season" for f in fields)
+        row = f"md5(concat_ws('|', {', '.join(map(text, fields))}))"
+        parts.append(
+            f"SELECT '{name}' AS table_name, {'season' if has_season else 'CAST(NULL AS INT) AS season'}, COUNT(*) AS row_count,"
+            f" CAST(SUM(CAST('0x' || substr({row}, 1, {_DIGITS}) AS BIGINT)) AS VARCHAR) AS digest"
+            f" FROM {name} WHERE {where if has_season else 'TRUE'} GROUP BY {'season' if has_season else 'ALL'} HAVING COUNT(*) > 0"
+        )
+    return " UNION ALL ".join(parts)
+
+
+def stored_digests(store: TableStore, names: tuple[str, ...] = _COMPARED) -> DataFrame:
+    return digests({name: store.read(name) for name in names})
+
+
+@query("season_bundle_roundtrip", digests_sql(), *_COMPARED)
 def season_bundle_roundtrip(lake):
+    """Every season out as a bundle and in again, one by one."""
     source, target = built_store(lake), scratch(lake)
     root = f"{target.root}/exports"
-    for season in (2018, 2019):
-        bundles.import_bundle(target, bundles.export_season(source, season, root))
-    return _counts({name: target.read(name) for name in _COUNTED})
+    for folder in bundles.export_all(source, root):
+        bundles.import_bundle(target, folder)
+    return stored_digests(target)
 
 
-@query("export_import_all", "SELECT * FROM pitch_transition_summary", "pitch_transition_summary")
+@query("export_import_all", digests_sql(), *_COMPARED)
 def export_import_all(lake):
-    """Every season out and in again; transitions are taken out of the bundles and so rebuilt."""
+    """All seasons of every table out and in again; transitions are taken out of the export and so rebuilt."""
     source, target = built_store(lake), scratch(lake)
     root = f"{target.root}/exports"
-    for folder in bundles.export_all(source, root):
-        remove(lake.spark, f"{folder}/pitch_transition_summary.parquet")
-    bundles.import_all(target, root)
-    return target.read("pitch_transition_summary")
+    bundles.export_tables(source, root)
+    remove(lake.spark, f"{root}/pitch_transition_summary.parquet")
+    bundles.import_tables(target, root)
+    return stored_digests(target)
 
 
-@query("import_mixed_bundles", "SELECT * FROM pitch_transition_summary", "pitch_transition_summary")
+@query("import_mixed_bundles", digests_sql(), *_COMPARED)
 def import_mixed_bundles(lake):
     """Every season out and in again; only the bundles of even seasons lack transitions, so just these are rebuilt."""
     source, target = built_store(lake), scratch(lake)
@@ -183,61 +217,55 @@ def import_mixed_bundles(lake):
         if int(folder[-1]) % 2 == 0:
             remove(lake.spark, f"{folder}/pitch_transition_summary.parquet")
     bundles.import_all(target, root)
-    return target.read("pitch_transition_summary")
+    return stored_digests(target)
 
 
 @query(
     "load_season_smart",
-    "SELECT step.*, (SELECT COUNT(*) FROM pitches WHERE season = 2018) AS pitches,"
-    " (SELECT COUNT(*) FROM league_pitch_state_summary WHERE season = 2018) AS league_rows"
-    " FROM (VALUES ('first', 'source'), ('second', 'parquet')) step(run, loaded_from)",
-    "pitches", "league_pitch_state_summary",
+    "SELECT run, loaded_from, t.* FROM (VALUES ('first', 'source'), ('second', 'parquet')) step(run, loaded_from),"
+    f" ({digests_sql('season = 2018', _COMPARED[1:])}) t",
+    *_COMPARED[1:],
 )
 def load_season_smart(lake):
     """Built from the source the first time, imported from its bundle the second."""
     root = f"{scratch(lake).root}/exports"
-    rows = []
+    runs = []
     for run in ("first", "second"):
         store = scratch(lake)
         came_from = ingest.load_season_smart(store, 2018, root, lake.raw, TODAY)
-        pitches = store.read("pitches").agg(F.count(F.lit(1)).alias("pitches"))
-        league = store.read("league_pitch_state_summary").agg(F.count(F.lit(1)).alias("league_rows"))
-        labelled = [df.select(F.lit(run).alias("run"), F.lit(came_from).alias("loaded_from"), "*") for df in (pitches, league)]
-        rows += labelled
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-    return stacked.groupBy("run", "loaded_from").agg(F.max("pitches").alias("pitches"), F.max("league_rows").alias("league_rows"))
+        runs.append(stored_digests(store, _COMPARED[1:]).select(F.lit(run).alias("run"), F.lit(came_from).alias("loaded_from"), "*"))
+    return reduce(DataFrame.unionByName, runs)
 
 
-@query("delete_season", _counts_sql("season <> 2017"), *_COUNTED)
+@query("delete_season", digests_sql("season <> 2017"), *_COMPARED)
 def delete_season(lake):
     store = loaded_store(lake)
     store.delete_season(2017, SEASON_TABLES)
-    return _counts({name: store.read(name) for name in _COUNTED})
+    return stored_digests(store)
+
+
+def _keys_sql(table: str, feed: str, season: int) -> str:
+    key = "concat_ws(':', COALESCE(CAST(IDfg AS VARCHAR), replace(trim(COALESCE(Name, '')), ' ', '_')), COALESCE(NULLIF(trim(Team), ''), 'NA'))"
+    return f"SELECT DISTINCT '{table}' AS table_name, COALESCE(Season, {season}) AS season, COALESCE(Season, {season}) || ':' || {key} AS row_key FROM ({feed}) f"
 
 
 @query(
     "replace_season_stats",
-    f"""SELECT 'batting_value_stats' AS table_name, COUNT(DISTINCT concat_ws(':', COALESCE(CAST(IDfg AS VARCHAR),
-         replace(trim(COALESCE(Name, '')), ' ', '_')), COALESCE(NULLIF(trim(Team), ''), 'NA'))) AS row_count
-       FROM ({_BATTING_SQL}) f WHERE HR > 10
-       UNION ALL
-       SELECT 'pitching_value_stats', COUNT(DISTINCT concat_ws(':', COALESCE(CAST(IDfg AS VARCHAR), replace(trim(COALESCE(Name, '')), ' ', '_')),
-         COALESCE(NULLIF(trim(Team), ''), 'NA'))) FROM ({_PITCHING_SQL}) f""",
+    " UNION ALL ".join(
+        [
+            *(_keys_sql(t, f"SELECT * FROM ({_BATTING_SQL}) b WHERE HR > 10", 2019) for t in ("batting_standard_stats", "batting_value_stats")),
+            *(_keys_sql(t, _PITCHING_SQL, 2019) for t in ("pitching_standard_stats", "pitching_value_stats")),
+        ]
+    ),
 )
 def replace_season_stats(lake):
-    """A second delivery of the batting feed replaces the first."""
+    """All four stat tables; a second delivery of the batting feeds replaces the first."""
     store = scratch(lake)
-    ingest.replace_season_stats(
-        store, {"batting_value_stats": _batting_feed(lake), "pitching_value_stats": _pitching_feed(lake)}, 2019
-    )
-    ingest.replace_season_stats(store, {"batting_value_stats": _batting_feed(lake).filter("HR > 10")}, 2019)
-    return reduce(
-        DataFrame.unionByName,
-        [
-            store.read(name).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
-            for name in ("batting_value_stats", "pitching_value_stats")
-        ],
-    )
+    batting, pitching = ("batting_standard_stats", "batting_value_stats"), ("pitching_standard_stats", "pitching_value_stats")
+    ingest.replace_season_stats(store, {t: _batting_feed(lake) for t in batting} | {t: _pitching_feed(lake) for t in pitching}, 2019)
+    ingest.replace_season_stats(store, {t: _batting_feed(lake).filter("HR > 10") for t in batting}, 2019)
+    stored = [store.read(name).select(F.lit(name).alias("table_name"), "season", "row_key") for name in batting + pitching]
+    return reduce(DataFrame.unionByName, stored)
 
 
 @query(
@@ -287,13 +315,13 @@ def backfill_chunks(lake):
     return store.read("ingestion_log").select("start_date", "end_date", "rows_loaded")
 
 
-@query("incremental_update", "SELECT * FROM at_bats WHERE season = 2021", "at_bats")
+@query("incremental_update", digests_sql("season = 2021", _COMPARED[1:]), *_COMPARED[1:])
 def incremental_update(lake):
-    """A season loaded up to a date, then brought up to the day."""
-    store = scratch(lake)
-    ingest.load_range(store, lake.raw, date(2021, 3, 1), date(2021, 6, 15))
+    """A season loaded up to a date, then brought up to the day; the summaries' tallies are counted again by week."""
+    store = TableStore(lake.spark, scratch(lake).root, partitions=("season", "week"))
+    ingest.load_range(store, lake.raw, date(2021, 3, 1), date(2021, 6, 15), tally=True)
     ingest.incremental_update(store, lake.raw, date(2021, 12, 1))
-    return store.read("at_bats")
+    return stored_digests(store, _COMPARED[1:])
 
 
 @query(
@@ -306,7 +334,7 @@ def incremental_update(lake):
 )
 def fill_games(lake):
     store = scratch(lake)
-    ingest.load(store, lake.raw.filter("game_pk % 7 <> 3"))
+    store.unstage(ingest.load(store, lake.raw.filter("game_pk % 7 <> 3")))
     return ingest.fill_games(store, schedule(lake), lake.raw)
 
 
@@ -332,14 +360,17 @@ def _streamed(lake) -> TableStore:
     """A store filled by the stream of the landing folder, summaries with it; once per lake."""
     if lake not in _STREAMED:
         lake.raw
-        store = scratch(lake)
+        store = TableStore(lake.spark, scratch(lake).root, partitions=("season", "week"))
         stream = landed_stream(lake.spark, lake.store.path("landing"), lake.raw.schema, max_files=4)
         stream_ingest(store, stream, f"{store.root}/_checkpoint").awaitTermination()
         _STREAMED[lake] = store
     return _STREAMED[lake]
 
 
-@query("stream_summaries", "SELECT * FROM pitch_transition_summary", "pitch_transition_summary")
+_STATE_TABLES = _COMPARED[4:]
+
+
+@query("stream_summaries", digests_sql(names=_STATE_TABLES), *_STATE_TABLES)
 def stream_summaries(lake):
-    """The summary that the stream's batches left equals that of all pitches."""
-    return _streamed(lake).read("pitch_transition_summary")
+    """The three summaries that the stream's batches left equal those of all pitches."""
+    return stored_digests(_streamed(lake), _STATE_TABLES)

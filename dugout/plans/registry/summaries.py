@@ -18,4 +18,4 @@ def player_pitch_state(lake):
 
 @query("pitch_transitions", "SELECT * FROM pitch_transition_summary", "pitch_transition_summary")
 def pitch_transitions(lake):
-    return summaries.pitch_transitions(lake.pitches, lake.block)
+    return summaries.pitch_transitions(lake.pitches)

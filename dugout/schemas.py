@@ -118,8 +118,25 @@ TABLES = {
     "ingestion_log": INGESTION_LOG,
     "season_backfill_status": BACKFILL_STATUS,
 }
+
+
+def tally_schema(summary: T.StructType) -> T.StructType:
+    """Schema of a summary's tallies: per date, with sums and numbers of values in place of means."""
+    fields = []
+    for field in summary.fields:
+        if field.name.startswith("avg_"):
+            stem = field.name.removeprefix("avg_").removesuffix("_value")
+            fields += [T.StructField(f"{stem}_sum", T.DoubleType()), T.StructField(f"{stem}_n", T.LongType())]
+        elif field.name != "row_key":
+            fields.append(field)
+    return T.StructType([*fields, T.StructField("game_date", T.DateType())])
+
+
 CORE_TABLES = ("players", "games", "pitches", "at_bats")
 SUMMARY_TABLES = ("league_pitch_state_summary", "player_pitch_state_summary", "pitch_transition_summary")
+#: Tallies per date that a summary is folded from.
+TALLIES = {name: f"{name}_by_date" for name in SUMMARY_TABLES}
+TABLES |= {tally: tally_schema(TABLES[name]) for name, tally in TALLIES.items()}
 STAT_TABLES = ("batting_standard_stats", "batting_value_stats", "pitching_standard_stats", "pitching_value_stats")
 SEASON_TABLES = ("pitches", "at_bats", "games") + SUMMARY_TABLES + STAT_TABLES
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dugout.operators import summaries
-from dugout.schemas import CORE_TABLES, SEASON_TABLES, STAT_TABLES, SUMMARY_TABLES, TABLES
+from dugout.schemas import CORE_TABLES, SEASON_TABLES, STAT_TABLES, SUMMARY_TABLES, TABLES, TALLIES
 from dugout.sources.store import TableStore, matching, path_exists
 
 KEYS = {
@@ -58,9 +57,53 @@ def _seasons(store: TableStore) -> list[int]:
 
 
 def export_all(store: TableStore, root: str) -> list[str]:
+    """A bundle of each season."""
     return [export_season(store, season, root) for season in _seasons(store)]
 
 
+def export_tables(store: TableStore, root: str) -> list[str]:
+    """All seasons of every table, each in one job, with seasons as partitions; returns the tables written.
+
+    The manifest beside them has a row per table and season.
+    """
+    names = [t for t in KEYS if t not in STAT_TABLES or store.exists(t)]
+    told = []
+    for name in names:
+        rows = store.read(name)
+        # A season's rows spread over many tasks and few files; players have none.
+        if "season" in rows.columns:
+            rows.hint("rebalance", "season").write.mode("overwrite").partitionBy("season").parquet(f"{root}/{name}.parquet")
+            told += [(name, season) for season in store.seasons(TALLIES.get(name, name)) or store.seasons(name)]
+        else:
+            rows.write.mode("overwrite").parquet(f"{root}/{name}.parquet")
+            told.append((name, None))
+    manifest = store.spark.createDataFrame(told, "table_name string, season int")
+    manifest.withColumn("exported_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").json(f"{root}/manifest.json")
+    return names
+
+
+def import_tables(store: TableStore, root: str) -> None:
+    """Load what ``export_tables`` wrote, one read and one upsert per table, whatever the number of seasons."""
+    missing = [name for name in CORE_TABLES if _table(store, root, name) is None]
+    if missing:
+        raise FileNotFoundError(f"{root} is incomplete, missing: {', '.join(missing)}")
+    for name in KEYS:
+        rows = _table(store, root, name)
+        if rows is not None:
+            _put(store, name, rows)
+    absent = tuple(name for name in SUMMARY_TABLES if _table(store, root, name) is None)
+    if absent:
+        rebuild_summaries(store, _seasons(store), absent)
+
+
+def _put(store: TableStore, name: str, rows: DataFrame) -> None:
+    """Upsert imported rows; an imported summary takes the place of the season's tallies."""
+    store.upsert(name, rows, KEYS[name], locate=["game_pk"] if "game_pk" in rows.columns else None)
+    if name in TALLIES and store.exists(TALLIES[name]):
+        for row in rows.select("season").distinct().collect():
+            store.delete_season(row["season"], (TALLIES[name],))
+
+
 def _table(store: TableStore, folder: str, name: str) -> DataFrame | None:
     path = f"{folder}/{name}.parquet"
     return store.spark.read.schema(TABLES[name]).parquet(path) if path_exists(store.spark, path) else None
@@ -87,14 +130,7 @@ def _bundle_season(store: TableStore, folder: str, pitches: DataFrame) -> int |
 
 def rebuild_summaries(store: TableStore, seasons: list[int], only: tuple[str, ...] = SUMMARY_TABLES) -> None:
     """Recompute summaries of some seasons from the stored pitches."""
-    pitches = store.read("pitches").filter(F.col("season").isin(*seasons))
-    builders = {
-        "league_pitch_state_summary": summaries.league_pitch_state,
-        "player_pitch_state_summary": summaries.player_pitch_state,
-        "pitch_transition_summary": summaries.pitch_transitions,
-    }
-    for name in only:
-        store.replace(name, builders[name](pitches))
+    store.retally([f"season={season}" for season in seasons], only)
 
 
 def import_bundle(store: TableStore, folder: str) -> None:
@@ -117,10 +153,10 @@ def _import(store: TableStore, folders: list[str]) -> None:
             # A player is in the bundle of every season played: the latest row is kept.
             latest = F.max_by(F.struct(*rows.columns), F.col("_metadata.file_path"))
             rows = rows.groupBy("player_id").agg(latest.alias("row")).select("row.*")
-        store.upsert(name, rows, KEYS[name], locate=["game_pk"] if "game_pk" in rows.columns else None)
+        _put(store, name, rows)
     for name in SUMMARY_TABLES + STAT_TABLES:
         if name in tables:
-            store.upsert(name, tables[name], KEYS[name])
+            _put(store, name, tables[name])
     rebuilt: dict[tuple[str, ...], list[int]] = {}
     for folder in folders:
         absent = [name for name in SUMMARY_TABLES if name in lacking[folder]]

@@ -5,13 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dugout.operators.clean import PITCH_KEY, upsert
-from dugout.schemas import TABLES, conform
+from dugout.operators.summaries import SUMMARIES
+from dugout.schemas import SUMMARY_TABLES, TABLES, TALLIES, conform
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -34,9 +34,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
-#: Ending of the folder a table is written to before it takes the table's place.
-_BESIDE = "__next"
 _HIVE_NULL = "__HIVE_DEFAULT_PARTITION__"
+#: Last folder of every written piece of a table: pieces are never changed.
+_PIECE = "_v"
+_MANIFESTS = "_manifest"
+_END = "complete"
 
 
 def _located(spark: SparkSession, path: str):
@@ -60,22 +62,49 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(folder, True)
 
 
-def rename(spark: SparkSession, path: str, to: str) -> None:
-    system, folder = _located(spark, path)
-    if not system.rename(folder, _located(spark, to)[1]):
-        raise OSError(f"cannot move {path} to {to}")
+def create(spark: SparkSession, path: str, text: str) -> None:
+    """Write a new small file; fails if it is there already."""
+    system, file = _located(spark, path)
+    out = system.create(file, False)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+
+
+def week() -> Column:
+    """Week of the year, from 0: days 1 to 7 are the first."""
+    return F.floor((F.dayofyear("game_date") - 1) / 7).cast("int")
+
+
+@dataclass(frozen=True)
+class Version:
+    """One state of a table: the folders that hold it, relative to the table."""
+
+    number: int
+    folders: tuple[str, ...]
+
+    def within(self, partitions: list[str] | None) -> list[str]:
+        """The folders of some partitions, given as ``season=2019`` or ``season=2019/week=3``."""
+        if partitions is None:
+            return list(self.folders)
+        wanted = {f"{p}/" for p in partitions}
+        return [f for f in self.folders if any(f[: i + 1] in wanted for i, c in enumerate(f) if c == "/")]
 
 
 @dataclass
 class TableStore:
     """Reads and writes the model's tables below ``root``.
 
-    Tables with a season are partitioned by ``partitions``.  A write replaces only
-    the partitions it holds.  Files hold whole games in order, so pitches of an
-    appearance combine before a shuffle and game lookups skip row groups.
+    Tables with a season are partitioned by ``partitions``; ``week`` among them is
+    that of ``game_date``.  Where small batches arrive often, partition by
+    ``("season", "week")``: an upsert then rewrites only the weeks it touches.
 
-    Where small batches arrive often, partition by ``("season", "game_date")``: an
-    upsert then rewrites only the dates it touches.
+    A table is a set of folders that are never changed once written, and a
+    numbered manifest that lists them.  A write adds folders, then publishes the
+    next manifest by creating one small file; until that moment, and after a crash before it,
+    readers see the state before.  A manifest that was not written to its end does not
+    count.  Of two writers that start from one state the second fails.  Nothing is ever renamed by this class.
     """
 
     spark: SparkSession
@@ -86,55 +115,166 @@ class TableStore:
         return f"{self.root}/{name}"
 
     def partition_columns(self, columns: list[str]) -> list[str]:
-        return [c for c in self.partitions if c in columns]
+        """Partition columns a table with these columns has."""
+        return [c for c in self.partitions if c in columns or c == "week" and "game_date" in columns]
+
+    def _placed(self, df: DataFrame) -> DataFrame:
+        """With the week where the store is partitioned by it."""
+        return df.withColumn("week", week()) if "week" in self.partitions and "game_date" in df.columns and "week" not in df.columns else df
+
+    # Versions ------------------------------------------------------------------
+
+    def version(self, name: str) -> Version:
+        """The newest state of a table; number 0 and no folders if it was never written."""
+        for path in reversed(matching(self.spark, f"{self.path(name)}/{_MANIFESTS}/*.txt")):
+            lines = self._lines(path)
+            if lines[-1:] == [_END]:
+                return Version(int(path.rsplit("/", 1)[1].removesuffix(".txt")), tuple(lines[:-1]))
+        return Version(0, ())
+
+    def _lines(self, path: str) -> list[str]:
+        system, file = _located(self.spark, path)
+        stream = system.open(file)
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        return text.split("\n")
+
+    def publish(self, name: str, start: Version, folders: list[str]) -> Version:
+        """Make these folders the table, in one step, if its state is still ``start``."""
+        taken = matching(self.spark, f"{self.path(name)}/{_MANIFESTS}/*.txt")
+        numbers = [int(path.rsplit("/", 1)[1].removesuffix(".txt")) for path in taken]
+        if self.version(name).number != start.number:
+            raise RuntimeError(f"{name} was changed by another writer")
+        # A manifest that was broken off keeps its number.
+        number = max([start.number, *numbers]) + 1
+        create(self.spark, f"{self.path(name)}/{_MANIFESTS}/{number:012d}.txt", "\n".join([*folders, _END]))
+        return Version(number, tuple(folders))
+
+    def vacuum(self, name: str) -> list[str]:
+        """Remove pieces that the newest state does not hold: those of older states, and of writers that did not finish.
+
+        Readers of an older state fail from then on, so run it when there are none, and no writer.
+        """
+        live = set(self.version(name).folders)
+        root = self.path(name)
+        found = {folder for depth in range(len(self.partitions) + 1) for folder in matching(self.spark, f"{root}/{'*/' * depth}{_PIECE}=*")}
+        dead = [f for f in sorted(found) if f[f.rindex(f"/{name}/") + len(name) + 2 :] not in live]
+        for folder in dead:
+            remove(self.spark, folder)
+        return dead
 
-    def _load(self, name: str) -> DataFrame | None:
-        """A stored table in its model schema, or None.
+    # Reading -------------------------------------------------------------------
+
+    def _load(self, name: str, version: Version | None = None, partitions: list[str] | None = None) -> DataFrame | None:
+        """A stored table in its model schema with its partition columns, or None.
 
         The schema is given, so no file is opened to infer it; columns a file lacks
         read as NULL and narrower numbers widen.
         """
-        self._recover(name)
-        if not path_exists(self.spark, self.path(name)):
+        state = version or self.version(name)
+        folders = state.within(partitions)
+        if not folders:
             return None
-        reader = self.spark.read
+        reader = self.spark.read.option("basePath", self.path(name))
         if name in TABLES:
             reader = reader.schema(TABLES[name])
-        return reader.parquet(self.path(name))
+        return reader.parquet(*(f"{self.path(name)}/{folder}" for folder in folders)).drop(_PIECE)
 
     def exists(self, name: str) -> bool:
-        return self._load(name) is not None
+        return len(self.version(name).folders) > 0
 
-    def read(self, name: str) -> DataFrame:
-        """A table, empty when it was never written."""
-        stored = self._load(name)
+    def _rows(self, name: str, version: Version | None = None, partitions: list[str] | None = None) -> DataFrame:
+        stored = self._load(name, version, partitions)
         if stored is None:
             return self.spark.createDataFrame([], TABLES[name])
         return stored.select(*TABLES[name].names) if name in TABLES else stored
 
-    def _write(self, df: DataFrame, path: str, mode: str) -> None:
-        columns = df.columns
-        by = self.partition_columns(columns)
+    def read(self, name: str, version: Version | None = None, partitions: list[str] | None = None) -> DataFrame:
+        """A table, or some partitions of it, at its newest or a given state; empty when there is none.
+
+        The summary of a season that has tallies is folded from them; that of another
+        season is the one that was imported.
+        """
+        rows = self._rows(name, version, partitions)
+        tallied = self.seasons(TALLIES[name]) if name in TALLIES else []
+        if not tallied:
+            return rows
+        folded = SUMMARIES[name].fold(self._rows(TALLIES[name]))
+        return rows.filter(~F.col("season").isin(tallied)).unionByName(folded) if self.exists(name) else folded
+
+    def retally(self, partitions: list[str], only: tuple[str, ...] = SUMMARY_TABLES) -> None:
+        """Count the stored pitches of some partitions anew for the summaries.
+
+        The pitches around are read too where games of these partitions reach into
+        others, so that an appearance is counted once; nothing else is read or
+        written.  A season without tallies is counted whole.
+        """
+        for name in only:
+            known = self.seasons(TALLIES[name])
+            wanted = list(dict.fromkeys(p if any(p.startswith(f"season={s}/") for s in known) else p.split("/")[0] for p in partitions))
+            around = wanted
+            if any("/" in p for p in wanted):
+                games = self.read("pitches", partitions=wanted).select("game_pk").distinct()
+                seasons = [int(p.split("/")[0].removeprefix("season=")) for p in wanted if not p.startswith(f"season={_HIVE_NULL}")]
+                around = list(dict.fromkeys(wanted + self.holding("pitches", games, sorted(set(seasons)))))
+            tallies = SUMMARIES[name].tallies(self.read("pitches", partitions=around))
+            if set(around) != set(wanted):
+                tallies = tallies.filter(self._within(wanted))
+            self.replace(TALLIES[name], tallies, wanted)
+
+    def _within(self, partitions: list[str]) -> Column:
+        """Rows of the given partitions."""
+        by = self.partition_columns(["season", "game_date"])
+        parts = [F.concat(F.lit(f"{c}="), F.coalesce((week() if c == "week" else F.col(c)).cast("string"), F.lit(_HIVE_NULL))) for c in by]
+        names = [F.concat_ws("/", *parts[: i + 1]) for i in range(len(parts))]
+        found = F.lit(False)
+        for name in names:
+            found = found | name.isin(partitions)
+        return found
+
+    # Writing -------------------------------------------------------------------
+
+    def write_folder(self, df: DataFrame, path: str, mode: str = "overwrite") -> None:
+        """Write a frame as a plain folder in the layout of tables: whole games in order, a partition over many tasks."""
+        df = self._placed(df)
+        by = self.partition_columns(df.columns)
+        extra = [_PIECE] if _PIECE in df.columns else []
         writer_of = df
         if by:
-            layout = by + [c for c in PITCH_KEY if c in columns]
+            layout = by + [c for c in PITCH_KEY if c in df.columns]
             spread = list(by)
-            if "game_pk" in columns:
+            if "game_pk" in df.columns:
                 # Whole games meet in a file, and a season spreads over many tasks.
                 share = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)
                 df = df.withColumn("_spread", F.pmod(F.hash("game_pk"), F.lit(share)))
                 spread.append("_spread")
             # Rebalancing merges small parts and splits one that outgrows a task.
             writer_of = df.hint("rebalance", *spread).drop("_spread").sortWithinPartitions(*layout)
-        writer = writer_of.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-        (writer.partitionBy(*by) if by else writer).parquet(path)
-
-    def replace(self, name: str, df: DataFrame) -> None:
-        """Write a table, or the partitions of it that ``df`` holds."""
-        self._write(df, self.path(name), "overwrite")
+        writer = writer_of.write.mode(mode)
+        (writer.partitionBy(*by, *extra) if by or extra else writer).parquet(path)
+
+    def _add(self, name: str, df: DataFrame) -> list[str]:
+        """Write a frame as new pieces; their folders, relative to the table."""
+        piece = uuid.uuid4().hex
+        by = self.partition_columns(self._placed(df).columns)
+        self.write_folder(df.withColumn(_PIECE, F.lit(piece)), self.path(name), "append")
+        found = matching(self.spark, f"{self.path(name)}/{'*/' * len(by)}{_PIECE}={piece}")
+        return ["/".join(f.split("/")[-1 - len(by) :]) for f in found]
+
+    def replace(self, name: str, df: DataFrame, partitions: list[str] | None = None) -> None:
+        """Write a table, or the partitions of it that ``df`` holds; those of ``partitions`` that it does not hold go."""
+        start = self.version(name)
+        added = self._add(name, df)
+        by = self.partition_columns(df.columns)
+        gone = [*(f.rsplit("/", 1)[0] for f in added if "/" in f), *(partitions or [])]
+        replaced = set(start.within(gone if by else None))
+        self.publish(name, start, [f for f in start.folders if f not in replaced] + added)
 
     def append(self, name: str, df: DataFrame) -> None:
-        self._write(df, self.path(name), "append")
+        start = self.version(name)
+        self.publish(name, start, [*start.folders, *self._add(name, df)])
 
     def stage(self, df: DataFrame) -> DataFrame:
         """Write a frame aside and read it back, cutting its lineage."""
@@ -150,101 +290,69 @@ class TableStore:
             remove(self.spark, frame.staged_at)
 
     def swap(self, name: str, df: DataFrame) -> None:
-        """Replace a whole table by rows that may come from it.
+        """Replace a whole table by rows that may come from it."""
+        start = self.version(name)
+        self.publish(name, start, self._add(name, df))
 
-        The rows are written beside it and moved into its place when complete; a
-        crash between the two moves is mended by the next reader.  Needs a file
-        system that renames folders, as HDFS and local ones do.
-        """
-        beside = f"{self.path(name)}{_BESIDE}"
-        remove(self.spark, beside)
-        self._write(df, beside, "overwrite")
-        remove(self.spark, self.path(name))
-        rename(self.spark, beside, self.path(name))
-
-    def _recover(self, name: str) -> None:
-        """Finish a swap that was broken off after the old table had gone."""
-        beside = f"{self.path(name)}{_BESIDE}"
-        if not path_exists(self.spark, self.path(name)) and path_exists(self.spark, f"{beside}/_SUCCESS"):
-            rename(self.spark, beside, self.path(name))
-
-    def touched(self, df: DataFrame) -> list[dict]:
-        """Partition values present in a frame: one small row per partition."""
+    def touched(self, df: DataFrame) -> list[str]:
+        """Partitions present in a frame: one small row per partition."""
+        df = self._placed(df)
         by = self.partition_columns(df.columns)
-        return [row.asDict() for row in df.select(*by).distinct().collect()] if by else []
-
-    def in_partitions(self, values: list[dict]) -> Column:
-        """Rows of the given partitions: one list of dates per season, so the condition stays flat."""
-        if not values:
-            return F.lit(False)
-        *outer, inner = values[0]
-        groups: dict[tuple, list] = {}
-        for row in values:
-            groups.setdefault(tuple(row[c] for c in outer), []).append(row[inner])
-
-        def within(known: list) -> Column:
-            found = F.col(inner).isin([v for v in known if v is not None])
-            return found | F.col(inner).isNull() if None in known else found
-
-        return reduce(
-            lambda a, b: a | b,
-            [
-                reduce(lambda x, y: x & y, [*(F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(outer, group)), within(known)])
-                for group, known in groups.items()
-            ],
-        )
-
-    def holding(self, name: str, keys: DataFrame) -> list[dict]:
+        return [self._partition(row.asDict()) for row in df.select(*by).distinct().collect()] if by else []
+
+    def _partition(self, value: dict) -> str:
+        return "/".join(f"{c}={_HIVE_NULL if value[c] is None else value[c]}" for c in self.partitions if c in value)
+
+    def holding(self, name: str, keys: DataFrame, seasons: list[int] | None = None) -> list[str]:
         """Partitions of a stored table with rows of the given keys; only key and partition columns are read."""
-        stored = self.read(name)
+        within = None if seasons is None else [self._partition({"season": s}) for s in seasons]
+        stored = self._load(name, partitions=within)
+        if stored is None:
+            return []
         by = self.partition_columns(stored.columns)
-        return self.touched(stored.select(*dict.fromkeys([*by, *keys.columns])).join(keys, keys.columns, "left_semi")) if by else []
+        return self.touched(self._placed(stored).select(*dict.fromkeys([*by, *keys.columns])).join(keys, keys.columns, "left_semi")) if by else []
 
-    def upsert(self, name: str, updates: DataFrame, keys: list[str], locate: list[str] | None = None) -> None:
+    def upsert(
+        self, name: str, updates: DataFrame, keys: list[str], locate: list[str] | None = None, partitions: list[str] | None = None
+    ) -> None:
         """Insert or replace rows by key; no row of another key is lost or changed.
 
         Only partitions are rewritten that hold rows of ``updates`` or stored rows
         of their keys, and every rewritten partition is read whole.  Unless the
         keys tell the partition, stored rows are looked for by ``locate``, columns
-        that equal keys share (the keys themselves by default).  Spark writes the
-        new files aside and swaps partitions when the job commits, so reading the
-        old rows while replacing them is safe.
+        that equal keys share (the keys themselves by default); a caller that knows
+        all these partitions gives them.
         """
         updates = self.stage(conform(updates, TABLES[name]) if name in TABLES else updates)
+        start = self.version(name)
         by = self.partition_columns(updates.columns)
-        if not self.exists(name):
-            self.replace(name, updates)
-        elif not by:
-            self.swap(name, upsert(self.read(name), updates, keys))
-        else:
-            values = self.touched(updates)
-            moved = []
+        if not by:
+            partitions = None
+        elif partitions is None:
+            partitions = self.touched(updates)
             if not set(by) <= set(keys):
-                moved = [v for v in self.holding(name, updates.select(*(locate or keys)).distinct()) if v not in values]
-            old = self.read(name).filter(self.in_partitions(values + moved))
-            emptied = []
-            if moved:
-                # A partition all of whose rows go elsewhere gets no new files.
-                stay = self.touched(old.filter(self.in_partitions(moved)).join(updates.select(*keys), keys, "left_anti"))
-                emptied = [value for value in moved if value not in stay]
-            self.replace(name, upsert(old, updates, keys))
-            for value in emptied:
-                self.drop_partition(name, value)
+                partitions = list(dict.fromkeys(partitions + self.holding(name, updates.select(*(locate or keys)).distinct())))
+        replaced = set(start.within(partitions))
+        merged = upsert(self._rows(name, start, partitions), updates, keys) if replaced else updates
+        self.publish(name, start, [f for f in start.folders if f not in replaced] + self._add(name, merged))
         self.unstage(updates)
 
     def insert_ignore(self, name: str, updates: DataFrame, keys: list[str]) -> None:
         """Append rows whose key is new; stored rows win and stay where they are."""
-        new = updates.join(self.read(name).select(*keys), keys, "left_anti")
+        new = updates.join(self._rows(name).select(*keys), keys, "left_anti")
         self.append(name, conform(new, TABLES[name]))
 
-    def drop_partition(self, name: str, value: dict) -> None:
-        """Remove the files of one partition through the cluster's file system."""
-        folder = "/".join(f"{c}={_HIVE_NULL if value[c] is None else value[c]}" for c in self.partitions if c in value)
-        remove(self.spark, f"{self.path(name)}/{folder}")
+    def seasons(self, name: str) -> list[int]:
+        """Seasons that a table partitioned by them holds, by its manifest."""
+        found = {f.split("/")[0].removeprefix("season=") for f in self.version(name).folders if f.startswith("season=")}
+        return sorted(int(season) for season in found if season != _HIVE_NULL)
 
     def delete_season(self, season: int, tables: tuple[str, ...]) -> None:
-        """Remove one season from every given table."""
+        """Take one season out of every given table."""
         if self.partitions[:1] != ("season",):
             raise ValueError("season is not the first partition column")
-        for name in tables:
-            self.drop_partition(name, {"season": season})
+        for name in (*tables, *(TALLIES[t] for t in tables if t in TALLIES)):
+            start = self.version(name)
+            gone = set(start.within([self._partition({"season": season})]))
+            if gone:
+                self.publish(name, start, [f for f in start.folders if f not in gone])

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from dugout.operators.clean import PITCH_KEY
 from dugout.plans import ingest
 from dugout.sources.store import TableStore
 
@@ -20,23 +22,37 @@ def landed_stream(
     return reader.load(path)
 
 
+def without_repeats(stream: DataFrame, horizon: str) -> DataFrame:
+    """A stream of raw rows without those that came before, unchanged, within the horizon.
+
+    Time is that of arrival, so no row is ever too late; a row of an old
+    game passes like any other, and so does one that corrects an earlier delivery.
+    The state holds a hash of each row for as long as the horizon.
+    """
+    columns = stream.columns
+    marked = stream.withColumns({"_print": F.xxhash64(*(F.col(f"`{c}`") for c in columns)), "_arrived": F.current_timestamp()})
+    keys = [c for c in PITCH_KEY if c in columns]
+    return marked.withWatermark("_arrived", horizon).dropDuplicatesWithinWatermark([*keys, "_print"]).select(*(F.col(f"`{c}`") for c in columns))
+
+
 def stream_ingest(
-    store: TableStore, stream: DataFrame, checkpoint: str, *, available_now: bool = True, refresh: bool = True
+    store: TableStore, stream: DataFrame, checkpoint: str, *, available_now: bool = True, refresh: bool = True, horizon: str | None = "2 days"
 ) -> StreamingQuery:
     """Start loading a stream of raw rows.
 
-    Each micro-batch drops its repeats and is upserted by key, so late rows are
-    never lost, copies in different batches meet in the table, and a batch that is
-    replayed after a failure changes nothing.  Touched seasons are summarised again
-    within the batch, so summaries follow the pitches even across restarts.
+    Repeats within the horizon are dropped before anything is rewritten.  The rest
+    is upserted by key, so late rows are never lost, copies that come after the horizon meet in the
+    table, and a batch that is replayed after a failure changes nothing.  Tallies
+    of the partitions that a batch touches are counted again within the batch, so summaries follow the
+    pitches even across restarts; use a store partitioned by week to keep that small.
     """
 
     def load_batch(batch: DataFrame, batch_id: int) -> None:
         loaded = ingest.load(store, batch)
-        seasons = [row["season"] for row in loaded.select("season").distinct().collect()]
+        if refresh and loaded.partitions:
+            store.retally(loaded.partitions)
         store.unstage(loaded)
-        if refresh and seasons:
-            ingest.refresh_season(store, seasons)
 
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(load_batch)
+    fresh = without_repeats(stream, horizon) if horizon else stream
+    writer = fresh.writeStream.option("checkpointLocation", checkpoint).foreachBatch(load_batch)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -13,9 +13,11 @@ def test_transitions_are_typed_pairs_seen_twice(lake):
     assert total(lake.transitions, "transitions") == 2 * pairs.count()
 
 
-def test_blocked_transitions_equal_plain(lake):
-    plain, blocked = summaries.pitch_transitions(lake.pitches), summaries.pitch_transitions(lake.pitches, 2)
-    assert plain.exceptAll(blocked).count() == 0 and blocked.exceptAll(plain).count() == 0
+def test_tallies_fold_to_the_summaries(lake):
+    for name, direct in zip(summaries.SUMMARIES, (lake.league_state, lake.player_state, lake.transitions)):
+        summary = summaries.SUMMARIES[name]
+        folded = summary.fold(summary.tallies(lake.pitches))
+        assert folded.exceptAll(direct).count() == 0 and direct.exceptAll(folded).count() == 0, name
 
 
 def test_league_pitches_equal_each_perspective(lake):

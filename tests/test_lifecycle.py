@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from dugout.operators import clean, quality, rollup
+from dugout.operators import clean, quality, rollup, summaries
 from dugout.plans import ingest
 from dugout.schemas import PITCHES
 from dugout.sources import bundles, landing
@@ -294,15 +294,132 @@ def test_a_stat_feed_of_two_seasons_keeps_other_rows(spark, store):
     assert {r.season for r in store.read("batting_standard_stats").collect()} == {2018}
 
 
-def test_a_broken_swap_is_mended(spark, store):
-    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int")
-    store.swap("odd", rows(1))
-    store.swap("odd", store.read("odd").unionByName(rows(2)))
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["write_folder", "matching", "create"])
+def test_a_writer_killed_at_any_step_changes_nothing(spark, store, monkeypatch, step):
+    """Readers see the state before, a pinned state stays, and the next writer goes on."""
+    from dugout.sources import store as module
+
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "season int, id int")
+    seen = lambda **how: sorted(tuple(r) for r in store.read("odd", **how).select("season", "id").collect())
+    store.replace("odd", rows((1, 1), (2, 2)))
+    pinned = store.version("odd")
+
+    def die(*args, **kwargs):
+        if step == "write_folder":
+            write(*args, **kwargs)
+        elif step == "create":
+            # The manifest is cut off before its last line.
+            make(spark, args[1], args[2].rsplit("\n", 1)[0])
+        raise Killed
+
+    write, make = store.write_folder, module.create
+    with monkeypatch.context() as broken:
+        broken.setattr(store if step == "write_folder" else module, step, die)
+        if step == "matching":
+            # Killed once the pieces are written, while they are listed.
+            broken.setattr(store, "version", lambda name: pinned)
+        with pytest.raises(Killed):
+            store.replace("odd", rows((2, 3)))
+    assert seen() == [(1, 1), (2, 2)] == seen(version=pinned)
+    store.replace("odd", rows((2, 4)))
+    assert seen() == [(1, 1), (2, 4)] and seen(version=pinned) == [(1, 1), (2, 2)]
+    assert store.version("odd").number > pinned.number
+    dead = store.vacuum("odd")
+    assert len(dead) >= 1 and seen() == [(1, 1), (2, 4)] and store.vacuum("odd") == []
+
+
+def test_of_two_writers_the_second_fails(spark, store):
+    rows = spark.createDataFrame([(1, 1)], "season int, id int")
+    store.replace("odd", rows)
+    start = store.version("odd")
+    store.append("odd", rows)
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.publish("odd", start, [])
     assert store.read("odd").count() == 2
-    import os
 
-    os.rename(store.path("odd"), store.path("odd") + "__next")
-    assert store.read("odd").count() == 2
+
+def test_weekly_tallies_follow_small_batches(lake, spark, tmp_path):
+    """Batches of a store by week touch the tallies of their weeks only, and all summaries equal those of one batch."""
+    store = TableStore(spark, str(tmp_path / "weeks"), partitions=("season", "week"))
+    season = lake.raw.filter("season = 2019")
+    edge = season.agg(F.max("game_date")).first()[0]
+    early = season.filter(F.col("game_date") < edge)
+    first = ingest.load(store, early)
+    store.retally(first.partitions)
+    before = store.version("player_pitch_state_summary_by_date")
+    late = season.filter(F.col("game_date") == edge)
+    second = ingest.load(store, late)
+    store.retally(second.partitions)
+    after = store.version("player_pitch_state_summary_by_date")
+    changed = {f.rsplit("/", 1)[0] for f in set(before.folders) ^ set(after.folders)}
+    assert changed <= set(second.partitions) and set(before.folders) & set(after.folders)
+    stored = store.read("pitches")
+    for name, summary in summaries.SUMMARIES.items():
+        assert same(store.read(name), summary.of(stored)), name
+
+
+def test_an_appearance_over_two_weeks_counts_once(pitches, spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "weeks"), partitions=("season", "week"))
+    days = [datetime.date(2019, 5, 1), datetime.date(2019, 5, 20)]
+    store.replace("pitches", pitches(*(dict(game_pk=9, pitch_number=i + 1, game_date=d) for i, d in enumerate(days))))
+    for _ in range(2):
+        for partition in store.touched(store.read("pitches")):
+            store.retally([partition])
+        assert [r.plate_appearances for r in store.read("league_pitch_state_summary").collect()] == [1]
+        assert [r.pitches for r in store.read("league_pitch_state_summary").collect()] == [2]
+
+
+def test_removed_rows_are_reported(lake, store):
+    loaded = ingest.load(store, lake.raw)
+    assert loaded.removed_rows == lake.raw.filter("game_type NOT IN ('R','F','D','L','W') OR game_type IS NULL").count() > 0
+
+
+def test_numbers_of_the_log_need_no_single_task(spark, store, capsys):
+    rows = spark.createDataFrame([(i * 7 % 101,) for i in range(101)], "start_date int").repartition(5)
+    numbered = ingest.numbered(store, rows, ["start_date"], "run_id", 4)
+    assert sorted((r.start_date, r.run_id) for r in numbered.collect()) == [(i, i + 4) for i in range(101)]
+    numbered.explain()
+    assert "SinglePartition" not in capsys.readouterr().out
+
+
+def test_repeats_within_the_horizon_reach_no_rewrite(lake, spark, store, tmp_path):
+    """Over a restart; a correction and a row of an old game still come through."""
+    folder, checkpoint = str(tmp_path / "landing"), str(tmp_path / "checkpoint")
+    raw = lake.raw.filter("season = 2019 AND game_pk % 3 = 0").drop("season")
+
+    def deliver(rows):
+        rows.write.mode("append").parquet(folder)
+        stream_ingest(store, landed_stream(spark, folder, rows.schema), checkpoint).awaitTermination()
+        return store.version("pitches").number
+
+    first = deliver(raw)
+    assert deliver(raw) == first
+    key = raw.filter("game_type = 'R'").select("game_pk", "at_bat_number", "pitch_number").first()
+    where = (F.col("game_pk") == key[0]) & (F.col("at_bat_number") == key[1]) & (F.col("pitch_number") == key[2])
+    assert deliver(raw.filter(where).withColumn("description", F.lit("foul"))) > first
+    assert store.read("pitches").filter(where).first().description == "foul"
+    old = lake.raw.filter("season = 2016 AND game_type = 'R'").drop("season").limit(3)
+    deliver(old)
+    assert store.read("pitches").filter("season = 2016").count() == 3
+
+
+def test_all_seasons_out_and_in_with_one_job_a_table(lake, spark, tmp_path):
+    source, target = TableStore(spark, str(tmp_path / "a")), TableStore(spark, str(tmp_path / "b"))
+    source.unstage(ingest.load(source, lake.raw))
+    ingest.refresh_season(source, source.seasons("pitches"))
+    root = str(tmp_path / "out")
+    bundles.export_tables(source, root)
+    bundles.import_tables(target, root)
+    for name in ("players", "games", "pitches", "at_bats", *summaries.SUMMARIES):
+        assert same(source.read(name), target.read(name)), name
+    # An import takes the place of tallies, and a refresh that of the import.
+    ingest.refresh_season(target, [2019])
+    assert target.seasons("pitch_transition_summary_by_date") == [2019]
+    assert same(source.read("pitch_transition_summary"), target.read("pitch_transition_summary"))
 
 
 def test_staging_is_removed(lake, store):

@@ -89,16 +89,48 @@ def _long_appearances(pitches, seed=3):
     return made, pitches(*made)
 
 
-@pytest.mark.parametrize("block", [1, 2, 7, 64])
-def test_blocked_next_pitches_equal_plain(pitches, block):
-    _, df = _long_appearances(pitches)
+@pytest.mark.parametrize("segment", [1, 2, 7, 1024])
+def test_next_pitches_over_segments_equal_brute_force(pitches, monkeypatch, segment):
+    """Gaps in the numbers, segments with fewer pitches than steps, and empty ones."""
+    made, df = _long_appearances(pitches)
+    monkeypatch.setattr(rollup, "SEGMENT", segment)
     fields = {"next_type": ("pitch_type", 1), "next_number": ("pitch_number", 1), "third": ("pitch_number", 2)}
-    columns = ["at_bat_number", "pitch_number", "next_number", "third", F.coalesce("next_type", F.lit("-")).alias("t")]
+    found = {(r.at_bat_number, r.pitch_number): (r.next_type, r.next_number, r.third) for r in rollup.next_pitches(df, fields).collect()}
+    by_at_bat = {}
+    for row in made:
+        by_at_bat.setdefault(row["at_bat_number"], []).append(row)
+    expected = {}
+    for at_bat, rows in by_at_bat.items():
+        rows = [*sorted(rows, key=lambda r: r["pitch_number"]), {}, {}]
+        for row, one, two in zip(rows, rows[1:], rows[2:]):
+            expected[at_bat, row["pitch_number"]] = one.get("pitch_type"), one.get("pitch_number"), two.get("pitch_number")
+    assert found == expected
 
-    def key(df):
-        return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
 
-    assert key(rollup.next_pitches(df, fields, block)) == key(rollup.next_pitches(df, fields))
+@pytest.mark.parametrize("segment", [1, 40, 1024])
+def test_lists_of_any_length_equal_brute_force(pitches, monkeypatch, segment):
+    """Lists shorter than, as long as and longer than what a number holds, over the edges of segments."""
+    import random
+
+    from dugout.operators import sequences
+
+    rng = random.Random(3)
+    names = {"ball": "ball", "called_strike": "strike", "foul": "foul", "hit_into_play": None, "swinging_strike": "strike"}
+    made = [
+        dict(at_bat_number=a, pitch_number=n, description=rng.choice(("ball", "ball", "ball", "called_strike", "swinging_strike")) if a == 1 else rng.choice(list(names)))
+        for a in (1, 2) for n in range(1, 300) if n % 97
+    ]
+    df = pitches(*made)
+    at_bats = rollup.at_bat_rollup(df)
+    monkeypatch.setattr(sequences, "SEGMENT", segment)
+    outcome = {(r["at_bat_number"], r["pitch_number"]): names[r["description"]] for r in made}
+    starts = [(1, 5, 1), (1, 30, 31), (1, 40, 32), (1, 50, 33), (1, 100, 64), (1, 110, 70), (2, 60, 2), (1, 195, 95)]
+    wanted = [[outcome[a, n + i] for i in range(length)] for a, n, length in starts]
+    wanted = [w for w in wanted if None not in w] + [["foul"] * 40]
+    found = {r.sequence: r.occurrences for r in sequences.outcome_sequences(df, at_bats, wanted).collect()}
+    for w in wanted:
+        n = sum(all(outcome.get((a, p + i)) == o for i, o in enumerate(w)) for a, p in outcome)
+        assert found[" -> ".join(w)] == n
 
 
 def test_outcome_sequences_equal_brute_force(pitches):
