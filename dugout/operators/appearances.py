@@ -89,35 +89,22 @@ def by_count_passed(pitches: DataFrame, at_bats: DataFrame) -> DataFrame:
 
     Counts of an appearance fold into the bits of one long, so pitches shuffle as
     one narrow row per appearance and the totals form per distinct bit pattern
-    before any pattern is opened.  Counts outside the bit range, and NULL ones, take
-    a plain distinct path; on clean data its filter prunes every row group.
+    before any pattern is opened.  A count that has no bit, or a NULL one, is a
+    group of its own in the same fold.
     """
     balls, strikes = F.col("balls"), F.col("strikes")
     outside = (
         balls.isNull() | strikes.isNull() | (balls < 0) | (strikes < 0) | (balls >= _SLOTS) | (strikes >= _SLOTS)
     )
+    bit = F.when(~outside, F.expr(f"shiftleft(1L, balls * {_SLOTS} + strikes)"))
+    odd = ("odd", "odd_balls", "odd_strikes")
+    folded = pitches.groupBy(
+        *APPEARANCE, outside.alias("odd"), F.when(outside, balls).alias("odd_balls"), F.when(outside, strikes).alias("odd_strikes")
+    ).agg(F.bit_or(bit).alias("pattern"))
     results = at_bats.select(*APPEARANCE, "final_event", "xwoba")
-    bit = F.expr(f"shiftleft(1L, balls * {_SLOTS} + strikes)")
-    patterns = (
-        pitches.filter(~outside)
-        .groupBy(*APPEARANCE)
-        .agg(F.bit_or(bit).alias("pattern"))
-        .join(results, list(APPEARANCE))
-        .groupBy("pattern")
-        .agg(*_count_measures())
-    )
-    code = F.explode(F.expr(f"filter(sequence(0, {_SLOTS * _SLOTS - 1}), c -> getbit(pattern, c) = 1)"))
-    opened = patterns.select(code.alias("code"), *_MEASURES).select(
-        F.floor(F.col("code") / _SLOTS).cast("int").alias("balls"),
-        (F.col("code") % _SLOTS).cast("int").alias("strikes"),
-        *_MEASURES,
-    )
-    rare = (
-        pitches.filter(outside)
-        .select(*APPEARANCE, "balls", "strikes")
-        .distinct()
-        .join(results, list(APPEARANCE))
-        .groupBy("balls", "strikes")
-        .agg(*_count_measures())
-    )
-    return opened.unionByName(rare).groupBy("balls", "strikes").agg(*[F.sum(m).alias(m) for m in _MEASURES])
+    patterns = folded.join(results, list(APPEARANCE)).groupBy(*odd, "pattern").agg(*_count_measures())
+    code = F.expr(f"filter(sequence(0, {_SLOTS * _SLOTS - 1}), c -> getbit(pattern, c) = 1)")
+    inside = F.transform(code, lambda c: F.struct(F.floor(c / _SLOTS).cast("int").alias("balls"), (c % _SLOTS).cast("int").alias("strikes")))
+    counts = F.when(F.col("odd"), F.array(F.struct(F.col("odd_balls").alias("balls"), F.col("odd_strikes").alias("strikes")))).otherwise(inside)
+    opened = patterns.select(F.explode(counts).alias("at"), *_MEASURES).select("at.balls", "at.strikes", *_MEASURES)
+    return opened.groupBy("balls", "strikes").agg(*[F.sum(m).alias(m) for m in _MEASURES])

@@ -30,15 +30,18 @@ def resolve_names(ids: DataFrame, names: DataFrame, profiles: DataFrame) -> Data
     )
 
 
-def _pitch_order() -> Column:
-    return F.struct("game_date", "game_pk", "at_bat_number", "pitch_number")
+def _in_game() -> Column:
+    """Place of a pitch within its game as one long."""
+    return F.shiftleft(F.coalesce(F.col("at_bat_number"), F.lit(0)).cast("long"), 31) + F.coalesce(F.col("pitch_number"), F.lit(0))
 
 
 def player_traits(pitches: DataFrame) -> DataFrame:
     """Position, latest throwing and batting hand and latest recorded team per player.
 
     One scan feeds both roles.  Pitching comes first for the team, as a player who
-    ever pitched is a pitcher.
+    ever pitched is a pitcher.  Pitches fold to one row per player, game and
+    set of values, with their last place as one long, so that no text is compared
+    or sorted per pitch.
     """
     seen = F.explode(
         F.array(
@@ -58,24 +61,21 @@ def player_traits(pitches: DataFrame) -> DataFrame:
             ),
         )
     )
-    rows = pitches.select(seen.alias("s"), _pitch_order().alias("seen_at")).select("s.*", "seen_at")
+    values = ("position", "throws", "bats", "team")
+    rows = pitches.select(seen.alias("s"), "game_date", "game_pk", _in_game().alias("place")).select("s.*", "game_date", "game_pk", "place")
+    games = rows.filter("player_id IS NOT NULL").groupBy("player_id", "game_date", "game_pk", *values).agg(F.max("place").alias("place"))
+    last = F.struct("game_date", "game_pk", "place")
 
     def latest(value: Column, extra: Column | None = None) -> Column:
         present = value.isNotNull() if extra is None else value.isNotNull() & extra
-        return F.max_by(value, F.when(present, F.col("seen_at")))
+        return F.max_by(value, F.when(present, last))
 
     team = F.col("team")
-    return (
-        rows.filter("player_id IS NOT NULL")
-        .groupBy("player_id")
-        .agg(
-            F.when(F.bool_or(F.col("position") == "P"), "P").otherwise("B").alias("position"),
-            latest(F.col("throws")).alias("throws"),
-            latest(F.col("bats")).alias("bats"),
-            F.coalesce(
-                latest(team, F.col("position") == "P"), latest(team, F.col("position") == "B")
-            ).alias("team"),
-        )
+    return games.groupBy("player_id").agg(
+        F.when(F.bool_or(F.col("position") == "P"), "P").otherwise("B").alias("position"),
+        latest(F.col("throws")).alias("throws"),
+        latest(F.col("bats")).alias("bats"),
+        F.coalesce(latest(team, F.col("position") == "P"), latest(team, F.col("position") == "B")).alias("team"),
     )
 
 
@@ -160,11 +160,10 @@ def player_appearances(pitches: DataFrame, games: DataFrame, role: str) -> DataF
     stays a fixed-width hash aggregation.
     """
     player, team, _ = role_columns(role)
-    position = F.shiftleft(F.col("at_bat_number").cast("long"), 31) + F.col("pitch_number")
     folded = (
         pitches.filter(F.col(player).isNotNull())
         .groupBy(F.col(player).alias("player_id"), "game_date", "game_pk", "inning_half", team)
-        .agg(F.max(position).alias("position"), F.count(F.lit(1)).alias("pitches"))
+        .agg(F.max(_in_game()).alias("position"), F.count(F.lit(1)).alias("pitches"))
     )
     derived = F.col(f"derived_{team}")
     other = ({"batter_team", "pitcher_team"} - {team}).pop()
