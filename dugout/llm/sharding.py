@@ -1,7 +1,8 @@
 """Proportional stratified interleaving of rows into shards.
 
 Rows of each source are shuffled by a seeded hash and ranked; a row's fractional
-rank is ``(rank + 1/2) / rows of its source``.  Sorted by it, every stretch of
+rank is ``(rank + phase) / rows of its source``, with a seeded phase for each
+source, so that sources of few rows spread too.  Sorted by it, every stretch of
 rows holds the sources in their proportions, so equal cuts give shards that match
 the mixture and differ by one row at most.
 """
@@ -21,27 +22,33 @@ def _unit(number: Column) -> Column:
     return F.shiftrightunsigned(number, 11) / F.lit(_WHOLE)
 
 
-def interleave(rows: DataFrame, shards: int, key: str = "doc_id", source: str = "source", seed: int = 17, blocks: int = 1024) -> DataFrame:
-    """Add ``shard`` and ``slot`` (from 0 without gaps within a shard) to every row; all columns stay.
+def interleave(rows: DataFrame, shards: int, key: str = "doc_id", source: str = "source", seed: int = 17, blocks: int | None = None) -> DataFrame:
+    """Add ``shard`` and ``slot`` (from 0 without gaps within a shard) to every row; all columns stay, but ones of these two names.
 
-    Ties of the seeded hash are broken by the key, then by a second hash of the
-    row; rows that are wholly equal are interchangeable.  A null source is a source of its own and a null key is
-    hashed like any value.  An empty table gives an empty one.  With fewer rows
-    than shards, the last shards stay empty.
+    The order is that of a seeded hash of the whole row, then the key, then a second hash of the
+    row, so it follows from the rows alone; rows that are wholly equal are interchangeable and share
+    one block.  A null source is a source of its own and a null key is hashed
+    like any value.  An empty table gives an empty one.  With fewer rows than
+    shards, the last shards stay empty.  ``blocks``: of how many the ranks are put together; by default one for
+    65,536 rows, 1,024 at least.
     """
     names = rows.columns
+    everything = [F.col(f"`{c}`") for c in names]
     inner = rows.select(
-        F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"),
+        F.struct(*everything).alias("_row"),
         F.col(f"`{source}`").alias("_source"),
         F.col(f"`{key}`").alias("_key"),
-        F.xxhash64(F.lit(seed), F.col(f"`{source}`"), F.col(f"`{key}`")).alias("_hash"),
+        F.xxhash64(F.lit(seed), *everything).alias("_hash"),
+        F.xxhash64(F.lit(~seed), *everything).alias("_second"),
     )
-    unit = _unit(F.col("_hash"))
-    by_source = ranked(inner, unit, [F.col("_hash"), F.col("_key")], "_rank", within="_source", blocks=blocks)
-    placed = by_source.withColumn("_fraction", (F.col("_rank") + F.lit(0.5)) / F.col("_rank_of"))
-    lined = ranked(placed, F.col("_fraction"), [F.col("_hash"), F.col("_key")], "_position", blocks=blocks)
-    # The first ``rows % shards`` shards hold one row more.
+    blocks = blocks or max(1024, rows.count() >> 16)
+    order = [F.col("_hash"), F.col("_key"), F.col("_second")]
+    by_source = ranked(inner, _unit(F.col("_hash")), order, "_rank", within="_source", blocks=blocks)
+    phase = _unit(F.xxhash64(F.lit(seed), F.lit("phase"), F.col("_source")))
+    placed = by_source.withColumn("_fraction", (F.col("_rank") + phase) / F.col("_rank_of"))
+    lined = ranked(placed, F.col("_fraction"), order, "_position", blocks=blocks)
     total, position = F.col("_position_of"), F.col("_position")
+    # The first ``rows % shards`` shards hold one row more.
     small, larger = F.floor(total / shards), total % shards
     edge = larger * (small + 1)
     first = F.when(position < edge, F.floor(position / (small + 1))).otherwise(larger + F.floor((position - edge) / F.greatest(small, F.lit(1))))
