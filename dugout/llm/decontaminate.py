@@ -162,5 +162,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The rows of ``docs`` in whose text no window of the benchmark occurs; all columns stay."""
     texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    hit = contaminated_words(texts, benchmark, window).filter(F.size("hits") > 0).select(F.col("doc_id").alias("_print")).distinct()
-    return docs.join(hit, F.xxhash64("text") == F.col("_print"), "left_anti")
+    hit = contaminated_words(texts, benchmark, window).filter(F.size("hits") > 0).select(F.col("doc_id").alias("print")).distinct()
+    # Packed, so that no column's name can meet one used here.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("text").alias("print"))
+    return rows.join(hit, "print", "left_anti").select("row.*")

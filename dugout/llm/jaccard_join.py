@@ -52,6 +52,11 @@ class Threshold:
     over: int = 80
     of: int = 100
 
+    def __post_init__(self):
+        # Up to a half, sets of one shingle link with larger ones, which no entry would find.
+        if not self.of < 2 * self.over <= 2 * self.of:
+            raise ValueError("a threshold lies above a half and not above one")
+
     def least(self, n: int) -> int:
         return -(-self.over * n // self.of)
 
@@ -330,7 +335,7 @@ def _linked_classes(docs: DataFrame, width: int, threshold: Threshold, frequent:
     # A class's place: first those with few shingles of their own; the class breaks ties.
     place = F.shiftleft(F.least("lost", F.lit((1 << 20) - 1)), 43).bitwiseOR(F.col("class").bitwiseAND(F.lit((1 << 43) - 1))).alias("place")
     entries = index.filter("key is not null").select("key", "class", place)
-    pivots = entries.groupBy("key").agg(F.min("place").alias("pivot"), F.max("place").alias("last")).filter("pivot < last")
+    pivots = entries.groupBy("key").agg(F.min("place").alias("pivot"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
     classes = described.filter("n_shingles > 1").groupBy("class")
     known = scratch.store(classes.agg(F.min("row").alias("row"), F.min("n_shingles").alias("n"), F.max("lost").alias("lost")), "classes")
     told = known.select("class", "n", "lost", place)
@@ -418,10 +423,13 @@ def one_per_group(docs: DataFrame, width: int = 5, threshold: Threshold = Thresh
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
     per_class = sizes.filter("n_shingles > 0").groupBy("class").agg(first)
     grouped = per_class.join(reached, F.col("node") == F.col("class"), "left").select(F.coalesce("component", "class").alias("component"), "first")
-    leaders = grouped.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_leader"), F.col("first.row").alias("_leading"))
-    ids = F.col("doc_id").cast("long")
-    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = docs.filter(worded).join(leaders, (_row_number(ids) == F.col("_leading")) & ids.eqNullSafe(F.col("_leader")), "left_semi")
-    repeat = F.row_number().over(W.partitionBy("doc_id", "text").orderBy(F.lit(0)))
-    kept = kept.withColumn("_repeat", repeat).filter("_repeat = 1").drop("_repeat")
-    return kept.unionAll(docs.filter(~worded))
+    leaders = grouped.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("leader"), F.col("first.row").alias("leading"))
+    # Packed, so that no column's name can meet one used here.
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("body"),
+        _row_number(F.col("doc_id").cast("long")).alias("number"),
+    )
+    worded = F.col("body").rlike(r"[^\x20\x09-\x0D]")
+    kept = rows.filter(worded).join(leaders, (F.col("number") == F.col("leading")) & F.col("id").eqNullSafe(F.col("leader")), "left_semi")
+    repeat = F.row_number().over(W.partitionBy("id", "body").orderBy(F.lit(0)))
+    return kept.withColumn("repeat", repeat).filter("repeat = 1").select("row.*").unionAll(rows.filter(~worded).select("row.*"))
