@@ -14,5 +14,5 @@ def test_registered(spark):
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 11)) and set(QUERIES) < set(names) and "pipeline" in names
+    assert {int(name[2:].split("_")[0]) for name in QUERIES} == set(range(1, 14)) and set(QUERIES) < set(names) and "pipeline" in names
     assert set(ORACLE_SQL) < set(entry.oracle_sql()) <= set(names)
