@@ -136,16 +136,18 @@ class Summary:
         return conform(self.count(self.rows(pitches), [*self.dims, "game_date"], list(self.labels)), tally_schema(self.schema))
 
     def fold(self, tallies: DataFrame) -> DataFrame:
-        """The summary of tallies; sums are divided once, here."""
+        """The summary of tallies; sums are divided once, here.  A group was updated when its newest tally was."""
+        stamp = [F.max("updated_at").alias("updated_at")] if "updated_at" in tallies.columns else []
         summed = tallies.groupBy(*self.dims).agg(
-            *[F.max(label).alias(label) for label in self.labels], *[F.sum(c).alias(c) for c in self.measures]
+            *[F.max(label).alias(label) for label in self.labels], *[F.sum(c).alias(c) for c in self.measures], *stamp
         )
         means = {
             mean: F.try_divide(F.col(f"{name}_sum"), F.col(f"{name}_n").cast("double"))
             for mean, name in (("avg_woba_value", "woba"), ("avg_xwoba", "xwoba"))
             if f"{name}_sum" in self.measures
         }
-        return conform(summed.withColumns(means | {"row_key": keys.row_key(*self.dims)}), self.schema)
+        schema = T.StructType([*self.schema.fields, T.StructField("updated_at", T.TimestampType())]) if stamp else self.schema
+        return conform(summed.withColumns(means | {"row_key": keys.row_key(*self.dims)}), schema)
 
     def of(self, pitches: DataFrame) -> DataFrame:
         """The summary of pitches in one go, whatever their dates."""

@@ -167,8 +167,9 @@ def replace_season_stats(store: TableStore, feeds: dict[str, DataFrame], season:
             store.upsert(name, rows, ["row_key"])
         else:
             warnings.warn(f"the feed of {name} for {season} is empty; the season's rows are removed", stacklevel=2)
-        of_season = store.read(name).filter(F.col("season") == season)
-        store.replace(name, of_season.join(rows.select("row_key"), "row_key", "left_semi"), [f"season={season}"])
+        of_season = store.read(name, stamped=True).filter(F.col("season") == season)
+        kept = of_season.join(rows.select("row_key"), "row_key", "left_semi")
+        store.replace(name, kept, [f"season={season}"])
         store.unstage(rows)
     return written
 
@@ -213,7 +214,8 @@ def enrich(store: TableStore, names: DataFrame, profiles: DataFrame) -> dict[str
     pitches, stored = store.read("pitches"), store.read("players")
     filled = store.stage(players.enrich_players(stored, pitches, names, profiles))
     refreshed = store.stage(players.refresh_player_teams(filled, pitches))
-    store.swap("players", refreshed.drop("team_changed"))
+    # Only rows with new values are written, so that the others keep their stamp.
+    store.upsert("players", refreshed.drop("team_changed").exceptAll(stored), ["player_id"])
     counted = refreshed.agg(
         F.count_if("team_changed").alias("teams_changed"), F.count_if(F.col("full_name").isNull()).alias("unnamed")
     ).first()

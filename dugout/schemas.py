@@ -138,6 +138,8 @@ SUMMARY_TABLES = ("league_pitch_state_summary", "player_pitch_state_summary", "p
 TALLIES = {name: f"{name}_by_date" for name in SUMMARY_TABLES}
 TABLES |= {tally: tally_schema(TABLES[name]) for name, tally in TALLIES.items()}
 STAT_TABLES = ("batting_standard_stats", "batting_value_stats", "pitching_standard_stats", "pitching_value_stats")
+#: Stored with ``updated_at``, when a row was last written with new values.
+STAMPED = ("players", *SUMMARY_TABLES, *TALLIES.values(), *STAT_TABLES)
 SEASON_TABLES = ("pitches", "at_bats", "games") + SUMMARY_TABLES + STAT_TABLES
 
 

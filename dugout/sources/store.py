@@ -8,10 +8,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dugout.operators.clean import PITCH_KEY, upsert
 from dugout.operators.summaries import SUMMARIES
-from dugout.schemas import SUMMARY_TABLES, TABLES, TALLIES, conform
+from dugout.schemas import STAMPED, SUMMARY_TABLES, TABLES, TALLIES, conform
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -72,6 +73,11 @@ def create(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def _stored_schema(name: str) -> T.StructType:
+    fields = TABLES[name].fields
+    return T.StructType([*fields, T.StructField("updated_at", T.TimestampType())]) if name in STAMPED else TABLES[name]
+
+
 def week() -> Column:
     """Week of the year, from 0: days 1 to 7 are the first."""
     return F.floor((F.dayofyear("game_date") - 1) / 7).cast("int")
@@ -179,29 +185,34 @@ class TableStore:
             return None
         reader = self.spark.read.option("basePath", self.path(name))
         if name in TABLES:
-            reader = reader.schema(TABLES[name])
+            reader = reader.schema(_stored_schema(name))
         return reader.parquet(*(f"{self.path(name)}/{folder}" for folder in folders)).drop(_PIECE)
 
     def exists(self, name: str) -> bool:
         return len(self.version(name).folders) > 0
 
-    def _rows(self, name: str, version: Version | None = None, partitions: list[str] | None = None) -> DataFrame:
+    def _rows(
+        self, name: str, version: Version | None = None, partitions: list[str] | None = None, stamped: bool = False
+    ) -> DataFrame:
+        schema = _stored_schema(name) if stamped else TABLES.get(name)
         stored = self._load(name, version, partitions)
         if stored is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        return stored.select(*TABLES[name].names) if name in TABLES else stored
+            return self.spark.createDataFrame([], schema)
+        return stored.select(*schema.names) if schema else stored
 
-    def read(self, name: str, version: Version | None = None, partitions: list[str] | None = None) -> DataFrame:
+    def read(
+        self, name: str, version: Version | None = None, partitions: list[str] | None = None, stamped: bool = False
+    ) -> DataFrame:
         """A table, or some partitions of it, at its newest or a given state; empty when there is none.
 
         The summary of a season that has tallies is folded from them; that of another
-        season is the one that was imported.
+        season is the one that was imported.  ``stamped``: with ``updated_at``, where the table has it.
         """
-        rows = self._rows(name, version, partitions)
+        rows = self._rows(name, version, partitions, stamped)
         tallied = self.seasons(TALLIES[name]) if name in TALLIES else []
         if not tallied:
             return rows
-        folded = SUMMARIES[name].fold(self._rows(TALLIES[name]))
+        folded = SUMMARIES[name].fold(self._rows(TALLIES[name], stamped=stamped))
         return rows.filter(~F.col("season").isin(tallied)).unionByName(folded) if self.exists(name) else folded
 
     def retally(self, partitions: list[str], only: tuple[str, ...] = SUMMARY_TABLES) -> None:
@@ -257,6 +268,9 @@ class TableStore:
 
     def _add(self, name: str, df: DataFrame) -> list[str]:
         """Write a frame as new pieces; their folders, relative to the table."""
+        if name in STAMPED:
+            known = F.col("updated_at") if "updated_at" in df.columns else F.lit(None)
+            df = df.withColumn("updated_at", F.coalesce(known.cast("timestamp"), F.current_timestamp()))
         piece = uuid.uuid4().hex
         by = self.partition_columns(self._placed(df).columns)
         self.write_folder(df.withColumn(_PIECE, F.lit(piece)), self.path(name), "append")
@@ -333,7 +347,7 @@ class TableStore:
             if not set(by) <= set(keys):
                 partitions = list(dict.fromkeys(partitions + self.holding(name, updates.select(*(locate or keys)).distinct())))
         replaced = set(start.within(partitions))
-        merged = upsert(self._rows(name, start, partitions), updates, keys) if replaced else updates
+        merged = upsert(self._rows(name, start, partitions, stamped=name in TABLES), updates, keys) if replaced else updates
         self.publish(name, start, [f for f in start.folders if f not in replaced] + self._add(name, merged))
         self.unstage(updates)
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from dugout.operators import clean, quality, rollup, summaries
 from dugout.plans import ingest
-from dugout.schemas import PITCHES
+from dugout.schemas import PITCHES, TABLES
 from dugout.sources import bundles, landing
 from dugout.sources.store import TableStore, shared_folder
 from dugout.streaming.stream_ingest import landed_stream, stream_ingest
@@ -373,6 +373,23 @@ def test_an_appearance_over_two_weeks_counts_once(pitches, spark, tmp_path):
         assert [r.pitches for r in store.read("league_pitch_state_summary").collect()] == [2]
 
 
+def test_rows_with_new_values_alone_are_stamped_anew(spark, store):
+    feed = lambda *rows: {"batting_standard_stats": spark.createDataFrame(rows, "Season int, IDfg int, Name string, Team string, AB int")}
+    stamps = lambda: {r.row_key: r.updated_at for r in store.read("batting_standard_stats", stamped=True).collect()}
+    ingest.replace_season_stats(store, feed((2018, 1, "A", "X", 5)), 2018)
+    first = stamps()
+    ingest.replace_season_stats(store, feed((2019, 2, "B", "X", 5)), 2019)
+    second = stamps()
+    assert second["2018:1:X"] == first["2018:1:X"] < second["2019:2:X"]
+    assert "updated_at" not in store.read("batting_standard_stats").columns
+    players = lambda *rows: spark.createDataFrame(rows, TABLES["players"])
+    store.upsert("players", players((1, "a", None, None, None, None), (2, "b", None, None, None, None)), ["player_id"])
+    before = {r.player_id: r.updated_at for r in store.read("players", stamped=True).collect()}
+    store.upsert("players", players((2, "c", None, None, None, None)), ["player_id"])
+    after = {r.player_id: r.updated_at for r in store.read("players", stamped=True).collect()}
+    assert after[1] == before[1] and after[2] > before[2]
+
+
 def test_removed_rows_are_reported(lake, store):
     loaded = ingest.load(store, lake.raw)
     assert loaded.removed_rows == lake.raw.filter("game_type NOT IN ('R','F','D','L','W') OR game_type IS NULL").count() > 0
