@@ -1,7 +1,7 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
-A text is read as its letters only, so characters inserted between letters are
-passed over.  A window of letters is described by its subsequences of four
+A text is read as its letters only, accents taken off and repeats passed over, so
+other characters inserted between letters do nothing.  A window of letters is described by its subsequences of four
 letters that span at most six, each weighted by ``DECAY`` per gap; the kernel of
 two windows is the product of these descriptions.  Landmark windows span a
 subspace (Nyström): a window becomes its kernel with the landmarks, whitened.  A
@@ -15,19 +15,20 @@ by its strongest sentence window and clean texts by theirs and by random ones.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from dugout.llm.runtime import ship
 
-SPAN, DECAY = 6, 0.6
+SPAN, DECAY = 6, 0.7
 PATTERNS = [(p, np.float32(DECAY ** (p[2] - 3))) for p in combinations(range(1, SPAN), 3)]
 #: Letters in a window's start positions; a text's end is padded so that windows don't cross texts.
 WINDOW = 6
@@ -36,13 +37,32 @@ _EDGE = 31
 _TABLE = 1 << 20
 _CHUNK = 1 << 19
 
-_CODES = np.zeros(256, dtype=np.uint8)
-for _i in range(26):
-    _CODES[ord("a") + _i] = _CODES[ord("A") + _i] = _i + 1
-# Bytes that continue a character outside ASCII fall into four codes; digits read as the letters they resemble.
-_CODES[0x80:0xC0] = 27 + np.arange(64) * 5 // 3 % 4
-for _digit, _letter in zip("013457@", "oieasta"):
-    _CODES[ord(_digit)] = _CODES[ord(_letter)]
+#: Code points below this are looked up, those beyond are dealt over all codes.
+_FOLDED = 0x250
+
+
+def _codes() -> np.ndarray:
+    """1 to 26 for letters, accents taken off; 0 for what is passed over; other letters are dealt over 30 codes.
+
+    Digits and signs read as the letters they resemble.
+    """
+    out = np.zeros(_FOLDED, dtype=np.uint8)
+    for point in range(_FOLDED):
+        base = unicodedata.normalize("NFKD", chr(point))[0].lower()
+        if "a" <= base <= "z":
+            out[point] = ord(base) - ord("a") + 1
+        elif base.isalpha():
+            out[point] = _dealt(np.array([point]))[0]
+    for digit, letter in zip("013457@$", "oieastas"):
+        out[ord(digit)] = ord(letter) - ord("a") + 1
+    return out
+
+
+def _dealt(points: np.ndarray) -> np.ndarray:
+    return ((points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % 30 + 1
+
+
+_CODES = _codes()
 
 
 @dataclass(frozen=True)
@@ -51,11 +71,13 @@ class Fitting:
 
     toxic_rows: int = 1500
     clean_rows: int = 3000
-    #: Sampled texts longer than this many bytes are passed over in the sample, never when scoring.
-    text_bytes: int = 8192
+    #: Bytes of the sampled texts of either label; rows are taken in the order of a hash, whatever their length, until these are full.
+    sample_bytes: int = 5 << 20
+    #: One letter in so many is followed by a strewn one in the copies that set the curve; 0: no such copies.
+    strewn: int = 6
     landmarks: int = 300
     rounds: int = 3
-    penalty: float = 1e-3
+    penalty: float = 1e-2
     seed: int = 11
 
 
@@ -72,11 +94,27 @@ class Model:
 
 
 def letters(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Letter codes of concatenated texts, each followed by ``PAD`` edges, and where each text starts."""
+    """Letter codes of concatenated texts, each followed by ``PAD`` edges, and where each text starts.
+
+    ``raw`` is UTF-8.  A letter that repeats the one before it is passed over.
+    """
     codes = _CODES[raw]
-    kept = codes > 0
-    upto = np.concatenate(([0], np.cumsum(kept)))[offsets]
-    codes = codes[kept] - 1
+    if (raw >= 0x80).any():
+        codes[raw >= 0x80] = 0
+        padded = np.concatenate((raw, np.zeros(3, raw.dtype))).astype(np.int64)
+        for low, high, more in ((0xC2, 0xE0, 1), (0xE0, 0xF0, 2), (0xF0, 0xF8, 3)):
+            at = np.flatnonzero((raw >= low) & (raw < high))
+            points = padded[at] & (0x3F >> more)
+            for k in range(1, more + 1):
+                points = points << 6 | padded[at + k] & 0x3F
+            codes[at] = np.where(points < _FOLDED, _CODES[np.minimum(points, _FOLDED - 1)], _dealt(points))
+    places = np.flatnonzero(codes)
+    kept = codes[places]
+    owner = np.searchsorted(offsets, places, side="right")
+    fresh = np.ones(len(places), dtype=bool)
+    fresh[1:] = (kept[1:] != kept[:-1]) | (owner[1:] != owner[:-1])
+    places, codes = places[fresh], kept[fresh] - 1
+    upto = np.searchsorted(places, offsets)
     starts = upto + PAD * np.arange(len(upto))
     out = np.full(starts[-1], _EDGE, dtype=np.uint32)
     where = np.repeat(PAD * np.arange(len(upto) - 1), np.diff(upto)) + np.arange(len(codes))
@@ -193,9 +231,18 @@ def fit(texts: list[bytes], toxic: np.ndarray, share: float, how: Fitting = Fitt
     kept_back = mixed[: len(texts) // 4] if len(texts) >= 40 else mixed
     learned = mixed[len(texts) // 4 :] if len(texts) >= 40 else mixed
     machine = _machine([texts[i] for i in learned], toxic[learned], rng, how)
-    codes, starts = _joined([texts[i] for i in kept_back])
+    # The curve also sees the toxic texts with letters strewn in, so that a spoiled insult counts as one.
+    spoiled = [_strewn(texts[i], rng, how.strewn) for i in kept_back if toxic[i]] if how.strewn else []
+    codes, starts = _joined([texts[i] for i in kept_back] + spoiled)
     best, _ = strongest_windows(codes, starts, machine)
-    return Model(machine, *_curve(best.astype(np.float64), toxic[kept_back], share))
+    return Model(machine, *_curve(best.astype(np.float64), np.append(toxic[kept_back], np.ones(len(spoiled), dtype=bool)), share))
+
+
+def _strewn(text: bytes, rng: np.random.Generator, every: int) -> bytes:
+    """A text with a random letter after one byte of ASCII in ``every``."""
+    raw = np.frombuffer(text, dtype=np.uint8)
+    at = np.flatnonzero((rng.random(len(raw)) < 1 / every) & (raw < 0x80)) + 1
+    return np.insert(raw, at, rng.integers(ord("a"), ord("z") + 1, len(at)).astype(np.uint8)).tobytes()
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -245,63 +292,66 @@ def _machine(texts: list[bytes], toxic: np.ndarray, rng: np.random.Generator, ho
 
 
 def sampled(docs: DataFrame, labels: DataFrame, how: Fitting) -> tuple[list[bytes], np.ndarray, float]:
-    """A bounded sample of labelled rows, chosen by a hash of doc_id (the numbers of ``how`` per label), and the share of toxic labels."""
-    known = labels.filter("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") == 1).alias("toxic"))
+    """A bounded sample of labelled rows, chosen by a hash of doc_id (the numbers and bytes of ``how`` per label), and the share of toxic labels."""
+    known = labels.filter("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") == 1).alias("toxic")).distinct()
     order = F.xxhash64(F.lit(how.seed), "doc_id")
-    # Twice the rows are chosen, as some turn out to be absent or long; at most 9,000 ids.
-    chosen = known.filter("toxic").orderBy(order, "doc_id").limit(2 * how.toxic_rows).unionAll(known.filter("not toxic").orderBy(order, "doc_id").limit(2 * how.clean_rows))
-    found = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(chosen.distinct()), "doc_id")
-        .filter((F.octet_length("text") > 0) & (F.octet_length("text") <= how.text_bytes))
-        .select("toxic", order.alias("o"), "doc_id", F.col("text").cast("binary").alias("raw"))
-    )
-    texts, toxic = [], []
-    for label, rows in ((True, how.toxic_rows), (False, how.clean_rows)):
-        for row in found.filter(F.col("toxic") == label).orderBy("o", "doc_id", "raw").limit(rows).collect():
-            texts.append(bytes(row.raw))
-            toxic.append(label)
+    there = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    halves = ((True, how.toxic_rows), (False, how.clean_rows))
+    # At most 4,500 ids.
+    chosen = [there.filter(F.col("toxic") == label).orderBy(order, "doc_id").limit(rows) for label, rows in halves]
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id").filter(F.octet_length("text") > 0)
+    sized = found.select("toxic", "doc_id", order.alias("o"), F.xxhash64("text").alias("print"), F.octet_length("text").cast("long").alias("size"))
+    upto = F.sum("size").over(W.partitionBy("toxic").orderBy("o", "doc_id", "print").rowsBetween(W.unboundedPreceding, 0))
+    taken = sized.filter(F.col("size") <= how.sample_bytes).withColumn("upto", upto).filter(F.col("upto") <= how.sample_bytes)
+    kept = taken.groupBy("toxic", "doc_id", "print", "o").agg(F.count("*").alias("n"))
+    rows = found.withColumn("print", F.xxhash64("text")).join(F.broadcast(kept), ["toxic", "doc_id", "print"])
+    rows = rows.select("toxic", "o", "doc_id", "n", F.col("text").cast("binary").alias("raw")).distinct().collect()
+    rows.sort(key=lambda row: (not row.toxic, row.o, row.doc_id, bytes(row.raw)))
     counts = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    return texts, np.array(toxic, dtype=bool), float(counts or 0.0)
+    return [bytes(row.raw) for row in rows], np.array([row.toxic for row in rows], dtype=bool), float(counts or 0.0)
+
+
+def _strongest(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
+    text = texts.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
+    data = np.frombuffer(text.buffers()[2], dtype=np.uint8) if text.buffers()[2] else np.empty(0, np.uint8)
+    best, start = [np.empty(0, np.float32)], 0
+    while start < len(text):
+        end = start + 1
+        while end < len(text) and offsets[end + 1] - offsets[start] <= _CHUNK:
+            end += 1
+        codes, starts = letters(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
+        best.append(strongest_windows(codes, starts, weights)[0])
+        start = end
+    return np.concatenate(best)
 
 
-def _scorer(model, at: int, carried: list[int], out: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def score(docs: DataFrame, labels: DataFrame, how: Fitting = Fitting()) -> Column:
+    """The score of ``text``, 0 to 1, by a machine fitted on ``labels`` (doc_id, toxic) of ``docs``.
+
+    A null, empty or letterless text gets the score of no evidence.  Without labels
+    of both kinds all scores are near 0.  Only the text goes to Python workers.
+    """
+    ship(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(fit(*sampled(docs, labels, how), how))
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = model.value
-        for batch in batches:
-            text = batch.column(at).cast(pa.large_string()).fill_null("")
-            offsets = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
-            data = np.frombuffer(text.buffers()[2], dtype=np.uint8) if text.buffers()[2] else np.empty(0, np.uint8)
-            best, start = [np.empty(0, np.float32)], 0
-            while start < len(text):
-                end = start + 1
-                while end < len(text) and offsets[end + 1] - offsets[start] <= _CHUNK:
-                    end += 1
-                codes, starts = letters(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
-                best.append(strongest_windows(codes, starts, known.weights)[0])
-                start = end
-            scores = known.score(np.concatenate(best).astype(np.float64))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in carried), pa.array(scores, pa.float64())], names=[*(batch.schema.names[i] for i in carried), out]
-            )
-
-    return run
+        for texts in batches:
+            yield pa.array(known.score(_strongest(texts, known.weights).astype(np.float64)), pa.float64())
+
+    return run(F.col("text").cast("string"))
 
 
 def scored(docs: DataFrame, labels: DataFrame, how: Fitting = Fitting(), carry: list[str] | None = None, out: str = "score") -> DataFrame:
-    """Columns ``carry`` of ``docs`` (all by default) and ``out``, 0 to 1, of every row, by a machine fitted on ``labels`` (doc_id, toxic).
+    """Columns ``carry`` of ``docs`` (all by default) and ``out``, the score of every row.
 
     ``docs`` has doc_id and text; a column of its own that is named ``out`` is
-    replaced.  A null, empty or letterless text gets the score of no evidence.
-    Rows that repeat are scored alike.  Without labels of both kinds all scores
-    are near 0.  An empty table gives no rows.
+    replaced.  Rows that repeat are scored alike.  An empty table gives no rows.
     """
-    ship(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(fit(*sampled(docs, labels, how), how))
     carry = [c for c in (docs.columns if carry is None else carry) if c != out]
-    rows = docs.select(*dict.fromkeys([*carry, "text"])).withColumn("text", F.col("text").cast("string"))
-    schema = StructType([*(rows.schema[c] for c in carry), StructField(out, DoubleType())])
-    return rows.mapInArrow(_scorer(model, rows.columns.index("text"), [rows.columns.index(c) for c in carry], out), schema)
+    return docs.select(*(F.col(f"`{c}`") for c in carry), score(docs, labels, how).alias(out))
 
 
 def held_out(doc_id) -> object:
