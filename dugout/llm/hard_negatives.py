@@ -29,6 +29,8 @@ from dugout.llm.runtime import Scratch, ship
 _EXACT = 1 << 24
 #: Scores of a tile: this many anchors by this many rows.
 _TILE_ANCHORS, _TILE_ROWS = 256, 4096
+#: Components of a block of rows, and of one of anchors, at most, so that wide vectors make blocks of fewer rows.
+_ROW_COMPONENTS, _ANCHOR_COMPONENTS = 1 << 22, 1 << 20
 _LOWEST, _HIGHEST = -(1 << 63), (1 << 63) - 1
 _NO_ID = np.int64(_HIGHEST)
 
@@ -265,10 +267,12 @@ def mined(vectors: DataFrame, how: Mining = Mining()) -> DataFrame:
     rows = rows.filter(F.col("label").isNotNull() & F.col("embedding").isNotNull() & whole)
     stored = scratch.store(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     is_anchor = F.col("vec_id") % how.every == 0
-    n, n_anchors = stored.agg(F.count("*"), F.count_if(is_anchor)).first()
+    n, n_anchors, width = stored.agg(F.count("*"), F.count_if(is_anchor), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    row_block = max(1, min(how.row_block, _ROW_COMPONENTS // max(1, width)))
+    anchor_block = max(1, min(how.anchor_block, _ANCHOR_COMPONENTS // max(1, width)))
     # At least as many cells as the session has shuffle partitions.
-    row_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // how.row_block))
-    anchor_blocks = max(1, -(-n_anchors // how.anchor_block))
+    row_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // row_block))
+    anchor_blocks = max(1, -(-n_anchors // anchor_block))
 
     def dealt(frame: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
         """Rows dealt evenly into blocks, each block once for every block of the other side."""
