@@ -62,3 +62,9 @@ def test_empty_tables(spark):
     docs, items = made(3)
     check(spark, docs, [(1, None)], 4)
     check(spark, [], items, 4)
+
+
+def test_column_names_of_its_own_clash_with_nothing(spark):
+    frame = spark.createDataFrame([(1, "a b c", "x", "y", "z"), (2, "d e f", "x", "y", "z")], "doc_id long, text string, _print string, print string, row string")
+    kept = clean_documents(frame, spark.createDataFrame([(1, "b c")], "item_id long, text string"), 2)
+    assert kept.columns == frame.columns and [tuple(r) for r in kept.collect()] == [(2, "d e f", "x", "y", "z")]

@@ -146,3 +146,18 @@ def test_shingler_matches_words():
     sets = list(Shingler(3).sets(pa.array(texts, pa.string())))
     assert [len(s) for s in sets] == [len(shingles_of(t, 3)) for t in texts]
     assert (sets[0] == sets[1]).all()
+
+
+def test_column_names_of_its_own_clash_with_nothing(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    columns = ["doc_id", "text", "_repeat", "_leader", "_leading", "row", "number", "id", "body", "leader", "repeat", "class", "key"]
+    frame = spark.createDataFrame([(i, text, *(["x"] * 11)) for i in (3, 1, 1)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in columns[2:]))
+    kept = one_per_group(frame)
+    assert kept.columns == columns and [r.doc_id for r in kept.collect()] == [1]
+    assert [r.component_id for r in near_duplicates(frame).collect()] == [1, 1, 1]
+
+
+@pytest.mark.parametrize("over, of", [(50, 100), (1, 3), (101, 100)])
+def test_thresholds_that_entries_cannot_serve_are_refused(over, of):
+    with pytest.raises(ValueError):
+        Threshold(over, of)

@@ -87,6 +87,40 @@ def test_uneven_and_odd_shards(spark, n, shards):
     assert Counter((r.doc_id, r.source, r.shard, r.slot) for r in again) == Counter((r.doc_id, r.source, r.shard, r.slot) for r in out)
 
 
+def plainly_dealt(rows, shards, seed):
+    """Shard and slot by sorting; hashes are Spark's."""
+    by_source = {}
+    for r in rows:
+        by_source.setdefault(r.source, []).append(r)
+    order = lambda r: (r.h, (r.doc_id is not None, r.doc_id or 0), r.second)
+    unit = lambda h: ((h & (2**64 - 1)) >> 11) / 2**53
+    placed = []
+    for own in by_source.values():
+        # Ranks follow the unsigned hash's upper bits, then the hash.
+        own.sort(key=lambda r: (unit(r.h), *order(r)))
+        placed += [((k + unit(r.phase)) / len(own), r) for k, r in enumerate(own)]
+    placed.sort(key=lambda p: (p[0], *order(p[1])))
+    small, larger = divmod(len(placed), shards)
+    out, at = [], 0
+    for shard in range(shards):
+        size = small + (shard < larger)
+        out += [(str(r.doc_id), str(r.source), r.text, shard, slot) for slot, (_, r) in enumerate(placed[at : at + size])]
+        at += size
+    return sorted(out)
+
+
+def test_shards_equal_a_plain_version_whatever_the_partitions(spark):
+    """A hot id, null ids, a hot source and sources of one row."""
+    rows = [([7, 7, None, i][i % 4], ["hot", "hot", None, f"one{i}"][i % 4 if i % 3 else 0], f"text {i // 2}") for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    everything = [F.col(c) for c in frame.columns]
+    hashed = frame.withColumns({"h": F.xxhash64(F.lit(17), *everything), "second": F.xxhash64(F.lit(~17), *everything), "phase": F.xxhash64(F.lit(17), F.lit("phase"), F.col("source"))})
+    expected = plainly_dealt(hashed.collect(), 7, 17)
+    for n in (1, 3, 7, 60):
+        out = interleave(frame.repartition(n), 7, blocks=16).collect()
+        assert sorted((str(r.doc_id), str(r.source), r.text, r.shard, r.slot) for r in out) == expected
+
+
 def test_ranks_equal_one_window(spark):
     frame = spark.range(500).select("id", (F.pmod(F.xxhash64("id"), F.lit(97)) / 97).alias("p"))
     rows = ranked(frame, F.col("p"), [F.col("id")], "rank", blocks=13).collect()
