@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from dugout.llm.runtime import ship
 
 #: Matches kept with their ids per worker; beyond it the table starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Rows encoded at a time, so that a worker holds few texts and ids at once.
+_ROWS = 512
 
 
 def byte_characters() -> list[str]:
@@ -133,16 +135,13 @@ class _Encoder(dict):
 
         super().__init__()
         self._processor = sentencepiece.SentencePieceProcessor(model_proto=known.model)
-        self._whole = {item: struct.pack("<I", rank) for rank, item in enumerate(known.ranks)}
         self._letters = byte_characters()
 
     def __missing__(self, match: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
         raw = match.encode()
-        ids = self._whole.get(raw)
-        if ids is None:
-            ids = np.array(self._processor.encode("".join(map(self._letters.__getitem__, raw))), dtype="<u4").tobytes()
+        ids = np.array(self._processor.encode("".join(map(self._letters.__getitem__, raw))), dtype="<u4").tobytes()
         if len(raw) <= 64:
             self[match] = ids
         return ids
@@ -161,31 +160,50 @@ def _encoder(shared) -> tuple[_Cutter, _Encoder]:
     return _ENCODERS[key]
 
 
-def _encode(shared):
+def _pieces(encoder: _Encoder, known: Vocabulary) -> list[bytes]:
+    """Bytes of each id, from the model's own pieces, not from the rank file."""
+    back = {letter: byte for byte, letter in enumerate(byte_characters())}
+    return [bytes(back[c] for c in encoder._processor.id_to_piece(rank)) for rank in range(len(known.ranks))]
+
+
+def _text_of(ids: bytes, pieces: list[bytes]) -> bytes:
+    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+
+
+def _encode(shared, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, encoder = _encoder(shared)
         look_up = encoder.__getitem__
+        pieces = _pieces(encoder, shared.value) if decode else []
         for batch in batches:
-            ids = [b"".join(map(look_up, cut(text.as_py() or ""))) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            for start in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(start, _ROWS)
+                ids = [b"".join(map(look_up, cut(text.as_py() or ""))) for text in part.column(1)]
+                columns = {"doc_id": part.column(0), "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
+                if decode:
+                    columns["decoded"] = pa.array([_text_of(i, pieces) for i in ids], pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
 def _decode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        back = {letter: byte for byte, letter in enumerate(byte_characters())}
-        known = shared.value
         _, encoder = _encoder(shared)
-        # From the model's own pieces, not from the rank file.
-        pieces = [bytes(back[c] for c in encoder._processor.id_to_piece(rank)) for rank in range(len(known.ranks))]
+        pieces = _pieces(encoder, shared.value)
         for batch in batches:
-            texts = [b"".join(map(pieces.__getitem__, np.frombuffer(ids.as_buffer(), dtype="<u4").tolist())) for ids in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(2), pa.array(texts, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            for start in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(start, _ROWS)
+                texts = [_text_of(ids.as_buffer(), pieces) for ids in part.column(2)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return run
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and ids (unsigned 32-bit integers, little-endian) of every row of ``docs``.
 
@@ -195,7 +213,7 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(vocabulary(path, pattern))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(shared), "doc_id long, n_tokens long, ids binary")
+    return _rows(docs).mapInArrow(_encode(shared, decode=False), "doc_id long, n_tokens long, ids binary")
 
 
 def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -204,3 +222,11 @@ def decoded(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     ship(spark)
     shared = spark.sparkContext.broadcast(vocabulary(path, pattern))
     return tokens.select("doc_id", "n_tokens", "ids").mapInArrow(_decode(shared), "doc_id long, n_tokens long, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """What ``encoded`` gives with ``decoded``, the bytes that the ids give back, by one worker in one pass."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(vocabulary(path, pattern))
+    return _rows(docs).mapInArrow(_encode(shared, decode=True), "doc_id long, n_tokens long, ids binary, decoded binary")
