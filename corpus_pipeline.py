@@ -13,8 +13,7 @@ from dugout.llm.runtime import Scratch
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string-kernel machine finds toxic go."""
     labels = string_kernel.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = string_kernel.scored(docs, labels, out="_toxicity")
-    return scored.filter(F.col("_toxicity") < 0.5).select(*docs.columns)
+    return docs.filter(string_kernel.score(docs, labels) < 0.5)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +29,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian) and decoded_sha256, the digest of the text that the ids give back."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    tokens = byte_bpe.decoded(byte_bpe.encoded(docs, path, pattern), path, pattern)
+    tokens = byte_bpe.round_trip(docs, path, pattern)
     return tokens.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
