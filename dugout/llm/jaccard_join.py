@@ -17,9 +17,12 @@ frequent; when a corpus fills them they only cost candidates, never links.  Shin
 what a set can share: most pairs below the threshold are told by it alone.
 
 Sets that are equal are one class.  Within an index entry the classes are first
-compared with one of them only, that with the fewest shingles of its own, which
+compared with one of them only, its pivot: that with the fewest shingles of its own, which
 of a family of near copies is the closest to all; those whose components still differ are
-then compared with each other.  So groups of copies cost their size, not its square.
+then compared with each other.  What two of them share lies in the pivot, where neither
+can share more than it does with the pivot, or outside, where neither can share more than
+it has there; so the overlaps with the pivot tell nearly all pairs of a family that reach
+no threshold, and groups of copies cost their size, not its square.
 """
 
 from __future__ import annotations
@@ -300,8 +303,8 @@ def _sets(width: int, table):
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
-    """Those of the candidate pairs (a, b) whose sets reach the threshold, by direct comparison."""
+def _compared(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
+    """Candidate pairs (a, b), how many shingles they share, by direct comparison, and whether that reaches the threshold."""
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
@@ -309,8 +312,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFram
         pairs.join(left, "a")
         .join(right, "b")
         .select("a", "b", both.alias("both"), (F.size("left") + F.size("right")).alias("sizes"))
-        .filter(f"{threshold.of} * both >= {threshold.over} * (sizes - both)")
-        .select("a", "b")
+        .selectExpr("a", "b", "both", f"{threshold.of} * both >= {threshold.over} * (sizes - both) AS linked")
     )
 
 
@@ -335,20 +337,21 @@ def _linked_classes(docs: DataFrame, width: int, threshold: Threshold, frequent:
     # A class's place: first those with few shingles of their own; the class breaks ties.
     place = F.shiftleft(F.least("lost", F.lit((1 << 20) - 1)), 43).bitwiseOR(F.col("class").bitwiseAND(F.lit((1 << 43) - 1))).alias("place")
     entries = index.filter("key is not null").select("key", "class", place)
-    pivots = entries.groupBy("key").agg(F.min("place").alias("pivot"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
+    first = entries.groupBy("key").agg(F.min("place").alias("place"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
     classes = described.filter("n_shingles > 1").groupBy("class")
     known = scratch.store(classes.agg(F.min("row").alias("row"), F.min("n_shingles").alias("n"), F.max("lost").alias("lost")), "classes")
     told = known.select("class", "n", "lost", place)
-    shared = scratch.store(entries.drop("place").join(pivots.select("key", "pivot"), "key").distinct().join(told, "class"), "shared")
+    # Classes of one place are rare and any of them serves as the pivot of both one's entries.
+    pivots = first.select("key", "place").join(told.groupBy("place").agg(F.min("class").alias("pivot")), "place").select("key", "pivot")
+    shared = scratch.store(entries.drop("place").join(pivots, "key").distinct().join(told.drop("place"), "class"), "shared")
     scratch.drop(index)
 
-    def within_reach(n_a: str, lost_a: str, n_b: str, lost_b: str) -> str:
-        """Whether two sets can reach the threshold, by their sizes and the shingles that each has alone."""
-        most = f"least({n_a} - {lost_a}, {n_b} - {lost_b})"
-        return f"{threshold.of} * {most} >= {threshold.over} * ({n_a} + {n_b} - {most})"
+    def reach(both: str, n_a: str, n_b: str) -> str:
+        """Whether sets of these sizes that share at most so much can reach the threshold."""
+        return f"{threshold.of} * {both} >= {threshold.over} * ({n_a} + {n_b} - {both})"
 
-    def verified(counted: DataFrame) -> DataFrame:
-        """Links among pairs (a, b, n_a, n_b, entries), of which those with too few entries go unseen."""
+    def compared(counted: DataFrame) -> DataFrame:
+        """Pairs (a, b, n_a, n_b, entries) with what they share; those with too few entries go unseen."""
         demand = f"least({_SHARED_SQL.format('n_a')}, {_SHARED_SQL.format('n_b')})"
         pairs = scratch.store(counted.filter(f"entries >= {demand}").select("a", "b"), "pairs")
         wanted = known.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class").select("row", "class")
@@ -357,36 +360,49 @@ def _linked_classes(docs: DataFrame, width: int, threshold: Threshold, frequent:
         # By class alone: doc_ids may be null or repeat, and rows of one class have one set.
         sets = scratch.store(marked.join(wanted.select("class"), "class").dropDuplicates(["class"]), "sets")
         table.destroy()
-        links = scratch.store(_linked(pairs, sets, threshold), "links")
+        out = scratch.store(_compared(pairs, sets, threshold), "compared")
         scratch.drop(sets, pairs)
-        return links
+        return out
 
     stars = (
-        shared.filter("place != pivot")
-        .groupBy("pivot", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("lost").alias("lost_b"))
+        shared.filter("class != pivot")
+        .groupBy(F.col("pivot").alias("a"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("lost").alias("lost_b"))
         .agg(F.count("*").alias("entries"))
     )
-    of_pivot = told.select("place", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("lost").alias("lost_a"))
-    near = F.expr(within_reach("n_a", "lost_a", "n_b", "lost_b"))
-    links = verified(stars.alias("s").join(of_pivot.alias("p"), (F.col("pivot") == F.col("p.place")) & near).select("a", "b", "n_a", "n_b", "entries"))
+    of_pivot = told.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("lost").alias("lost_a"))
+    near = F.expr(reach("least(n_a - lost_a, n_b - lost_b)", "n_a", "n_b"))
+    around = compared(stars.join(of_pivot, "a").filter(near).select("a", "b", "n_a", "n_b", "entries"))
+    links = around.filter("linked").select("a", "b")
 
     reached = components(links, scratch)
     placed = shared.join(reached, F.col("node") == F.col("class"), "left").select(
-        "key", "class", "n", "lost", F.coalesce("component", "class").alias("component")
+        "key", "class", "pivot", "n", "lost", F.coalesce("component", "class").alias("component")
     )
     torn = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    open_entries = scratch.store(placed.join(torn, "key"), "open")
-    one, other = open_entries.alias("x"), open_entries.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & F.expr(
-        "x.component != y.component and x.class < y.class and " + within_reach("x.n", "x.lost", "y.n", "y.lost")
+    # What a class can share with another at all, within its entry's pivot and outside it.
+    overlaps = around.select(F.col("a").alias("pivot"), F.col("b").alias("class"), "both")
+    known_part = F.when(F.col("class") == F.col("pivot"), F.col("n")).otherwise(F.col("both"))
+    open_entries = scratch.store(
+        placed.join(torn, "key")
+        .join(overlaps, ["pivot", "class"], "left")
+        .select("key", "class", "component", "n", (F.col("n") - F.col("lost")).alias("most"), known_part.alias("inside"))
+        .select(
+            "key", "class", "component", "n", "most", F.coalesce("inside", "most").alias("inside"),
+            F.coalesce(F.greatest(F.col("most") - F.col("inside"), F.lit(0)), "most").alias("outside"),
+        ),
+        "open",
     )
-    # Entries that two classes of different components share are all torn, so the count is whole.
+    one, other = open_entries.alias("x"), open_entries.alias("y")
+    bound = "least(x.most, y.most, least(x.inside, y.inside) + least(x.outside, y.outside))"
+    apart = (F.col("x.key") == F.col("y.key")) & F.expr("x.component != y.component and x.class < y.class and " + reach(bound, "x.n", "y.n"))
+    # Entries that two classes of different components share are all torn, and no entry's bound
+    # refuses a pair that links, so the count of such a pair is whole.
     across = (
         one.join(other, apart)
         .groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
         .agg(F.count("*").alias("entries"))
     )
-    more = verified(across)
+    more = compared(across).filter("linked").select("a", "b")
     scratch.drop(open_entries, shared, known)
 
     return sizes, components(links.unionAll(more), scratch)
