@@ -19,10 +19,11 @@ what a set can share: most pairs below the threshold are told by it alone.
 Sets that are equal are one class.  Within an index entry the classes are first
 compared with one of them only, its pivot: that with the fewest shingles of its own, which
 of a family of near copies is the closest to all; those whose components still differ are
-then compared with each other.  What two of them share lies in the pivot, where neither
-can share more than it does with the pivot, or outside, where neither can share more than
-it has there; so the overlaps with the pivot tell nearly all pairs of a family that reach
-no threshold, and groups of copies cost their size, not its square.
+then compared with each other.  What two of them share lies in the pivot or outside.  In the
+pivot it is what one has there less what the other misses, outside what one has less what
+the other lacks; bitmaps of 256 bits, made when a class was compared with the pivot, count
+such shingles from below.  So nearly all pairs of a family that reach no threshold are told
+by their bitmaps; sets of some thousand shingles fill them, and more pairs are compared.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ _COUNT_SHIFT = np.uint64(32)
 #: A shingle in more texts than this is frequent.
 FREQUENT = 16
 _FLUSH = 2 << 20
+#: Words of 64 bits in a trace, the bitmap of what a set and its pivot do not share.
+_TRACE = range(4)
 
 
 @dataclass(frozen=True)
@@ -303,16 +306,43 @@ def _sets(width: int, table):
     return run
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
-    """Candidate pairs (a, b), how many shingles they share, by direct comparison, and whether that reaches the threshold."""
+def _trace_sql(word: int, shingles: str) -> str:
+    """One word of the bitmap of some shingles: a shingle's two lowest bits choose the word, the next six the bit."""
+    return f"aggregate(filter({shingles}, v -> (v & 3) = {word}), 0L, (bits, v) -> bits | shiftleft(1L, cast(shiftright(v, 2) & 63 as int)))"
+
+
+def _apart_sql(name: str, a: str, b: str) -> str:
+    """How many shingles that ``a`` has in its trace ``b`` has not, at least."""
+    return "(" + " + ".join(f"bit_count({a}.{name}{word} & ~{b}.{name}{word})" for word in _TRACE) + ")"
+
+
+def _shared_at_most_sql() -> str:
+    """What classes x and y of an entry can share, by what each has inside its pivot and outside."""
+    inside = f"least(x.inside - {_apart_sql('missing', 'y', 'x')}, y.inside - {_apart_sql('missing', 'x', 'y')})"
+    outside = f"least(x.n - x.inside - {_apart_sql('extra', 'x', 'y')}, y.n - y.inside - {_apart_sql('extra', 'y', 'x')}, x.most - x.inside, y.most - y.inside)"
+    # A class that was not compared with the pivot has no trace: null.
+    return f"least(x.most, y.most, coalesce({inside} + {outside}, x.most))"
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, threshold: Threshold, traced: bool) -> DataFrame:
+    """Candidate pairs (a, b), how many shingles they share, by direct comparison, and whether that reaches the threshold.
+
+    ``traced``: also the traces of what b misses of a and of what it has besides.
+    """
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("right"))
     both = F.size(F.array_intersect("left", "right"))
+    traces = [
+        f"{_trace_sql(word, f'array_except({own}, {other})')} AS {name}{word}"
+        for name, own, other in (("missing", "left", "right"), ("extra", "right", "left"))
+        for word in _TRACE
+        if traced
+    ]
     return (
         pairs.join(left, "a")
         .join(right, "b")
-        .select("a", "b", both.alias("both"), (F.size("left") + F.size("right")).alias("sizes"))
-        .selectExpr("a", "b", "both", f"{threshold.of} * both >= {threshold.over} * (sizes - both) AS linked")
+        .select("a", "b", both.alias("both"), (F.size("left") + F.size("right")).alias("sizes"), *map(F.expr, traces))
+        .withColumn("linked", F.expr(f"{threshold.of} * both >= {threshold.over} * (sizes - both)"))
     )
 
 
@@ -350,7 +380,7 @@ def _linked_classes(docs: DataFrame, width: int, threshold: Threshold, frequent:
         """Whether sets of these sizes that share at most so much can reach the threshold."""
         return f"{threshold.of} * {both} >= {threshold.over} * ({n_a} + {n_b} - {both})"
 
-    def compared(counted: DataFrame) -> DataFrame:
+    def compared(counted: DataFrame, traced: bool) -> DataFrame:
         """Pairs (a, b, n_a, n_b, entries) with what they share; those with too few entries go unseen."""
         demand = f"least({_SHARED_SQL.format('n_a')}, {_SHARED_SQL.format('n_b')})"
         pairs = scratch.store(counted.filter(f"entries >= {demand}").select("a", "b"), "pairs")
@@ -360,7 +390,7 @@ def _linked_classes(docs: DataFrame, width: int, threshold: Threshold, frequent:
         # By class alone: doc_ids may be null or repeat, and rows of one class have one set.
         sets = scratch.store(marked.join(wanted.select("class"), "class").dropDuplicates(["class"]), "sets")
         table.destroy()
-        out = scratch.store(_compared(pairs, sets, threshold), "compared")
+        out = scratch.store(_compared(pairs, sets, threshold, traced), "compared")
         scratch.drop(sets, pairs)
         return out
 
@@ -371,7 +401,7 @@ def _linked_classes(docs: DataFrame, width: int, threshold: Threshold, frequent:
     )
     of_pivot = told.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("lost").alias("lost_a"))
     near = F.expr(reach("least(n_a - lost_a, n_b - lost_b)", "n_a", "n_b"))
-    around = compared(stars.join(of_pivot, "a").filter(near).select("a", "b", "n_a", "n_b", "entries"))
+    around = compared(stars.join(of_pivot, "a").filter(near).select("a", "b", "n_a", "n_b", "entries"), traced=True)
     links = around.filter("linked").select("a", "b")
 
     reached = components(links, scratch)
@@ -379,22 +409,22 @@ def _linked_classes(docs: DataFrame, width: int, threshold: Threshold, frequent:
         "key", "class", "pivot", "n", "lost", F.coalesce("component", "class").alias("component")
     )
     torn = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    # What a class can share with another at all, within its entry's pivot and outside it.
-    overlaps = around.select(F.col("a").alias("pivot"), F.col("b").alias("class"), "both")
-    known_part = F.when(F.col("class") == F.col("pivot"), F.col("n")).otherwise(F.col("both"))
+    # What a class has inside its entry's pivot, and the traces; a pivot has all and misses nothing.
+    names = [f"{name}{word}" for name in ("missing", "extra") for word in _TRACE]
+    overlaps = around.select(F.col("a").alias("pivot"), F.col("b").alias("class"), "both", *names)
+    own = F.col("class") == F.col("pivot")
     open_entries = scratch.store(
         placed.join(torn, "key")
         .join(overlaps, ["pivot", "class"], "left")
-        .select("key", "class", "component", "n", (F.col("n") - F.col("lost")).alias("most"), known_part.alias("inside"))
         .select(
-            "key", "class", "component", "n", "most", F.coalesce("inside", "most").alias("inside"),
-            F.coalesce(F.greatest(F.col("most") - F.col("inside"), F.lit(0)), "most").alias("outside"),
+            "key", "class", "component", "n", (F.col("n") - F.col("lost")).alias("most"), F.when(own, F.col("n")).otherwise(F.col("both")).alias("inside"),
+            *(F.when(own, F.lit(0).cast("long")).otherwise(F.col(name)).alias(name) for name in names),
         ),
         "open",
     )
     one, other = open_entries.alias("x"), open_entries.alias("y")
-    bound = "least(x.most, y.most, least(x.inside, y.inside) + least(x.outside, y.outside))"
-    apart = (F.col("x.key") == F.col("y.key")) & F.expr("x.component != y.component and x.class < y.class and " + reach(bound, "x.n", "y.n"))
+    at_most = reach(_shared_at_most_sql(), "x.n", "y.n")
+    apart = (F.col("x.key") == F.col("y.key")) & F.expr("x.component != y.component and x.class < y.class and " + at_most)
     # Entries that two classes of different components share are all torn, and no entry's bound
     # refuses a pair that links, so the count of such a pair is whole.
     across = (
@@ -402,7 +432,7 @@ def _linked_classes(docs: DataFrame, width: int, threshold: Threshold, frequent:
         .groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"))
         .agg(F.count("*").alias("entries"))
     )
-    more = compared(across).filter("linked").select("a", "b")
+    more = compared(across, traced=False).filter("linked").select("a", "b")
     scratch.drop(open_entries, shared, known)
 
     return sizes, components(links.unionAll(more), scratch)
