@@ -246,8 +246,21 @@ def _strewn(text: bytes, rng: np.random.Generator, every: int) -> bytes:
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-    return letters(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets)
+    """Letter codes of all texts, made of some texts at a time: the steps between need many bytes a letter."""
+    parts, starts, end = [], [np.zeros(1, np.int64)], 0
+    i = 0
+    while i < len(texts):
+        j, size = i + 1, len(texts[i])
+        while j < len(texts) and size + len(texts[j]) <= _CHUNK:
+            size += len(texts[j])
+            j += 1
+        offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts[i:j]]))).astype(np.int64)
+        codes, inner = letters(np.frombuffer(b"".join(texts[i:j]), dtype=np.uint8), offsets)
+        parts.append(codes)
+        starts.append(inner[1:] + end)
+        end += len(codes)
+        i = j
+    return np.concatenate(parts or [np.empty(0, np.uint32)]), np.concatenate(starts)
 
 
 def _machine(texts: list[bytes], toxic: np.ndarray, rng: np.random.Generator, how: Fitting) -> np.ndarray:
