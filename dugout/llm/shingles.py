@@ -10,7 +10,7 @@ import pyarrow as pa
 _STEP = 0x9E3779B97F4A7C15
 _BASE = 0xD1342543DE82EF95
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_CHUNK_BYTES = 2 << 20
+_CHUNK_BYTES = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _SPACE = np.zeros(256, dtype=bool)
