@@ -32,6 +32,8 @@ _NEXT = {
     "next_pitch_in_play": "balls_in_play", "next_pitch_hits": "hit_events", "next_pitch_walks": "walk_events",
     "next_pitch_strikeouts": "strikeout_events",
 }
+#: Parts that the rows of a group are dealt into.
+PARTS = 16
 TRANSITION_TALLIES = ("transitions", *_NEXT)
 
 
@@ -52,18 +54,22 @@ def _has(event: str, kinds: str = "kinds") -> Column:
     return F.col(kinds).bitwiseAND(F.lit(1 << _EVENTS.index(event))) != 0
 
 
-def _state_tallies(rows: DataFrame, dims: list[str], labels: list[str]) -> DataFrame:
+def _state_tallies(rows: DataFrame, dims: list[str], labels: list[str], merged: list[str]) -> DataFrame:
     """Tallies per group and label.
 
     The first pitch of an appearance within its group, whatever the date, is marked
-    in a window, so that appearances are a plain count: rows meet once by
-    appearance and group, and once more, combined, by group.  Labels ride along as grouping columns, since
-    text in an aggregation buffer would force sorting all rows.
+    in a window, so that appearances are a plain count.  Rows are dealt by group and
+    part of it, by appearance, which spreads a frequent group.  Labels ride along as
+    grouping columns, since text in an aggregation buffer would force sorting all rows;
+    those that are ``merged`` to the largest find the rows in the window's order, by group, and
+    need no sort, so that every row is shuffled and sorted once and only combined ones again.
     """
     group = [c for c in dims if c != "game_date"]
-    met = Window.partitionBy("game_pk", "at_bat_number", *group).orderBy("game_date")
-    marked = rows.withColumn("_opens", F.row_number().over(met) == 1)
+    met = Window.partitionBy(*group, "_part", "game_pk", "at_bat_number").orderBy("game_date" if "game_date" in dims else "at_bat_number")
+    part = F.pmod(F.hash("game_pk", "at_bat_number"), F.lit(PARTS))
+    marked = rows.withColumn("_part", part).repartition(*group, "_part").withColumn("_opens", F.row_number().over(met) == 1)
     return marked.groupBy(*dims, *labels).agg(
+        *[F.max(label).alias(label) for label in merged],
         F.count(F.lit(1)).alias("pitches"),
         F.count_if("_opens").alias("plate_appearances"),
         *[F.count_if(_has(event)).alias(event) for event in _EVENTS],
@@ -113,8 +119,9 @@ def _transition_rows(pitches: DataFrame) -> DataFrame:
     return _both_perspectives(pairs.drop("game_pk", "at_bat_number", "pitch_number", "kinds"))
 
 
-def _transition_tallies(rows: DataFrame, dims: list[str], labels: list[str]) -> DataFrame:
+def _transition_tallies(rows: DataFrame, dims: list[str], labels: list[str], merged: list[str]) -> DataFrame:
     return rows.groupBy(*dims, *labels).agg(
+        *[F.max(label).alias(label) for label in merged],
         F.count(F.lit(1)).alias("transitions"),
         *[F.count_if(_has(event, "next_kinds")).alias(name) for name, event in _NEXT.items()],
     )
@@ -129,11 +136,11 @@ class Summary:
     labels: tuple[str, ...]
     measures: tuple[str, ...]
     rows: Callable[[DataFrame], DataFrame]
-    count: Callable[[DataFrame, list[str], list[str]], DataFrame]
+    count: Callable[[DataFrame, list[str], list[str], list[str]], DataFrame]
 
     def tallies(self, pitches: DataFrame) -> DataFrame:
         """Tallies per date and group, which a later delivery of a date replaces."""
-        return conform(self.count(self.rows(pitches), [*self.dims, "game_date"], list(self.labels)), tally_schema(self.schema))
+        return conform(self.count(self.rows(pitches), [*self.dims, "game_date"], list(self.labels), []), tally_schema(self.schema))
 
     def fold(self, tallies: DataFrame) -> DataFrame:
         """The summary of tallies; sums are divided once, here.  A group was updated when its newest tally was."""
@@ -141,17 +148,21 @@ class Summary:
         summed = tallies.groupBy(*self.dims).agg(
             *[F.max(label).alias(label) for label in self.labels], *[F.sum(c).alias(c) for c in self.measures], *stamp
         )
+        return self._rated(summed)
+
+    def _rated(self, summed: DataFrame) -> DataFrame:
+        """Sums of whole groups in the form of the summary."""
         means = {
             mean: F.try_divide(F.col(f"{name}_sum"), F.col(f"{name}_n").cast("double"))
             for mean, name in (("avg_woba_value", "woba"), ("avg_xwoba", "xwoba"))
             if f"{name}_sum" in self.measures
         }
-        schema = T.StructType([*self.schema.fields, T.StructField("updated_at", T.TimestampType())]) if stamp else self.schema
+        schema = T.StructType([*self.schema.fields, T.StructField("updated_at", T.TimestampType())]) if "updated_at" in summed.columns else self.schema
         return conform(summed.withColumns(means | {"row_key": keys.row_key(*self.dims)}), schema)
 
     def of(self, pitches: DataFrame) -> DataFrame:
         """The summary of pitches in one go, whatever their dates."""
-        return self.fold(self.count(self.rows(pitches), list(self.dims), list(self.labels)))
+        return self._rated(self.count(self.rows(pitches), list(self.dims), [], list(self.labels)))
 
 
 _PLAYER = ("season", "perspective", "player_id")
