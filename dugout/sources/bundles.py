@@ -98,7 +98,7 @@ def import_tables(store: TableStore, root: str) -> None:
 
 def _put(store: TableStore, name: str, rows: DataFrame) -> None:
     """Upsert imported rows; an imported summary takes the place of the season's tallies."""
-    store.upsert(name, rows, KEYS[name], locate=["game_pk"] if "game_pk" in rows.columns else None)
+    store.upsert(name, rows, KEYS[name], locate=["game_pk"] if "game_pk" in rows.columns else None, stored=name != "players")
     if name in TALLIES and store.exists(TALLIES[name]):
         for row in rows.select("season").distinct().collect():
             store.delete_season(row["season"], (TALLIES[name],))
