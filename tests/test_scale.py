@@ -99,3 +99,23 @@ def test_stored_updates_are_not_copied(spark, lake, store, monkeypatch):
         bundles._put(target, name, bundles._table(target, root, name))
         assert same(target.read(name), store.read(name))
     assert not copied
+
+
+def test_placed_rows_are_written_without_a_sort(spark, source, tmp_path):
+    store = TableStore(spark, str(tmp_path / "placed"))
+    rows = clean.cleaned_pitches(Lake(spark, source).raw).filter("season >= 2017")
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    store.replace("pitches", rows, placed=True)
+    assert same(store.read("pitches"), rows) and store.seasons("pitches") == list(range(2017, 2022))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
+def test_season_stats_are_dealt_by_key_before_they_are_ranked(spark, store, monkeypatch):
+    kept = []
+    stage = store.stage
+    monkeypatch.setattr(store, "stage", lambda df: kept.append(exchanges(df)) or stage(df))
+    feed = spark.createDataFrame([(1, "A", "T", 3), (1, "A", "T", 4), (2, "B", "T", 5)], "IDfg int, Name string, Team string, HR int")
+    assert ingest.replace_season_stats(store, {"batting_standard_stats": feed}, 2019) == {"batting_standard_stats": 2}
+    # One staged copy, from one shuffle: the map side does not rank.
+    assert len(kept) == 1 and len(kept[0]) == 1
+    assert sorted(r.hr for r in store.read("batting_standard_stats").collect()) == [4, 5]
