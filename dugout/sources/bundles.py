@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dugout.schemas import CORE_TABLES, SEASON_TABLES, STAT_TABLES, SUMMARY_TABLES, TABLES, TALLIES
-from dugout.sources.store import TableStore, matching, path_exists
+from dugout.sources.store import TableStore, matching, path_exists, placed_writers
 
 KEYS = {
     "players": ["player_id"],
@@ -70,9 +72,13 @@ def export_tables(store: TableStore, root: str) -> list[str]:
     told = []
     for name in names:
         rows = store.read(name)
-        # A season's rows spread over many tasks and few files; players have none.
         if "season" in rows.columns:
-            rows.hint("rebalance", "season").write.mode("overwrite").partitionBy("season").parquet(f"{root}/{name}.parquet")
+            folded = bool(store.seasons(TALLIES[name])) if name in TALLIES else False
+            # Stored rows lie by season already; those folded from tallies are gathered into few files.
+            with nullcontext() if folded else placed_writers(store.spark):
+                (rows.hint("rebalance", "season") if folded else rows).write.mode("overwrite").partitionBy("season").parquet(
+                    f"{root}/{name}.parquet"
+                )
             told += [(name, season) for season in store.seasons(TALLIES.get(name, name)) or store.seasons(name)]
         else:
             rows.write.mode("overwrite").parquet(f"{root}/{name}.parquet")

@@ -119,3 +119,17 @@ def test_season_stats_are_dealt_by_key_before_they_are_ranked(spark, store, monk
     # One staged copy, from one shuffle: the map side does not rank.
     assert len(kept) == 1 and len(kept[0]) == 1
     assert sorted(r.hr for r in store.read("batting_standard_stats").collect()) == [4, 5]
+
+
+def test_bundles_go_out_and_in_without_a_shuffle(spark, lake, store, monkeypatch):
+    store.replace("pitches", lake.pitches)
+    monkeypatch.setattr(bundles, "KEYS", {"pitches": bundles.KEYS["pitches"]})
+    monkeypatch.setattr(bundles, "CORE_TABLES", ("pitches",))
+    monkeypatch.setattr(bundles, "SUMMARY_TABLES", ())
+    bundles.export_tables(store, f"{store.root}/exports")
+    target = TableStore(spark, f"{store.root}/target")
+    written, write = [], target.write_folder
+    monkeypatch.setattr(target, "write_folder", lambda df, *a, **k: written.append((exchanges(df), k)) or write(df, *a, **k))
+    bundles.import_tables(target, f"{store.root}/exports")
+    assert same(target.read("pitches"), store.read("pitches"))
+    assert written == [([], {"placed": True})]
