@@ -133,3 +133,39 @@ def test_bundles_go_out_and_in_without_a_shuffle(spark, lake, store, monkeypatch
     bundles.import_tables(target, f"{store.root}/exports")
     assert same(target.read("pitches"), store.read("pitches"))
     assert written == [([], {"placed": True})]
+
+
+def test_an_upsert_shuffles_only_rows_of_its_games(spark, pitches, store, monkeypatch):
+    store.replace("pitches", pitches(
+        dict(game_pk=1), dict(game_pk=1, pitch_number=2), dict(game_pk=2), dict(game_pk=3, at_bat_number=None, pitch_number=4, pitch_id="3_4"),
+        dict(game_pk=None, at_bat_number=7, pitch_number=7, pitch_id="7_7"), dict(game_pk=4, season=2018),
+    ))
+    updates = pitches(
+        dict(game_pk=1, description="foul"), dict(game_pk=1, pitch_number=3), dict(game_pk=None, at_bat_number=3, pitch_number=4, description="foul", pitch_id="3_4"),
+        dict(game_pk=None, at_bat_number=7, pitch_number=7, pitch_id="7_7", description="foul"),
+    )
+    wanted = clean.upsert(store.read("pitches"), updates, ["pitch_id"]).localCheckpoint()
+    written, write = [], store.write_folder
+    monkeypatch.setattr(store, "write_folder", lambda df, *a, **k: written.append((df.count(), exchanges(df), k)) or write(df, *a, **k))
+    store.upsert("pitches", updates, ["pitch_id"], locate=["game_pk"], partitions=["season=2019"])
+    assert same(store.read("pitches"), wanted)
+    # The row of game 2 lies in no game of the updates; rows whose key lacks a part may meet any other.
+    (apart, shuffled, how), (merged, _, _) = written
+    assert (apart, how, merged) == (1, {"placed": True}, 5)
+    # Only the games of the updates are shuffled, to be told once each.
+    assert all("hashpartitioning(game_pk" in line for line in shuffled) and len(shuffled) == 1
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_an_upsert_of_many_games_leaves_the_same_rows(spark, lake, store, monkeypatch, few):
+    monkeypatch.setattr("dugout.sources.store.FEW_PLACES", few)
+    store.unstage(ingest.load(store, lake.raw.filter("game_pk % 3 > 0")))
+    store.unstage(ingest.load(store, lake.raw.filter("game_pk % 3 < 2")))
+    assert same(store.read("pitches"), lake.pitches) and same(store.read("at_bats"), lake.at_bats)
+
+
+def test_appearances_of_no_game_are_not_rolled_up(spark, lake, store):
+    raw = lake.raw.withColumn("game_pk", F.expr("IF(game_pk = 0, NULL, game_pk)"))
+    for _ in range(2):
+        store.unstage(ingest.load(store, raw))
+        assert store.read("at_bats").filter("game_pk IS NULL").isEmpty() and not store.read("pitches").filter("game_pk IS NULL").isEmpty()
