@@ -36,6 +36,7 @@ class Lake:
         return _OPEN[key]
 
     def _kept(self, name: str, df: DataFrame, placed: bool = False) -> DataFrame:
+        """A table written and read back; summaries are ``placed``, where they were combined, since no row order helps them."""
         self.store.replace(name, df, placed=placed)
         return self.store.read(name)
 
@@ -69,15 +70,15 @@ class Lake:
 
     @cached_property
     def league_state(self) -> DataFrame:
-        return self._kept("league_pitch_state_summary", summaries.league_pitch_state(self.pitches))
+        return self._kept("league_pitch_state_summary", summaries.league_pitch_state(self.pitches), placed=True)
 
     @cached_property
     def player_state(self) -> DataFrame:
-        return self._kept("player_pitch_state_summary", summaries.player_pitch_state(self.pitches))
+        return self._kept("player_pitch_state_summary", summaries.player_pitch_state(self.pitches), placed=True)
 
     @cached_property
     def transitions(self) -> DataFrame:
-        return self._kept("pitch_transition_summary", summaries.pitch_transitions(self.pitches))
+        return self._kept("pitch_transition_summary", summaries.pitch_transitions(self.pitches), placed=True)
 
     @cached_property
     def context(self):

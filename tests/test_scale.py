@@ -169,3 +169,17 @@ def test_appearances_of_no_game_are_not_rolled_up(spark, lake, store):
     for _ in range(2):
         store.unstage(ingest.load(store, raw))
         assert store.read("at_bats").filter("game_pk IS NULL").isEmpty() and not store.read("pitches").filter("game_pk IS NULL").isEmpty()
+
+
+def test_summaries_are_written_where_they_are_combined(spark, source, store, monkeypatch):
+    lake, of_store = Lake(spark, source), []
+    pitches = lake.pitches
+    for owner in (lake.store, store):
+        write = owner.write_folder
+        monkeypatch.setattr(owner, "write_folder", lambda df, *a, write=write, **k: of_store.append(k) or write(df, *a, **k))
+    assert same(lake.transitions, summaries.pitch_transitions(pitches)) and same(lake.league_state, summaries.league_pitch_state(pitches))
+    store.replace("pitches", pitches)
+    of_store.pop()
+    store.retally([f"season={season}" for season in store.seasons("pitches")])
+    assert of_store == [{"placed": True}] * 5
+    assert same(store.read("pitch_transition_summary"), lake.transitions)
