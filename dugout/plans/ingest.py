@@ -14,7 +14,7 @@ from dugout.functions import vocab
 from dugout.operators import clean, players, quality, rollup, season_stats
 from dugout.schemas import BACKFILL_STATUS, INGESTION_LOG, PITCHES, SEASON_TABLES, TABLES, conform
 from dugout.sources import bundles, landing
-from dugout.sources.store import TableStore
+from dugout.sources.store import TableStore, small_scans
 
 DELETED_WITH_SEASON = SEASON_TABLES + ("season_backfill_status",)
 
@@ -109,7 +109,8 @@ def load(store: TableStore, raw: DataFrame) -> DataFrame:
     of_games = store.read("pitches", partitions=touched)
     # Partitions that held nothing before hold games of the batch only.
     of_games = of_games.join(of_batch, "game_pk", "left_semi") if before else of_games.filter("game_pk IS NOT NULL")
-    store.upsert("at_bats", rollup.at_bat_rollup(of_games), ["at_bat_id"], locate=["game_pk"], partitions=touched)
+    with small_scans(store.spark):
+        store.upsert("at_bats", rollup.at_bat_rollup(of_games), ["at_bat_id"], locate=["game_pk"], partitions=touched)
     store.unstage(games)
     pitches.partitions = touched
     return pitches

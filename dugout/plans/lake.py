@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from dugout.operators import clean, rollup, summaries
 from dugout.operators.filters import Window, data_context, resolve_window
 from dugout.plans import fixture, ingest
-from dugout.sources.store import TableStore, shared_folder
+from dugout.sources.store import TableStore, shared_folder, small_scans
 
 _OPEN: dict[tuple[str, str], Lake] = {}
 
@@ -66,7 +66,9 @@ class Lake:
 
     @cached_property
     def at_bats(self) -> DataFrame:
-        return self._kept("at_bats", rollup.at_bat_rollup(self.pitches))
+        pitches = self.pitches
+        with small_scans(self.spark):
+            return self._kept("at_bats", rollup.at_bat_rollup(pitches))
 
     @cached_property
     def league_state(self) -> DataFrame:

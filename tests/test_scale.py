@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 from test_lifecycle import same
 
-from dugout.operators import clean, summaries
+from dugout.operators import clean, rollup, summaries
 from dugout.plans import fixture, ingest
 from dugout.plans.lake import Lake
 from dugout.sources import bundles
-from dugout.sources.store import TableStore, matching
+from dugout.sources.store import SORTED_BYTES, TableStore, matching
 
 
 @contextlib.contextmanager
@@ -183,3 +183,13 @@ def test_summaries_are_written_where_they_are_combined(spark, source, store, mon
     store.retally([f"season={season}" for season in store.seasons("pitches")])
     assert of_store == [{"placed": True}] * 5
     assert same(store.read("pitch_transition_summary"), lake.transitions)
+
+
+def test_the_rollup_sorts_small_scans(spark, source, monkeypatch):
+    lake, sizes = Lake(spark, source), []
+    scanned = "spark.sql.files.maxPartitionBytes"
+    before, kept, raw = spark.conf.get(scanned), lake._kept, lake.raw
+    monkeypatch.setattr(lake, "_kept", lambda name, df, *a, **k: sizes.append((name, spark.conf.get(scanned))) or kept(name, df, *a, **k))
+    assert same(lake.at_bats, rollup.at_bat_rollup(lake.pitches))
+    assert sizes == [("pitches", before), ("at_bats", str(SORTED_BYTES))] and spark.conf.get(scanned) == before
+    assert raw.count() == 4000
