@@ -165,7 +165,7 @@ def test_an_upsert_of_many_games_leaves_the_same_rows(spark, lake, store, monkey
 
 
 def test_appearances_of_no_game_are_not_rolled_up(spark, lake, store):
-    raw = lake.raw.withColumn("game_pk", F.expr("IF(game_pk = 0, NULL, game_pk)"))
+    raw = lake.raw.withColumn("game_pk", F.expr("IF(game_pk = 1, NULL, game_pk)"))
     for _ in range(2):
         store.unstage(ingest.load(store, raw))
         assert store.read("at_bats").filter("game_pk IS NULL").isEmpty() and not store.read("pitches").filter("game_pk IS NULL").isEmpty()
