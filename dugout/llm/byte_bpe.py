@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dugout.llm.runtime import ship
+from dugout.llm.runtime import releasing, ship
 
 #: Matches kept with their ids per worker; beyond it the table starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Rows encoded at a time, so that a worker holds few texts and ids at once.
 _ROWS = 512
 
@@ -171,6 +171,7 @@ def _text_of(ids: bytes, pieces: list[bytes]) -> bytes:
 
 
 def _encode(shared, decode: bool):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, encoder = _encoder(shared)
         look_up = encoder.__getitem__
@@ -188,6 +189,7 @@ def _encode(shared, decode: bool):
 
 
 def _decode(shared):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, encoder = _encoder(shared)
         pieces = _pieces(encoder, shared.value)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dugout.llm.runtime import ship
+from dugout.llm.runtime import releasing, ship
 
 #: A-Z lowered; every other byte below 0x80 that is neither digit nor letter becomes a space.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -83,6 +83,7 @@ _TABLES: dict[str, list[Patterns]] = {}
 
 
 def _search(shared, window: int, name: str, all_rows: bool):
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _TABLES:
             _TABLES.clear()

@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dugout.llm.components import components
-from dugout.llm.runtime import Scratch, ship
+from dugout.llm.runtime import Scratch, release, releasing, ship
 from dugout.llm.shingles import Shingler, mix
 
 #: Bits of the tables; of a shingle, its 32 leading bits are counted.
@@ -46,7 +46,8 @@ BITS, FREQUENT_BITS = 27, 24
 _COUNT_SHIFT = np.uint64(32)
 #: A shingle in more texts than this is frequent.
 FREQUENT = 16
-_FLUSH = 2 << 20
+#: Shingles that a worker sorts and counts at a time.
+_FLUSH = 1 << 19
 #: Words of 64 bits in a trace, the bitmap of what a set and its pivot do not share.
 _TRACE = range(4)
 
@@ -94,6 +95,7 @@ def _count(width: int, block_bits: int):
     """Per block of the hash space, how many texts have each of its shingles."""
     n_blocks = 1 << block_bits
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, size, met = Shingler(width), [], 0, set()
 
@@ -150,7 +152,9 @@ def bit_tables(counts: DataFrame, frequent: int, block_bits: int) -> tuple[bytea
     out = bytearray(1 << (BITS - 3)), bytearray(1 << (FREQUENT_BITS - 3))
 
     def merge(group: pa.Table) -> pa.Table:
-        return _merge_block(group, frequent, block_bits)
+        merged = _merge_block(group, frequent, block_bits)
+        release()
+        return merged
 
     for row in counts.groupBy("block").applyInArrow(merge, "block int, repeated binary, frequent binary").toLocalIterator():
         for table, part in zip(out, (row.repeated, row.frequent)):
@@ -207,6 +211,7 @@ def _index(width: int, threshold: Threshold, tables):
     """Index entries (key, class, lost) and, with a null key, each row's doc_id, row number, n_shingles, class and lost."""
     names = ["key", "class", "doc_id", "row", "n_shingles", "lost"]
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         repeated, frequent = (np.frombuffer(t, dtype=np.uint8) for t in tables.value)
@@ -277,6 +282,7 @@ def _slot_table(wanted: DataFrame) -> bytes:
 def _sets(width: int, table):
     """(class, shingles) of the rows whose slot is marked, a class once per task."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, met = Shingler(width), set()
         bits = np.frombuffer(table.value, dtype=np.uint8)
