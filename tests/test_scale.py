@@ -11,6 +11,7 @@ from dugout.plans import fixture, ingest
 from dugout.plans.lake import Lake
 from dugout.sources import bundles
 from dugout.sources.store import SORTED_BYTES, TableStore, matching
+from dugout.streaming.stream_ingest import landed_stream, stream_ingest
 
 
 @contextlib.contextmanager
@@ -193,3 +194,31 @@ def test_the_rollup_sorts_small_scans(spark, source, monkeypatch):
     assert same(lake.at_bats, rollup.at_bat_rollup(lake.pitches))
     assert sizes == [("pitches", before), ("at_bats", str(SORTED_BYTES))] and spark.conf.get(scanned) == before
     assert raw.count() == 4000
+
+
+def test_pitches_are_shuffled_before_they_are_seen_from_both_sides(lake):
+    rows, combined = sorted(exchanges(summaries.player_pitch_state(lake.pitches)), key=lambda line: "REPARTITION" not in line)
+    assert "_part" in rows and "player_id" not in rows and "player_id" in combined
+
+
+def test_weekly_tallies_are_written_where_they_are_combined(spark, lake, pitches, tmp_path, monkeypatch):
+    store = TableStore(spark, str(tmp_path / "weeks"), partitions=("season", "week"))
+    store.replace("pitches", lake.pitches.unionByName(pitches(dict(game_pk=-1, game_date=None, season=None), dict(game_pk=None, pitch_type=None))))
+    written, write = [], store.write_folder
+    monkeypatch.setattr(store, "write_folder", lambda df, *a, **k: written.append((len(exchanges(df)), k)) or write(df, *a, **k))
+    with partitions(spark, 24):
+        store.retally(store.touched(store.read("pitches")))
+        for name, summary in summaries.SUMMARIES.items():
+            assert same(store.read(name), summary.of(store.read("pitches"))), name
+    # Pitches are shuffled, of the transitions those that are lent too, and what is counted, once each.
+    assert [how for _, how in written] == [{"placed": True}] * 3 and [n for n, _ in written][:2] == [2, 2]
+
+
+def test_the_stream_keeps_its_state_in_files(spark, lake, store, tmp_path):
+    rows = lake.raw.filter("season = 2019").drop("season").limit(20)
+    rows.write.parquet(str(tmp_path / "landing"))
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    stream_ingest(store, landed_stream(spark, str(tmp_path / "landing"), rows.schema), str(tmp_path / "checkpoint"), refresh=False).awaitTermination()
+    assert "RocksDBStateStoreProvider" in (tmp_path / "checkpoint" / "offsets" / "0").read_text()
+    assert spark.conf.get(name) == before and spark.conf.get(name, None) is None
