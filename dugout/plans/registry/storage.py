@@ -43,10 +43,10 @@ def built_store(lake) -> TableStore:
 
 
 def loaded_store(lake) -> TableStore:
-    """A scratch store holding the lake's tables."""
+    """A scratch store holding the lake's tables; those with a season lie by it already and are written where they are read."""
     store = scratch(lake)
     for name, df in lake_tables(lake).items():
-        store.replace(name, df)
+        store.replace(name, df, placed="season" in df.columns)
     return store
 
 

@@ -9,6 +9,7 @@ from test_lifecycle import same
 from dugout.operators import clean, rollup, summaries
 from dugout.plans import fixture, ingest
 from dugout.plans.lake import Lake
+from dugout.plans.registry import storage
 from dugout.sources import bundles
 from dugout.sources.store import SORTED_BYTES, TableStore, matching
 from dugout.streaming.stream_ingest import landed_stream, stream_ingest
@@ -222,3 +223,12 @@ def test_the_stream_keeps_its_state_in_files(spark, lake, store, tmp_path):
     stream_ingest(store, landed_stream(spark, str(tmp_path / "landing"), rows.schema), str(tmp_path / "checkpoint"), refresh=False).awaitTermination()
     assert "RocksDBStateStoreProvider" in (tmp_path / "checkpoint" / "offsets" / "0").read_text()
     assert spark.conf.get(name) == before and spark.conf.get(name, None) is None
+
+
+def test_tables_that_lie_by_season_are_copied_without_a_shuffle(lake, monkeypatch):
+    written, write = [], TableStore.write_folder
+    storage.lake_tables(lake)
+    monkeypatch.setattr(TableStore, "write_folder", lambda self, df, *a, **k: written.append(("season" in df.columns, k)) or write(self, df, *a, **k))
+    store = storage.loaded_store(lake)
+    assert len(written) == 7 and all((how == {"placed": True}) == by_season for by_season, how in written)
+    assert all(same(store.read(name), df) for name, df in storage.lake_tables(lake).items())
