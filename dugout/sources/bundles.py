@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import nullcontext
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,9 @@ KEYS = {
     **{t: ["season", "row_key"] for t in SUMMARY_TABLES + STAT_TABLES},
 }
 
+#: Seasons that are exported at once.
+EXPORTS = 4
+
 
 def bundle_path(root: str, season: int) -> str:
     return f"{root.rstrip('/')}/season={season}"
@@ -59,8 +63,9 @@ def _seasons(store: TableStore) -> list[int]:
 
 
 def export_all(store: TableStore, root: str) -> list[str]:
-    """A bundle of each season."""
-    return [export_season(store, season, root) for season in _seasons(store)]
+    """A bundle of each season; jobs of some seasons run at once, since the short ones of one leave cores idle."""
+    with ThreadPoolExecutor(EXPORTS) as pool:
+        return list(pool.map(lambda season: export_season(store, season, root), _seasons(store)))
 
 
 def export_tables(store: TableStore, root: str) -> list[str]:

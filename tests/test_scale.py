@@ -1,6 +1,8 @@
 """What the steps that all queries share may shuffle, copy and repeat."""
 
 import contextlib
+import hashlib
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -232,3 +234,22 @@ def test_tables_that_lie_by_season_are_copied_without_a_shuffle(lake, monkeypatc
     store = storage.loaded_store(lake)
     assert len(written) == 7 and all((how == {"placed": True}) == by_season for by_season, how in written)
     assert all(same(store.read(name), df) for name, df in storage.lake_tables(lake).items())
+
+
+def test_digests_of_large_sums_are_exact(spark):
+    rows = spark.range(100_000).select(F.lit(2019).alias("season"), F.col("id"))
+    told = storage.digests({"t": rows}).first()
+    wanted = sum(int(hashlib.md5(f"{i}|2019".encode()).hexdigest()[:12], 16) for i in range(100_000))
+    assert (told.row_count, told.digest) == (100_000, str(wanted))
+
+
+def test_seasons_are_exported_side_by_side(lake, store, monkeypatch):
+    store.replace("pitches", lake.pitches.filter("season IN (2018, 2019)"))
+    for name in ("players", "games", "at_bats", *summaries.SUMMARIES):
+        store.replace(name, storage.lake_tables(lake)[name].limit(0 if name != "players" else 50))
+    met, export = threading.Barrier(2, timeout=60), bundles.export_season
+    monkeypatch.setattr(bundles, "export_season", lambda *a: (met.wait(), export(*a))[1])
+    root = f"{store.root}/exports"
+    assert bundles.export_all(store, root) == [f"{root}/season=2018", f"{root}/season=2019"]
+    for season in (2018, 2019):
+        assert same(bundles._table(store, f"{root}/season={season}", "pitches"), lake.pitches.filter(F.col("season") == season))
